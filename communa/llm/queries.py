@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from communa.llm.bpe import op4_bpe
+from communa.llm.langid import op3_langid
 from communa.llm.media import op8_media
 from communa.llm.packing import op6_packing
 from communa.llm.secrets import op5_secrets
@@ -14,7 +15,7 @@ from communa.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_bpe, op5_secrets, op6_packing, op8_media)}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_bpe, op5_secrets, op6_packing, op8_media)}
 
 
 def oracle_sql() -> dict[str, str]:
