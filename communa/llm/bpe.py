@@ -26,6 +26,8 @@ from communa.llm.common import small_batches, table
 REMEMBERED = 400_000
 #: Longer pre-tokens are not remembered.
 LONG = 64
+#: Pairs whose rank is remembered.
+_PAIRS = 2_000_000
 
 
 def default_path() -> str:
@@ -54,83 +56,80 @@ class MergeReplay:
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        """Rank of the merged pair, or -1."""
-        found = self.pair.get((a, b))
-        if found is None:
-            if len(self.pair) > 2_000_000:
-                self.pair.clear()
-            found = self.pair[a, b] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
-        return found
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        index: dict[int, list[int]] = {}
-        starts, single, pair_rank = [], self.single, self.pair_rank
-        for word in words:
-            at = len(ids)
-            starts.append(at)
-            ids += [single[x] for x in word]
-            n = len(ids)
-            after += range(at + 1, n)
-            before.append(-1)
-            before += range(at, n - 1)
-            after.append(-1)
-            for i in range(at, n - 1):
-                if (r := pair_rank(ids[i], ids[i + 1])) >= 0:
-                    index.setdefault(r, []).append(i)
-        heap: list[tuple[int, int]] = []
-        waiting = sorted(index, reverse=True)
-        live: dict[int, list[int]] = index
-
-        def merge(i: int, r: int, now: int) -> None:
-            """Merge at i if a pair of rank r still stands there; what it brings up at rank ``now`` or below comes next."""
-            j = after[i]
-            if j < 0 or ids[i] < 0 or ids[j] < 0 or pair_rank(ids[i], ids[j]) != r:
-                return
-            ids[i], ids[j] = r, -1
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if (x := pair_rank(r, ids[k])) >= 0:
-                    add(x, i, now)
-            h = before[i]
-            if h >= 0 and (x := pair_rank(ids[h], r)) >= 0:
-                add(x, h, now)
-
-        def add(x: int, i: int, now: int) -> None:
-            if x <= now:
-                heappush(heap, (x, i))
-                return
-            if x in live:
-                live[x].append(i)
-            else:
-                live[x] = [i]
-                heappush(ranks_to_come, x)
-
-        ranks_to_come = waiting[::-1]
-        while ranks_to_come:
-            r = heappop(ranks_to_come)
-            spots = live.pop(r)
-            spots.sort()
-            for i in spots:
-                merge(i, r, r)
-                while heap:  # ranks at or below r that this merge brought up, in the same word, come before its next r
-                    x, at = heappop(heap)
-                    merge(at, x, r)
-        out = []
-        for at in starts:
-            word_ids = []
-            while at >= 0:
-                word_ids.append(ids[at])
-                at = after[at]
-            out.append(word_ids)
-        return out
+        self.single = np.array([ranks[bytes([i])] for i in range(256)])
+        self.of_bytes = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
+        self.pair: dict[int, int] = {}
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        if len(self.pair) > _PAIRS:
+            self.pair.clear()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n = len(raw)
+        if not n:
+            return [b""] * len(words)
+        last = np.zeros(n, bool)
+        last[ends[size > 0] - 1] = True
+        starts = np.r_[True, last[:-1]]
+        rank_at = np.full(n, -1)
+        rank_at[:-1] = self.of_bytes[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank_at[last] = -1
+        spots = np.flatnonzero(rank_at >= 0)
+        spots = spots[np.argsort(rank_at[spots], kind="stable")]
+        there, first = np.unique(rank_at[spots], return_index=True)
+        index = dict(zip(there.tolist(), (x.tolist() for x in np.split(spots, first[1:])), strict=False)) if len(spots) else {}
+        ids, pair_at = self.single[raw].tolist(), rank_at.tolist()  # pair_at: rank of the pair that begins here; -2 where a token was swallowed
+        after, before = np.where(last, -1, np.arange(1, n + 1)).tolist(), np.where(starts, -1, np.arange(-1, n - 1)).tolist()
+        pieces, get, rank_of, pair = self.pieces, self.pair.get, self.ranks.get, self.pair
+        come, grown = sorted(index), set()
+        lower: list[tuple[int, int]] = []  # pairs that a merge brought up at the rank in hand or below: they come before its next position
+        while come:
+            now = heappop(come)
+            todo = index.pop(now)
+            if now in grown:
+                todo.sort()
+            for spot in todo:
+                rank, i = now, spot
+                while True:
+                    if pair_at[i] == rank:
+                        j = after[i]
+                        ids[i] = rank
+                        pair_at[j] = -2
+                        k = after[i] = after[j]
+                        x = -1
+                        if k >= 0:
+                            before[k] = i
+                            code = rank << 20 | ids[k]
+                            if (x := get(code)) is None:
+                                x = pair[code] = rank_of(pieces[rank] + pieces[ids[k]], -1)
+                        pair_at[i] = x
+                        at = i
+                        for _ in (0, 1):
+                            if x >= 0:
+                                if x <= now:
+                                    heappush(lower, (x, at))
+                                elif x in index:
+                                    index[x].append(at)
+                                    grown.add(x)
+                                else:
+                                    index[x] = [at]
+                                    heappush(come, x)
+                            at, x = before[i], -1
+                            if at < 0 or _:
+                                break
+                            code = ids[at] << 20 | rank
+                            if (x := get(code)) is None:
+                                x = pair[code] = rank_of(pieces[ids[at]] + pieces[rank], -1)
+                            pair_at[at] = x
+                    if not lower:
+                        break
+                    rank, i = heappop(lower)
+        left = np.array(pair_at) != -2
+        held = np.r_[0, np.cumsum(left)][np.r_[0, ends]] * 4
+        code = np.array(ids)[left].astype("<u4").tobytes()
+        return [code[a:b] for a, b in zip(held[:-1].tolist(), held[1:].tolist(), strict=True)]
 
 
 class Encoder:
@@ -147,8 +146,7 @@ class Encoder:
         known = self.known
         new = {w for words in split for w in set(words) if w not in known}
         fresh = list(new)
-        codes = [np.array(x, "<u4").tobytes() for x in self.replay.encode([w.encode("utf-8") for w in fresh])]
-        own = dict(zip(fresh, codes, strict=True))
+        own = dict(zip(fresh, self.replay.encode([w.encode("utf-8") for w in fresh]), strict=True))
         known.update((w, c) for w, c in own.items() if len(w) <= LONG)
         long = {w: c for w, c in own.items() if len(w) > LONG}
         if long:
