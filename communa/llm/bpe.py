@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from communa.llm.common import small_batches, table
 
 #: Pre-tokens that a worker remembers; past it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Words laid end to end at once: few enough to stay near the processor.
+AT_ONCE = 4000
 #: Longer pre-tokens are not remembered.
 LONG = 64
 #: Pairs whose rank is remembered.
@@ -146,7 +148,8 @@ class Encoder:
         known = self.known
         new = {w for words in split for w in set(words) if w not in known}
         fresh = list(new)
-        own = dict(zip(fresh, self.replay.encode([w.encode("utf-8") for w in fresh]), strict=True))
+        raw = [w.encode("utf-8") for w in fresh]
+        own = dict(zip(fresh, (c for at in range(0, len(raw), AT_ONCE) for c in self.replay.encode(raw[at : at + AT_ONCE])), strict=True))
         known.update((w, c) for w, c in own.items() if len(w) <= LONG)
         long = {w: c for w, c in own.items() if len(w) > LONG}
         if long:
@@ -158,6 +161,12 @@ class Encoder:
         return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@lru_cache(2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for a worker process: what it remembers serves its next tasks too."""
+    return Encoder(path, pattern)
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, ids array<int>, decoded binary), a row per input row; with ``digest`` the
     columns (doc_id, n_tokens, ids_sha256, decoded_sha256) instead.
@@ -168,7 +177,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path, pattern)
+        coder = encoder(path, pattern)
         for batch in batches:
             codes = coder.texts(batch.column(1).to_pylist())
             decoded = map(coder.decode, codes)
