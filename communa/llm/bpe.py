@@ -146,8 +146,7 @@ class Encoder:
             self.known.clear()
         split = [self.find(x) if x else [] for x in texts]
         known = self.known
-        new = {w for words in split for w in set(words) if w not in known}
-        fresh = list(new)
+        fresh = [w for w in set().union(*split) if w not in known]
         raw = [w.encode("utf-8") for w in fresh]
         own = dict(zip(fresh, (c for at in range(0, len(raw), AT_ONCE) for c in self.replay.encode(raw[at : at + AT_ONCE])), strict=True))
         known.update((w, c) for w, c in own.items() if len(w) <= LONG)

@@ -8,6 +8,7 @@ the plan. Ranks are counted in salted groups: a length that holds a third of all
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,12 @@ SALT = 256
 #: Steps of the search for fillings around one document, and of the search over whole packings.
 FILL_STEPS, SEARCH_STEPS = 300, 4000
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 800_000, 64
+#: Words of letters that one call to the tokenizer takes.
+_JOINED = 500
+#: Words whose letters fold alike everywhere, and such words as letters and a tail of punctuation.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 Pattern = tuple[int, ...]
 
@@ -49,24 +55,58 @@ def _tokenizer(path: str):
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and never joins over it, so words between spaces and line
-    ends are encoded once and remembered."""
+    ends are encoded once and remembered. Most words are Latin letters and a tail of punctuation: the tokenizer folds
+    case and parts the two, so letters and tails are encoded apart, many to a call where word ends show in the ids."""
 
     def __init__(self, path: str):
-        self.encode, self.known = _tokenizer(path).encode_batch, {"": b""}
+        tokenizer = _tokenizer(path)
+        self.encode, suffix = tokenizer.encode_batch, tokenizer.model.end_of_word_suffix
+        self.known = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(1 + max(tokenizer.get_vocab().values(), default=0), bool)
+        self.ends[[i for w, i in tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+
+    def _several(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters."""
+        if not self.ends.any():
+            yield from (np.array(e.ids, "<u4").tobytes() for e in self.encode(words, add_special_tokens=False))
+            return
+        for at in range(0, len(words), _JOINED):
+            part = words[at : at + _JOINED]
+            ids = np.array(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            code = ids.tobytes()
+            yield from (code[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True))
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        split = {w: m.groups() for w in words if len(w) <= LONG and (m := _LATIN(w.lower() if _PLAIN(w) else ""))}
+        cores = list({a for a, _ in split.values() if a not in self.parts})
+        self.parts.update(zip(cores, self._several(cores), strict=True))
+        rest = list({b for _, b in split.values() if b not in self.parts})
+        odd = [w for w in words if w not in split]
+        codes = [np.array(e.ids, "<u4").tobytes() for e in self.encode(rest + odd, add_special_tokens=False)]
+        self.parts.update(zip(rest, codes, strict=False))
+        own = {w: self.parts[a] + self.parts[b] for w, (a, b) in split.items()}
+        return own | dict(zip(odd, codes[len(rest) :], strict=True))
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known, self.parts = {"": b""}, {"": b""}
         split = [(x or "").replace("\n", " ").split(" ") for x in texts]
         known = self.known
-        new = list({w for words in split for w in set(words) if w not in known})
-        own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True)}
+        own = self.learn([w for w in set().union(*split) if w not in known])
         known.update((w, c) for w, c in own.items() if len(w) <= LONG)
-        if any(len(w) > LONG for w in new):
+        if any(len(w) > LONG for w in own):
             return [b"".join([own[w] if w in own else known[w] for w in words]) for words in split]
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@lru_cache(2)
+def encoder(path: str) -> WordEncoder:
+    """One for a worker process: what it remembers serves its next tasks too."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, piece int, start long, length long, ids_crc32 long[, ids binary]): ids of the whole
     text and a closing 0, cut every ``capacity`` ids. Null text counts as empty: one piece, the closing 0."""
@@ -74,7 +114,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(path)
+        coder = encoder(path)
         for batch in batches:
             ids, step = coder.texts(batch.column(1).to_pylist()), 4 * capacity
             rows = [(d, i, i * capacity, x[i * step : (i + 1) * step]) for d, code in zip(batch.column(0).to_pylist(), ids, strict=True) for x in [code + b"\0\0\0\0"] for i in range(-(-len(x) // step))]

@@ -11,12 +11,13 @@ from communa.llm.langid import op3_langid
 from communa.llm.lines import op9_lines
 from communa.llm.media import op8_media
 from communa.llm.packing import op6_packing
+from communa.llm.repeats import op2_repeats
 from communa.llm.secrets import op5_secrets
 from communa.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_bpe, op5_secrets, op6_packing, op8_media, op9_lines)}
+    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op8_media, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
