@@ -31,7 +31,7 @@ THRESHOLD = Fraction(4, 5)
 #: Lines of fewer distinct words are never removed.
 LEAST_WORDS = 3
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: Prefix words and leaders of the first pass.
 FIRST_WORDS, LEADERS = 3, 3
 _SEED = 7
@@ -95,8 +95,7 @@ class LineSets:
         self.hashes = np.empty(0, np.uint64)
 
     def batch(self, texts: list[bytes | None]):
-        """(text number, line number, set hash, size, prefix offsets, prefix words, prefix places, set offsets, set words); the set of a
-        line without prefix words is left empty."""
+        """(text number, line number, set hash, size, prefix offsets, prefix words, prefix places, set offsets, set words, parities)."""
         if len(self.known) > _FLUSH:
             self.known, self.hashes = {}, np.empty(0, np.uint64)
         rows, numbers, words = [], [], []
@@ -132,64 +131,72 @@ class LineSets:
         place = np.arange(len(keys)) - start[line]
         p, q = self.threshold.numerator, self.threshold.denominator
         length = n - -(-p * n // q) + 1
-        in_prefix = (place < length[line]) & (code != 1)
-        prefix = np.bincount(line[in_prefix], minlength=len(words))
-        whole = (prefix > 0)[line]
         kept = n >= self.least
-        if not kept.all():
-            in_prefix &= kept[line]
-            whole &= kept[line]
-            prefix = np.bincount(line[in_prefix], minlength=len(words))
-        pick = np.flatnonzero(kept)
-        sizes = np.where(prefix > 0, n, 0)[pick]
+        in_prefix = (place < length[line]) & (code != 1) & kept[line]
+        prefix, pick = np.bincount(line[in_prefix], minlength=len(words)), np.flatnonzero(kept)
+        bit = np.uint64(1) << (mixed & np.uint64(63))
+        word = (mixed >> np.uint64(6) & np.uint64(3)).astype(np.int64)
+        parity = np.zeros((4, len(words)), np.uint64)
+        for k in range(4):
+            if len(words):
+                parity[k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start[:-1])
         return (
             np.array(rows, np.int64)[pick], np.array(numbers, np.int64)[pick], sums.view(np.int64)[pick], n[pick],
-            np.r_[0, np.cumsum(prefix[pick])], token[in_prefix].view(np.int64), place[in_prefix], np.r_[0, np.cumsum(sizes)], token[whole].view(np.int64),
+            np.r_[0, np.cumsum(prefix[pick])], token[in_prefix].view(np.int64), place[in_prefix],
+            np.r_[0, np.cumsum(n[pick])], token[kept[line]].view(np.int64), parity.view(np.int64)[:, pick],
         )
 
 
+_FIRST = "struct<doc:long,rid:long,line:int>"
+_PARITY = ["b0", "b1", "b2", "b3"]
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """(doc, rid, text binary); a null doc_id comes last."""
+    last = (1 << 63) - 1
+    return _key(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), F.col("_rid").alias("rid"), F.col("text").cast("binary").alias("text"))
+
+
 def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, least: int) -> DataFrame:
-    """Distinct word sets: (s set hash, n, first (doc, rid, line) of its earliest line, words, places, tokens)."""
+    """Distinct word sets: (s set hash, n, first (doc, rid, line) of its earliest line, prefix words and places, parities of 256 hashed bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = LineSets(shared.value, threshold, least)
         for batch in batches:
-            row, line, s, n, po, pt, pp, so, st = sets.batch(batch.column(2).to_pylist())
+            row, line, s, n, po, pt, pp, _, _, parity = sets.batch(batch.column(2).to_pylist())
             if len(row):
                 doc, rid = (batch.column(i).to_numpy()[row] for i in (0, 1))
                 first = pa.StructArray.from_arrays([pa.array(doc), pa.array(rid), pa.array(line.astype(np.int32))], ["doc", "rid", "line"])
-                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v)) for o, v in ((po, pt), (po, pp.astype(np.int32)), (so, st))]
-                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists], ["s", "n", "first", "words", "places", "tokens"])
+                lists = [pa.ListArray.from_arrays(pa.array(po.astype(np.int32)), pa.array(v)) for v in (pt, pp.astype(np.int32))]
+                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists, *map(pa.array, parity)], ["s", "n", "first", "words", "places", *_PARITY])
 
     small_batches(docs.sparkSession)
-    last = (1 << 63) - 1
-    rows = _key(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "_rid", F.col("text").cast("binary").alias("text"))
-    lines = rows.mapInArrow(run, "s long, n int, first struct<doc:long,rid:long,line:int>, words array<long>, places array<int>, tokens array<long>")
-    return lines.groupBy("s", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("words", "places", "tokens")])
+    lines = _ordered(docs).mapInArrow(run, f"s long, n int, first {_FIRST}, words array<long>, places array<int>, " + ", ".join(f"{c} long" for c in _PARITY))
+    return lines.groupBy("s", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("words", "places", *_PARITY)])
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, first, s, n, place, pending) -> distinct (x, y): y is earlier under a word than x and passes the filters.
+    """(word, doc, s, n, place, pending) -> distinct (x, y) that pass the filters under a word, in the order (doc, s).
 
-    With ``leaders``, y is one of the first so many sets under the word; else x is pending and y any earlier one."""
+    With ``leaders``, y is one of the first so many sets under the word. Without, x is pending and y any set before it,
+    or after it in the same document, where this order says nothing of lines."""
     p, q = threshold.numerator, threshold.denominator
 
-    def passes(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        most = np.minimum(n[i] - place[i], n[j] - place[j])
-        return (low * q >= high * p) & (most * (p + q) >= p * (n[i] + n[j]))
-
-    def pairs(word: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, pending: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(word: np.ndarray, doc: np.ndarray, s: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, place, pending = code >> 32, (code & 0xFFFFFFFF) >> 1, code & 1 > 0
         cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
         start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
-        at = np.arange(len(word))
-        for k in range(leaders or int((at - start)[pending].max(initial=0))):
-            i = np.flatnonzero((start + k < at) & pending)
+        i, k = np.flatnonzero(start < np.arange(len(word))), 0
+        while len(i) and (leaders is None or k < leaders):
             j = start[i] + k
-            ok = passes(n, place, i, j)
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            most = np.minimum(n[i] - place[i], n[j] - place[j])
+            ok = (low * q >= high * p) & (most * (p + q) >= p * (n[i] + n[j])) & (pending[i] | pending[j] & (doc[i] == doc[j]))
             if ok.any():
                 yield pa.record_batch([pa.array(s[i[ok]]), pa.array(s[j[ok]])], ["x", "y"])
+            k += 1
+            i = i[start[i] + k < i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -204,35 +211,55 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
-    dealt = rows.repartition("word").sortWithinPartitions("word", "first", "s").select("word", "s", "n", "place", "pending")
+    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("pending").cast("long"))
+    dealt = rows.select("word", "doc", "s", code.alias("code")).repartition("word").sortWithinPartitions("word", "doc", "s")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those x whose whole set verifies against a y."""
-    own = sets.select("s", "tokens")
+def _matched(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(s): the later set of each pair that verifies. Words are fetched, by another look at the texts, for those pairs alone
+    whose parities do not already show too many words of one set only."""
     p, q = threshold.numerator, threshold.denominator
-    both = pairs.join(own.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(own.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
-    common = F.size(F.array_intersect("xt", "yt"))
-    return both.filter(common * (p + q) >= p * (F.size("xt") + F.size("yt"))).select(F.col("x").alias("s")).distinct()
+    own = sets.select("s", "n", "first", *_PARITY)
+    both = pairs.join(own.select(*[F.col(c).alias(f"x_{c}") for c in own.columns]), F.col("x") == F.col("x_s"))
+    both = both.join(own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns]), F.col("y") == F.col("y_s"))
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _PARITY), F.lit(0))
+    total = F.col("x_n").cast("long") + F.col("y_n")
+    near = both.filter((total - apart) * (p + q) >= 2 * p * total)
+    near = materialize(near.select("x", "y", F.col("x_first").alias("xf"), F.col("y_first").alias("yf")))
+    wanted = near.select(F.col("x").alias("s"), F.col("xf").alias("f")).union(near.select("y", "yf")).distinct()
+    lists = wanted.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "s")).alias("lines"))
+
+    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict[int, np.ndarray] = {}
+        for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            split = text.lower().split(b"\n")
+            for x in lines:
+                found[x["s"]] = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in set(split[x["line"]].split())), np.uint64)).view(np.int64)
+        return pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["s", "tokens"])
+
+    texts = _ordered(docs).join(lists, "rid").select("text", "lines")
+    words = materialize(map_batches(texts, fetch, "s long, tokens array<long>").dropDuplicates(["s"]))
+    full = near.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
+    full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
+    return full.select(F.when(F.col("xf") > F.col("yf"), F.col("x")).otherwise(F.col("y")).alias("s")).distinct()
 
 
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
     sets = materialize(line_sets(docs, rarity(docs, buckets), threshold, least))
-    open_ = sets.filter(F.size("words") > 0)
 
     def rows(sets: DataFrame, words: str) -> DataFrame:
-        return sets.select("s", "n", "first", "pending", F.expr(words).alias("at")).select("s", "n", "first", "pending", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
+        return sets.select("s", "n", F.col("first.doc").alias("doc"), "pending", F.expr(words).alias("at")).select("s", "n", "doc", "pending", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
 
-    early = rows(open_.withColumn("pending", F.lit(True)), f"explode(slice(arrays_zip(words, places), 1, {FIRST_WORDS}))")
-    near = materialize(_matched(_candidates(early, threshold, LEADERS), open_, threshold))
-    flagged = open_.join(near.withColumn("gone", F.lit(True)), "s", "left").withColumn("pending", F.col("gone").isNull())
-    late = _matched(_candidates(rows(flagged, "explode(arrays_zip(words, places))"), threshold, None), open_, threshold)
-    gone = near.union(late).distinct()
+    early = rows(sets.withColumn("pending", F.lit(True)), f"explode(slice(arrays_zip(words, places), 1, {FIRST_WORDS}))")
+    near = materialize(_matched(docs, materialize(_candidates(early, threshold, LEADERS)), sets, threshold))
+    flagged = sets.join(near.withColumn("gone", F.lit(True)), "s", "left").withColumn("pending", F.col("gone").isNull())
+    pairs = materialize(_candidates(rows(flagged, "explode(arrays_zip(words, places))"), threshold, None))
+    gone = near.union(_matched(docs, pairs, sets, threshold)).distinct()
     kept = sets.select("s", "first").join(gone, "s", "left_anti")
-    return kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept"))
+    return materialize(kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept")))
 
 
 def rebuild(text: bytes | None, kept: list[int] | None, least: int = LEAST_WORDS) -> tuple[bytes | None, int, int]:
