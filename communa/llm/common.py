@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,3 +33,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give a worker's freed memory back to the system, where the C library can: arrays of changing sizes leave it in pieces."""
+    gc.collect(0)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -25,17 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communa.llm.common import map_batches, small_batches, table
+from communa.llm.common import map_batches, release_memory, small_batches, table
 from communa.storage import materialize
 
 LENGTH = 400
 ANCHOR = 128
 #: Distinct spans under one anchor that a shard takes.
-CROWD = 8192
+CROWD = 1024
 #: Bytes of text that are indexed at once; a shard is closed at the first anchor past it.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Bytes of text that are cut into spans at once; a longer text goes in pieces.
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -127,6 +127,8 @@ def cells(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                     out = [np.concatenate(x) for x in zip(out, [none, none, rid[text[at[joined]]], first[at[joined]], last[at[stop]], none], strict=True)]
                 yield pa.record_batch([pa.array(v.astype(np.int64 if i < 3 else np.int32)) for i, v in enumerate(out)], [c.split()[0] for c in _CELL.split(", ")])
 
+            release_memory()
+
     small_batches(rows.sparkSession)
     return rows.mapInArrow(run, _CELL)
 
@@ -247,6 +249,7 @@ def _indexed(spans: DataFrame, length: int, shard: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             marks = [(rid, first + a, first + b) for (_, rid, first, times, _), found in zip(held, long_matches([x[4] for x in held], length), strict=True) if times == 1 for a, b in _ranges(found)]
+            release_memory()
             return pa.record_batch([pa.array([m[0] for m in marks], pa.int64()), *(pa.array([m[i] for m in marks], pa.int32()) for i in (1, 2))], ["rid", "first", "last"])
 
         for batch in batches:

@@ -53,7 +53,7 @@ def test_matching_statistics():
         assert got.tolist() == want, strings
 
 
-@pytest.mark.parametrize(("crowd", "shard", "piece"), [(8192, 1 << 20, 1 << 20), (1, 1 << 20, 1 << 20), (3, 500, 90), (8192, 1, 1 << 20)])
+@pytest.mark.parametrize(("crowd", "shard", "piece"), [(1024, 1 << 19, 1 << 19), (1, 1 << 19, 1 << 19), (3, 500, 90), (1024, 1, 1 << 19)])
 def test_against_all_windows(spark, monkeypatch, crowd, shard, piece):
     monkeypatch.setattr(repeats, "_PIECE", piece)
     texts = made(crowd + piece)
