@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from communa.llm.bpe import op4_bpe
+from communa.llm.chat import op10_chat
 from communa.llm.langid import op3_langid
 from communa.llm.lines import op9_lines
 from communa.llm.media import op8_media
@@ -14,10 +15,11 @@ from communa.llm.packing import op6_packing
 from communa.llm.repeats import op2_repeats
 from communa.llm.secrets import op5_secrets
 from communa.llm.simhash import op1_simhash
+from communa.llm.vectors import op7_vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op8_media, op9_lines)}
+    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op7_vectors, op8_media, op9_lines, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
