@@ -1,19 +1,17 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is its set of lower-cased words. Words are ordered by rarity (counts over the whole corpus in a table of
-``buckets`` hashed counters, then by hash), so that two lines of Jaccard similarity ``threshold`` or more share a
-word of both prefixes. Equal sets meet under their hash first; distinct sets then meet under their prefix words,
-pass length and positional filters, and are verified on their whole sets. Words that occur once in the corpus
-meet nothing and are left out of prefixes. A line goes if an earlier line, by (doc_id, line), matches it.
-
-The join runs twice. The first pass takes the three rarest prefix words of each set and compares with the three
-earliest sets under each: that settles the crowded families of near-copies in linear work. The second takes the
-sets still standing, all their prefix words and all earlier sets there, so no match is lost.
+A line is its set of word shingles: ``shingle`` lower-cased words, or all of them where there are fewer. Shingles
+are ordered by rarity (counts over the whole corpus in ``buckets`` hashed counters, then by hash), so two lines of Jaccard
+similarity ``threshold`` or more share a shingle of both prefixes. Equal sets meet under their hash first; distinct
+sets meet under the shingles of their prefixes, pass length and positional filters and a bound from the parities of
+hashed bits, and are verified on their whole sets. A line goes if an earlier line, by (doc_id, line), matches it.
+
+Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, which settles families of
+many near-copies in linear work. Sets that this leaves standing, and that passed with more, are checked against all.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import chain
@@ -28,14 +26,17 @@ from communa.llm.common import map_batches, small_batches, table
 from communa.storage import materialize
 
 THRESHOLD = Fraction(4, 5)
-#: Lines of fewer distinct words are never removed.
+SHINGLE = 5
+#: Lines of fewer words are never removed.
 LEAST_WORDS = 3
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
-BUCKETS = 1 << 19
-#: Prefix words and leaders of the first pass.
-FIRST_WORDS, LEADERS = 3, 3
+BUCKETS = 1 << 17
+#: Earlier sets that each set is first checked against.
+LEADERS = 2
 _SEED = 7
-_FLUSH = 500_000
+#: Words whose hash a worker remembers, and words taken at once.
+_REMEMBERED, _AT_ONCE = 1_000_000, 1 << 18
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -43,108 +44,105 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """A byte for each bucket of word hashes: 0 unused, 1 one occurrence in the corpus, then the count by its logarithm."""
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word, _SEED)
+        return found
+
+
+class Shingles:
+    """Hashed shingles of lines."""
+
+    def __init__(self, shingle: int, least: int):
+        self.shingle, self.least, self.known = shingle, least, _Hashes()
+
+    def hashes(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of words -> (line number, shingle) in order, repeats included."""
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lines)), np.uint64, int(size.sum()))
+        number = np.maximum(size - self.shingle + 1, 1)
+        line = np.repeat(np.arange(len(lines)), number)
+        first = np.arange(len(line)) + np.repeat(np.cumsum(size) - size - (np.cumsum(number) - number), number)
+        width = np.minimum(size, self.shingle)[line]
+        h = width.astype(np.uint64)
+        padded = np.r_[words, np.zeros(self.shingle, np.uint64)]
+        for k in range(self.shingle):
+            h = np.where(k < width, (h ^ padded[first + k]) * _PRIME, h)
+            h ^= h >> np.uint64(31)
+        return line, h
+
+    def lines(self, texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+        """(text numbers, line numbers, words) of the lines that take part, about _AT_ONCE words at a time."""
+        rows, numbers, words, total = [], [], [], 0
+        for i, text in enumerate(texts):
+            if text:
+                for j, line in enumerate(text.lower().split(b"\n")):
+                    if len(found := line.split()) >= self.least:
+                        rows.append(i)
+                        numbers.append(j)
+                        words.append(found)
+                        total += len(found)
+                        if total > _AT_ONCE:
+                            yield rows, numbers, words
+                            rows, numbers, words, total = [], [], [], 0
+        if rows:
+            yield rows, numbers, words
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        total = np.zeros(buckets, np.int64)
 
-        def flush() -> None:
-            at = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) % buckets for w in seen), np.int64, len(seen))
-            np.add.at(total, at, np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
+def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> np.ndarray:
+    """A byte for each bucket of shingle hashes: 0 unused, then the logarithm of its count over the corpus."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker, total = Shingles(shingle, least), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((text or b"").lower().split())
-            if len(seen) > _FLUSH:
-                flush()
-        flush()
+            for _, _, words in maker.lines(batch.column(0).to_pylist()):
+                total += np.bincount((maker.hashes(words)[1] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
             yield pa.record_batch([pa.array(part), pa.array(total[part])], ["b", "n"])
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, np.ndarray] = {}
-        for batch in batches:
-            b, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            code = np.where(n == 1, 1, np.minimum(255, 2 + np.floor(6 * np.log2(np.maximum(n, 1))))).astype(np.uint8)
-            for block in np.unique(b >> 12):
-                own = b >> 12 == block
-                out.setdefault(int(block), np.zeros(4096, np.uint8))[b[own] & 4095] = code[own]
-        yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["block", "codes"])
-
     small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    blocks = counts.repartition(F.expr("b div 4096")).mapInArrow(coded, "block long, codes binary").collect()  # one byte a bucket
-    codes = np.zeros(max(buckets, 4096), np.uint8)
-    for r in blocks:
-        at = r["block"] * 4096
-        codes[at : at + 4096] = np.maximum(codes[at : at + 4096], np.frombuffer(r["codes"], np.uint8))
-    return codes[:buckets]
+    code = F.least(F.lit(255), F.lit(1) + F.floor(6 * F.log2("n"))).cast("int")
+    codes = np.zeros(buckets, np.uint8)
+    for r in counts.select("b", code.alias("c")).groupBy("c").agg(F.collect_list(F.col("b").cast("int")).alias("b")).collect():  # at most ``buckets`` numbers
+        codes[r["b"]] = r["c"]
+    return codes
 
 
 class LineSets:
-    """Word sets of lines, in rarity order, for a batch of texts at a time."""
-
-    def __init__(self, codes: np.ndarray, threshold: Fraction, least: int):
-        self.codes, self.threshold, self.least = codes, threshold, least
-        self.known: dict[bytes, int] = {}
-        self.hashes = np.empty(0, np.uint64)
-
-    def batch(self, texts: list[bytes | None]):
-        """(text number, line number, set hash, size, prefix offsets, prefix words, prefix places, set offsets, set words, parities)."""
-        if len(self.known) > _FLUSH:
-            self.known, self.hashes = {}, np.empty(0, np.uint64)
-        rows, numbers, words = [], [], []
-        for i, text in enumerate(texts):
-            if text:
-                for j, line in enumerate(text.lower().split(b"\n")):
-                    if len(found := line.split()) >= self.least:
-                        rows.append(i)
-                        numbers.append(j)
-                        words.append(found)
-        known = self.known
-        new = list({w for found in words for w in found if w not in known})
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in new), np.uint64, len(new))])
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
-        used, local = np.unique(ids, return_inverse=True)
-        hashes = self.hashes[used]
-        codes = self.codes[(hashes % np.uint64(len(self.codes))).astype(np.int64)]
-        order = np.lexsort((hashes, codes))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        keys = np.sort(np.repeat(np.arange(len(words), dtype=np.int64), size) << 32 | rank[local])
-        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-        line, at = keys >> 32, order[keys & 0xFFFFFFFF]
+    """Shingle sets of lines, in rarity order."""
+
+    def __init__(self, codes: np.ndarray, threshold: Fraction, shingle: int, least: int):
+        self.codes, self.threshold, self.maker = codes, threshold, Shingles(shingle, least)
+
+    def sets(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set hash, size, prefix offsets, prefix shingles, their places, parities) of the lines."""
+        line, h = self.maker.hashes(words)
+        code = self.codes[(h % np.uint64(len(self.codes))).astype(np.int64)]
+        key = line.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+        order = np.argsort(key)
+        tied = key[order][1:] == key[order][:-1]
+        if (tied & (h[order][1:] != h[order][:-1])).any():
+            order = np.lexsort((h, key))
+        line, h = line[order], h[order]
+        one = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])]
+        line, h = line[one], h[one]
         n = np.bincount(line, minlength=len(words))
-        start = np.r_[0, np.cumsum(n)]
-        token, code = hashes[at], codes[at]
-        mixed = token * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        sums = np.add.reduceat(mixed, start[:-1]) if len(words) else np.empty(0, np.uint64)
-        place = np.arange(len(keys)) - start[line]
+        start = np.cumsum(n) - n
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        place = np.arange(len(line)) - start[line]
         p, q = self.threshold.numerator, self.threshold.denominator
-        length = n - -(-p * n // q) + 1
-        kept = n >= self.least
-        in_prefix = (place < length[line]) & (code != 1) & kept[line]
-        prefix, pick = np.bincount(line[in_prefix], minlength=len(words)), np.flatnonzero(kept)
+        prefix = n - -(-p * n // q) + 1
+        taken = place < prefix[line]
         bit = np.uint64(1) << (mixed & np.uint64(63))
-        word = (mixed >> np.uint64(6) & np.uint64(3)).astype(np.int64)
-        parity = np.zeros((4, len(words)), np.uint64)
-        for k in range(4):
-            if len(words):
-                parity[k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start[:-1])
-        return (
-            np.array(rows, np.int64)[pick], np.array(numbers, np.int64)[pick], sums.view(np.int64)[pick], n[pick],
-            np.r_[0, np.cumsum(prefix[pick])], token[in_prefix].view(np.int64), place[in_prefix],
-            np.r_[0, np.cumsum(n[pick])], token[kept[line]].view(np.int64), parity.view(np.int64)[:, pick],
-        )
+        part = mixed >> np.uint64(6) & np.uint64(3)
+        parity = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), start) for k in range(4)])
+        return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), place[taken], parity.view(np.int64)
 
 
 _FIRST = "struct<doc:long,rid:long,line:int>"
@@ -157,18 +155,18 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return _key(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), F.col("_rid").alias("rid"), F.col("text").cast("binary").alias("text"))
 
 
-def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, least: int) -> DataFrame:
-    """Distinct word sets: (s set hash, n, first (doc, rid, line) of its earliest line, prefix words and places, parities of 256 hashed bits)."""
+def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int) -> DataFrame:
+    """Distinct shingle sets: (s set hash, n, first (doc, rid, line) of its earliest line, prefix shingles and places, parities of 256 hashed bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = LineSets(shared.value, threshold, least)
+        sets = LineSets(shared.value, threshold, shingle, least)
         for batch in batches:
-            row, line, s, n, po, pt, pp, _, _, parity = sets.batch(batch.column(2).to_pylist())
-            if len(row):
-                doc, rid = (batch.column(i).to_numpy()[row] for i in (0, 1))
-                first = pa.StructArray.from_arrays([pa.array(doc), pa.array(rid), pa.array(line.astype(np.int32))], ["doc", "rid", "line"])
-                lists = [pa.ListArray.from_arrays(pa.array(po.astype(np.int32)), pa.array(v)) for v in (pt, pp.astype(np.int32))]
+            doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
+            for row, line, words in sets.maker.lines(batch.column(2).to_pylist()):
+                s, n, offset, taken, place, parity = sets.sets(words)
+                first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(rid[row]), pa.array(np.array(line, np.int32))], ["doc", "rid", "line"])
+                lists = [pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(v)) for v in (taken, place.astype(np.int32))]
                 yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists, *map(pa.array, parity)], ["s", "n", "first", "words", "places", *_PARITY])
 
     small_batches(docs.sparkSession)
@@ -177,26 +175,30 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, least: in
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, doc, s, n, place, pending) -> distinct (x, y) that pass the filters under a word, in the order (doc, s).
+    """(word, doc, s, n, place, parity) -> (x, y, more): pairs that pass the filters under a word; y comes before x by (doc, s), which
+    says nothing of lines within a document.
 
-    With ``leaders``, y is one of the first so many sets under the word. Without, x is pending and y any set before it,
-    or after it in the same document, where this order says nothing of lines."""
+    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them."""
     p, q = threshold.numerator, threshold.denominator
 
-    def pairs(word: np.ndarray, doc: np.ndarray, s: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place, pending = code >> 32, (code & 0xFFFFFFFF) >> 1, code & 1 > 0
+    def pairs(word: np.ndarray, doc: np.ndarray, s: np.ndarray, code: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, place, bits = code >> 32, code & 0xFFFFFFFF, parity.view(np.uint64)
         cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
         start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
         i, k = np.flatnonzero(start < np.arange(len(word))), 0
-        while len(i) and (leaders is None or k < leaders):
+        found = np.zeros(len(word), np.int64)
+        while len(i):
             j = start[i] + k
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            most = np.minimum(n[i] - place[i], n[j] - place[j])
-            ok = (low * q >= high * p) & (most * (p + q) >= p * (n[i] + n[j])) & (pending[i] | pending[j] & (doc[i] == doc[j]))
-            if ok.any():
-                yield pa.record_batch([pa.array(s[i[ok]]), pa.array(s[j[ok]])], ["x", "y"])
+            total = n[i] + n[j]
+            ok = (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * total)
+            ok &= (total - np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)) * (p + q) >= 2 * p * total
+            hit = np.flatnonzero(ok)
+            if len(hit):
+                found[i[hit]] += 1
+                more = found[i[hit]] > (leaders or len(word))
+                yield pa.record_batch([pa.array(s[i[hit]]), pa.array(s[j[hit]]), pa.array(more)], ["x", "y", "more"])
             k += 1
-            i = i[start[i] + k < i]
+            i = i[(start[i] + k < i) & (found[i] <= (leaders or len(word)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -211,32 +213,31 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
-    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("pending").cast("long"))
-    dealt = rows.select("word", "doc", "s", code.alias("code")).repartition("word").sortWithinPartitions("word", "doc", "s")
+    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    dealt = rows.select("word", "doc", "s", code.alias("code"), "parity").repartition("word").sortWithinPartitions("word", "doc", "s")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
-def _matched(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """(s): the later set of each pair that verifies. Words are fetched, by another look at the texts, for those pairs alone
-    whose parities do not already show too many words of one set only."""
+def _later(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
+    """(s): the later set of each pair (x, y) that verifies. Whole sets are made, by another look at the texts, for those pairs alone
+    whose 256 parities do not already show too many shingles of one set only."""
     p, q = threshold.numerator, threshold.denominator
     own = sets.select("s", "n", "first", *_PARITY)
     both = pairs.join(own.select(*[F.col(c).alias(f"x_{c}") for c in own.columns]), F.col("x") == F.col("x_s"))
     both = both.join(own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns]), F.col("y") == F.col("y_s"))
     apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _PARITY), F.lit(0))
     total = F.col("x_n").cast("long") + F.col("y_n")
-    near = both.filter((total - apart) * (p + q) >= 2 * p * total)
-    near = materialize(near.select("x", "y", F.col("x_first").alias("xf"), F.col("y_first").alias("yf")))
+    near = materialize(both.filter((total - apart) * (p + q) >= 2 * p * total).select("x", "y", F.col("x_first").alias("xf"), F.col("y_first").alias("yf")))
     wanted = near.select(F.col("x").alias("s"), F.col("xf").alias("f")).union(near.select("y", "yf")).distinct()
     lists = wanted.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "s")).alias("lines"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[int, np.ndarray] = {}
+        maker, found = Shingles(shingle, 1), {}
         for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             split = text.lower().split(b"\n")
             for x in lines:
-                found[x["s"]] = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in set(split[x["line"]].split())), np.uint64)).view(np.int64)
+                found[x["s"]] = np.unique(maker.hashes([split[x["line"]].split()])[1]).view(np.int64)
         return pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["s", "tokens"])
 
     texts = _ordered(docs).join(lists, "rid").select("text", "lines")
@@ -246,18 +247,22 @@ def _matched(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Frac
     return full.select(F.when(F.col("xf") > F.col("yf"), F.col("x")).otherwise(F.col("y")).alias("s")).distinct()
 
 
-def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
-    sets = materialize(line_sets(docs, rarity(docs, buckets), threshold, least))
-
-    def rows(sets: DataFrame, words: str) -> DataFrame:
-        return sets.select("s", "n", F.col("first.doc").alias("doc"), "pending", F.expr(words).alias("at")).select("s", "n", "doc", "pending", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
-
-    early = rows(sets.withColumn("pending", F.lit(True)), f"explode(slice(arrays_zip(words, places), 1, {FIRST_WORDS}))")
-    near = materialize(_matched(docs, materialize(_candidates(early, threshold, LEADERS)), sets, threshold))
-    flagged = sets.join(near.withColumn("gone", F.lit(True)), "s", "left").withColumn("pending", F.col("gone").isNull())
-    pairs = materialize(_candidates(rows(flagged, "explode(arrays_zip(words, places))"), threshold, None))
-    gone = near.union(_matched(docs, pairs, sets, threshold)).distinct()
+    sets = materialize(line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least))
+    fold = F.col("b0").bitwiseXOR(F.col("b1")).bitwiseXOR(F.col("b2")).bitwiseXOR(F.col("b3"))
+    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), fold.alias("parity"), F.explode(F.arrays_zip("words", "places")).alias("at"))
+    rows = rows.select("s", "n", "doc", "parity", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
+    pairs = materialize(_candidates(rows, threshold, LEADERS))
+    gone = materialize(_later(docs, pairs, sets, threshold, shingle))
+    # a set may stand although a pair that was not looked at would remove it, or another set by it
+    open_ = pairs.filter("more").select(F.col("x").alias("s")).distinct().join(gone, "s", "left_anti")
+    if open_.limit(1).count():
+        words = rows.join(open_, "s").select("word").distinct()
+        every = _candidates(rows.join(words, "word"), threshold, None)
+        asked = open_.withColumnRenamed("s", "x").withColumn("asked", F.lit(True))
+        more = every.join(asked, "x", "left").join(asked.select(F.col("x").alias("y"), F.col("asked").alias("asked_y")), "y", "left").filter("asked or asked_y")
+        gone = gone.union(_later(docs, materialize(more.select("x", "y")), sets, threshold, shingle)).distinct()
     kept = sets.select("s", "first").join(gone, "s", "left_anti")
     return materialize(kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept")))
 
@@ -267,11 +272,11 @@ def rebuild(text: bytes | None, kept: list[int] | None, least: int = LEAST_WORDS
     if text is None:
         return None, 0, 0
     lines, held = text.split(b"\n"), set(kept or ())
-    left = [x for i, x in enumerate(lines) if i in held or len(set(x.lower().split())) < least]
+    left = [x for i, x in enumerate(lines) if i in held or len(x.split()) < least]
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, text, kept_text, n_lines long, n_removed long), a row per input row; lines end at line feeds.
 
     Null text stays null, with no lines; empty text is one line that stays, as do lines of fewer than ``least`` words.
@@ -285,10 +290,25 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, least: int = L
         new = pa.array([x[0] for x in found], pa.binary()).cast(pa.string())
         return pa.record_batch([batch.column(0), batch.column(1).cast(pa.string()), new, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2))], ["doc_id", "text", "kept_text", "n_lines", "n_removed"])
 
-    joined = keyed.join(kept_lines(docs, threshold, least, buckets), "_rid", "left").select("doc_id", F.col("text").cast("binary"), "_kept")
+    joined = keyed.join(kept_lines(docs, threshold, shingle, least, buckets), "_rid", "left").select("doc_id", F.col("text").cast("binary"), "_kept")
     return map_batches(joined, run, "doc_id long, text string, kept_text string, n_lines long, n_removed long")
 
 
+def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
+    """All rows and columns of docs, with ``text`` less the lines that :func:`dedup_lines` removes."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        texts = [None if x is None else x.encode("utf-8") for x in columns[at].to_pylist()]
+        columns[at] = pa.array([rebuild(x, k, least)[0] for x, k in zip(texts, columns.pop().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+        return pa.record_batch(columns, names)
+
+    joined = _key(docs).join(kept_lines(docs, threshold, shingle, least, buckets), "_rid", "left").select(*names, "_kept")
+    return map_batches(joined, run, docs.schema)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -149,16 +149,32 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
     Null text counts as empty: no spans. Rows stay as they are, one out per row in; other columns are left out.
     """
+    return _with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).select("doc_id", "text", F.col("_base").alias("base"), F.col("_added").alias("added"))
+
+
+def _with_spans(docs: DataFrame, model: list[float] | None) -> DataFrame:
+    """docs and the arrays _base and _added."""
     model = train(labelled_samples()) if model is None else model
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kinds = []
-    for number, (_, pattern, group, least) in enumerate(BASE):
-        kinds.append(_placed(F.col("t"), pattern, number, _long_enough(F.regexp_extract_all("t", F.lit(pattern), F.lit(group)), least)))
-    token = _placed(F.col("t"), TOKEN, len(BASE), _ratios(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), model))
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text.alias("t")).select("doc_id", "text", F.array_sort(F.concat(*kinds)).alias("base"), token.alias("judged"))
-    # array_sort orders by start, then kind
-    clear = F.filter("judged", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select("doc_id", "text", "base", clear.alias("added"))
+    docs = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.col("_t")
+    kinds = [_placed(text, pattern, number, _long_enough(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), least)) for number, (_, pattern, group, least) in enumerate(BASE)]
+    token = _placed(text, TOKEN, len(BASE), _ratios(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), model))
+    found = docs.withColumns({"_base": F.array_sort(F.concat(*kinds)), "_judged": token})  # array_sort orders by start, then kind
+    clear = F.filter("_judged", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return found.withColumn("_added", clear)
+
+
+def redact(docs: DataFrame, model: list[float] | None = None, mask: str = "[secret]") -> DataFrame:
+    """All rows and columns of docs, with ``mask`` in ``text`` for each stretch that spans cover. Null text stays null."""
+    spans = F.array_sort(F.concat("_base", "_added"))
+    ends = F.transform("_spans", lambda s: s["end"])
+    reach = F.transform("_spans", lambda s, i: F.struct(s["start"].alias("start"), F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.slice(ends, 1, i))).alias("before")))
+    heads = F.filter(reach, lambda s: s["start"] >= s["before"])  # those that open a stretch; text from the last stretch's end leads up to each
+    parts = F.transform("_heads", lambda s: F.substring("text", s["before"] + 1, s["start"] - s["before"]))
+    tail = F.substring("text", F.array_max(ends) + 1, F.length("text"))
+    found = _with_spans(docs, model).withColumn("_spans", spans).withColumn("_heads", heads)
+    new = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, mask), F.lit(mask), tail))
+    return found.withColumn("text", new).select(*docs.columns)
 
 
 def _said(spans: Column) -> Column:

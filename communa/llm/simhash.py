@@ -164,6 +164,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX
     return fps.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least doc_id of their group of near-duplicates; of rows that repeat doc_id
+    and text one stays, and so does one of each text without doc_id in a group that has none."""
+    found = near_duplicates(docs, shingle_words, max_bits, blocks, bucket_rows)
+    stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    again = kept.filter("_n > 1").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"])
+    return kept.filter("_n = 1").select(*docs.columns).union(again.select(*docs.columns))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

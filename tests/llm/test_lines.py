@@ -7,7 +7,12 @@ import pytest
 from communa.llm import lines
 
 
-def naive(rows, least=3):
+def shingles(line, width):
+    words = line.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def naive(rows, least=3, width=5):
     """rows of (doc_id, text) -> kept text of each, by comparing each line with all before it."""
     last = 1 << 70
     todo = sorted({(d if d is not None else last, t) for d, t in rows if t is not None}, key=lambda x: x[0])
@@ -15,10 +20,10 @@ def naive(rows, least=3):
     for d, t in todo:
         left = []
         for line in t.encode().split(b"\n"):
-            words = set(line.lower().split())
-            if len(words) < least:
+            if len(line.split()) < least:
                 left.append(line)
                 continue
+            words = shingles(line, width)
             if not any(len(words & b) * 5 >= len(words | b) * 4 for b in before):
                 left.append(line)
             before.append(words)
@@ -48,14 +53,13 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize(("buckets", "first"), [(1 << 20, 3), (64, 3), (1 << 20, 0)])
-def test_against_all_pairs(spark, copies, buckets, first, monkeypatch):
-    if not first:
-        monkeypatch.setattr(lines, "LEADERS", 1)
-        monkeypatch.setattr(lines, "FIRST_WORDS", 1)
+@pytest.mark.parametrize(("buckets", "leaders", "width"), [(1 << 17, 2, 5), (64, 1, 1), (1 << 17, 2, 2)])
+def test_against_all_pairs(spark, copies, buckets, leaders, width, monkeypatch):
+    monkeypatch.setattr(lines, "LEADERS", leaders)
+    monkeypatch.setattr(lines, "_AT_ONCE", 100)
     df = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
-    got = lines.dedup_lines(df, buckets=buckets).collect()
-    assert Counter((r.doc_id, r.kept_text) for r in got) == naive(copies)
+    got = lines.dedup_lines(df, shingle=width, buckets=buckets).collect()
+    assert Counter((r.doc_id, r.kept_text) for r in got) == naive(copies, width=width)
     assert sum(r.n_removed for r in got) > 50
 
 
@@ -68,5 +72,5 @@ def test_odd_documents(odd_docs, no_docs):
 
 def test_threshold_is_exact(spark):
     df = spark.createDataFrame([(0, "a b c d"), (1, "a b c d e"), (2, "a b c d e f g")], "doc_id long, text string")
-    assert [r.kept_text for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == ["a b c d", "", "a b c d e f g"]
-    assert [r.kept_text for r in lines.dedup_lines(df, Fraction(5, 7)).orderBy("doc_id").collect()] == ["a b c d", "", ""]
+    assert [r.kept_text for r in lines.dedup_lines(df, shingle=1).orderBy("doc_id").collect()] == ["a b c d", "", "a b c d e f g"]
+    assert [r.kept_text for r in lines.dedup_lines(df, Fraction(5, 7), shingle=1).orderBy("doc_id").collect()] == ["a b c d", "", ""]
