@@ -54,9 +54,9 @@ def symbol(line: str, after_blank: bool) -> int:
     return ((kind * 2 + after_blank) * 3 + size) * 2 + text.endswith("?")
 
 
-def symbols(lines: list[str]) -> np.ndarray:
-    """Symbols of consecutive lines; the first counts as after a blank one."""
-    blank = [True, *(not x.strip() for x in lines[:-1])]
+def symbols(lines: list[str], after_blank: bool = True) -> np.ndarray:
+    """Symbols of consecutive lines; the first of a transcript counts as after a blank one."""
+    blank = [after_blank, *(not x.strip() for x in lines[:-1])]
     return np.array([symbol(x, b) for x, b in zip(lines, blank, strict=True)], np.int64)
 
 
@@ -194,27 +194,30 @@ def fit(conversations: DataFrame, where: Column | None = None, transcripts: int
     return Model(labelled([x[1:] for x in sorted(turns[c])], i) for i, c in enumerate(sorted(turns)))
 
 
-def _chunk_summary(model: Model, lines: list[str]) -> tuple[list[float], list[float]]:
+def _chunk_summary(model: Model, lines: list[str]) -> tuple[list[float], list[float], list[float], bool]:
+    """Spans after a line that is not blank and after a blank one, scores of the last states if the chunk is the first, and whether it ends blank."""
     codes = symbols(lines)
-    alone = (model.first + model.shown[:, codes[0]])[:, None] + np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)
-    head = alone
+    head = model.first + model.shown[:, codes[0]]
     for c in codes[1:]:
-        head = (head[:, :, None] + model.after[None]).max(1) + model.shown[:, c]
-    return model.span(codes).ravel().tolist(), head.max(0).tolist()
-
-
-def _join_chunks(spans: list[tuple[int, list[float], list[float]]], model: Model) -> list[tuple[int, list[float] | None, int]]:
-    """(chunk, span, head) in order -> (chunk, scores of the states before it or None, last state)."""
-    score, before = None, []
-    for _, span, head in spans:
-        before.append(score)
-        score = np.array(head) if score is None else (score[:, None] + np.array(span).reshape(STATES, STATES)).max(0)
-    state, out = int(score.argmax()), []
-    for (chunk, span, _), start in zip(reversed(spans), reversed(before), strict=True):
-        out.append((chunk, None if start is None else start.tolist(), state))
+        head = (head[:, None] + model.after).max(0) + model.shown[:, c]
+    return model.span(symbols(lines, False)).ravel().tolist(), model.span(codes).ravel().tolist(), head.tolist(), not lines[-1].strip()
+
+
+def _join_chunks(chunks: list[dict]) -> Iterator[tuple[int, list[float] | None, int, bool]]:
+    """Summaries in order -> (chunk, scores of the states before it or None, last state, whether a blank line comes before), last first."""
+    score: np.ndarray | None = None
+    before = []
+    blank = True
+    for x in chunks:
+        span = np.array(x["wide" if blank else "span"]).reshape(STATES, STATES)
+        before.append((score, span, blank))
+        score = np.array(x["head"]) if score is None else (score[:, None] + span).max(0)
+        blank = x["blank"]
+    state = int(score.argmax())
+    for x, (start, span, blank) in zip(reversed(chunks), reversed(before), strict=True):
+        yield x["chunk"], None if start is None else start.tolist(), state, blank
         if start is not None:
-            state = int((start + np.array(span).reshape(STATES, STATES)[:, state]).argmax())
-    return out[::-1]
+            state = int((start + span[:, state]).argmax())
 
 
 def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
@@ -233,19 +236,20 @@ def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUN
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_chunk_summary(shared.value, x) for x in batch.column(2).to_pylist()]
-            yield pa.record_batch([*batch.columns[:2], *(pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in (0, 1))], ["conv_id", "chunk", "span", "head"])
+            scores = (pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in range(3))
+            yield pa.record_batch([*batch.columns[:2], *scores, pa.array([f[3] for f in found], pa.bool_())], ["conv_id", "chunk", "span", "wide", "head", "blank"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(conv, *x) for conv, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _join_chunks([(s["chunk"], s["span"], s["head"]) for s in spans], shared.value)]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32())
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "chunk", "start", "last"])
+            rows = [(conv, *x) for conv, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _join_chunks(spans)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.bool_())
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "chunk", "start", "last", "blank"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, number, lines, truth, start, last, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = symbols(lines)
+            for conv, number, lines, truth, start, last, blank, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = symbols(lines, blank)
                 if start is None:
                     lead = shared.value.first + shared.value.shown[:, codes[0]]
                     states = shared.value.path(codes[1:], lead, last)
@@ -265,12 +269,12 @@ def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUN
 
     small_batches(spark)
     full = chunks.filter(F.size("lines") > 0)
-    spans = full.select("conv_id", "chunk", "lines").mapInArrow(summarise, "conv_id long, chunk long, span array<double>, head array<double>")
-    chained = spans.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "span", "head"))).alias("spans"))
-    known = chained.mapInArrow(join, "conv_id long, chunk long, start array<double>, last int")
+    spans = full.select("conv_id", "chunk", "lines").mapInArrow(summarise, "conv_id long, chunk long, span array<double>, wide array<double>, head array<double>, blank boolean")
+    chained = spans.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "span", "wide", "head", "blank"))).alias("spans"))
+    known = chained.mapInArrow(join, "conv_id long, chunk long, start array<double>, last int, blank boolean")
     final = F.col("chunk") == F.col("top")
     tops = full.groupBy("conv_id").agg(F.max("chunk").alias("top"))
-    ready = full.join(known, ["conv_id", "chunk"]).join(tops, "conv_id").select("conv_id", "chunk", "lines", "truth", "start", "last", final.alias("final"))
+    ready = full.join(known, ["conv_id", "chunk"]).join(tops, "conv_id").select("conv_id", "chunk", "lines", "truth", "start", "last", "blank", final.alias("final"))
     return ready.mapInArrow(write, "conv_id long, chunk long, n_lines long, n_turns long, n_right long, roles string, rendered string")
 
 
