@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import map_batches, release_memory, small_batches, table
-from communa.storage import materialize
+from communa.storage import drop, materialize
 
 LENGTH = 400
 ANCHOR = 128
 #: Distinct spans under one anchor that a shard takes.
-CROWD = 1024
+CROWD = 4096
 #: Bytes of text that are indexed at once; a shard is closed at the first anchor past it.
 SHARD = 1 << 19
 #: Bytes of text that are cut into spans at once; a longer text goes in pieces.
@@ -296,7 +296,7 @@ def _counted(spans: DataFrame, length: int) -> DataFrame:
 
 
 def marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(rid, text binary) -> (rid, first, last): ranges of windows to remove. Rows that share a rid share a text."""
+    """(rid, text binary) -> written (rid, first array, last array): ranges of windows to remove. Rows that share a rid share a text."""
     found = materialize(cells(rows, length, anchor))
     own = found.filter("times > 0")
     spans = own.groupBy("anchor", "span").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "first", "last")).alias("at"))
@@ -309,7 +309,10 @@ def marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: in
     out = out.union(_indexed(_cut(rows, mixed.filter("not crowded"), length), length, shard))
     if mixed.filter("crowded").limit(1).count():
         out = out.union(_counted(materialize(_cut(rows, mixed.filter("crowded"), length)), length))
-    return out
+    lists = materialize(out.groupBy("rid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")))
+    for made in (found, spans, mixed):
+        drop(made)
+    return lists
 
 
 def kept(text: bytes, first: list[int], last: list[int], length: int) -> tuple[bytes, int, int]:
@@ -336,8 +339,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"))
-    found = marks(rows.select("rid", "text"), length, anchor, crowd, shard)
-    lists = found.groupBy("rid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    lists = marks(rows.select("rid", "text"), length, anchor, crowd, shard)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [kept(x, a, b, length) if a else (x, 0, 0) for x, a, b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
