@@ -4,7 +4,7 @@ A line is its set of word shingles: ``shingle`` lower-cased words, or all of the
 are ordered by rarity (counts over the whole corpus in ``buckets`` hashed counters, then by hash), so two lines of Jaccard
 similarity ``threshold`` or more share a shingle of both prefixes. Equal sets meet under their hash first; distinct
 sets meet under the shingles of their prefixes, pass length and positional filters and a bound from the parities of
-hashed bits, and are verified on their whole sets. A line goes if an earlier line, by (doc_id, line), matches it.
+hashed bits, and are verified on their whole sets. A line goes if an earlier line, by (doc_id, line number), matches it.
 
 Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, which settles families of
 many near-copies in linear work. Sets that this leaves standing, and that passed with more, are checked against all.
@@ -12,13 +12,11 @@ many near-copies in linear work. Sets that this leaves standing, and that passed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +31,18 @@ LEAST_WORDS = 3
 BUCKETS = 1 << 17
 #: Earlier sets that each set is first checked against.
 LEADERS = 2
-_SEED = 7
-#: Words whose hash a worker remembers, and words taken at once.
-_REMEMBERED, _AT_ONCE = 1_000_000, 1 << 18
+#: Rows of one long that are broadcast at most.
+_FEW = 200_000
+#: Bytes of text taken at once.
+_AT_ONCE = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, the same for either case of a letter; a word's hash is their polynomial in _RATIO.
+_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_RATIO = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -44,51 +50,66 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word, _SEED)
-        return found
+def _powers(ratio: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, ratio)
+    out[0] = 1
+    return np.cumprod(out)
 
 
 class Shingles:
-    """Hashed shingles of lines."""
+    """Hashed shingles of the lines of texts."""
 
     def __init__(self, shingle: int, least: int):
-        self.shingle, self.least, self.known = shingle, least, _Hashes()
-
-    def hashes(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Lines of words -> (line number, shingle) in order, repeats included."""
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lines)), np.uint64, int(size.sum()))
+        self.shingle, self.least = shingle, least
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of text that ends with a line feed: (line of each word, hash of each word, places of the line feeds)."""
+        x = np.frombuffer(raw, np.uint8)
+        if len(self.up) < len(x):
+            n = 1 << len(x).bit_length()
+            self.up, self.down = _powers(_RATIO, n), _powers(_BACK, n)
+        space = _SPACE[x]
+        start, end = np.flatnonzero(~space & np.r_[True, space[:-1]]), np.flatnonzero(space & np.r_[False, ~space[:-1]])
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[x] * self.up[: len(x)])]
+        h = (sums[end] - sums[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        feeds = np.flatnonzero(x == 10)
+        return np.searchsorted(feeds, start), h, feeds
+
+    def hashes(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of so many words each -> (line number, shingle) in order, repeats included."""
         number = np.maximum(size - self.shingle + 1, 1)
-        line = np.repeat(np.arange(len(lines)), number)
+        line = np.repeat(np.arange(len(size)), number)
         first = np.arange(len(line)) + np.repeat(np.cumsum(size) - size - (np.cumsum(number) - number), number)
         width = np.minimum(size, self.shingle)[line]
         h = width.astype(np.uint64)
         padded = np.r_[words, np.zeros(self.shingle, np.uint64)]
+        short = width < self.shingle
         for k in range(self.shingle):
-            h = np.where(k < width, (h ^ padded[first + k]) * _PRIME, h)
-            h ^= h >> np.uint64(31)
+            new = (h ^ padded[first + k]) * _PRIME
+            h = np.where(short & (k >= width), h, new ^ new >> np.uint64(31))
         return line, h
 
-    def lines(self, texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
-        """(text numbers, line numbers, words) of the lines that take part, about _AT_ONCE words at a time."""
-        rows, numbers, words, total = [], [], [], 0
+    def lines(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text numbers, line numbers, words in each, words) of the lines that take part, about _AT_ONCE bytes at a time."""
+        group, total = [], 0
         for i, text in enumerate(texts):
             if text:
-                for j, line in enumerate(text.lower().split(b"\n")):
-                    if len(found := line.split()) >= self.least:
-                        rows.append(i)
-                        numbers.append(j)
-                        words.append(found)
-                        total += len(found)
-                        if total > _AT_ONCE:
-                            yield rows, numbers, words
-                            rows, numbers, words, total = [], [], [], 0
-        if rows:
-            yield rows, numbers, words
+                group.append(i)
+                total += len(text)
+            if group and (total > _AT_ONCE or i == len(texts) - 1):
+                line, words, feeds = self.words(b"".join(x for j in group for x in (texts[j], b"\n")))
+                size = np.bincount(line, minlength=len(feeds))
+                ends = np.cumsum([len(texts[j]) + 1 for j in group])
+                owner = np.searchsorted(ends, feeds, "right")
+                number = np.arange(len(feeds)) - np.r_[0, np.searchsorted(feeds, ends[:-1])][owner]
+                taken = size >= self.least
+                if taken.any():
+                    yield np.array(group)[owner[taken]], number[taken], size[taken], words[taken[line]]
+                group, total = [], 0
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> np.ndarray:
@@ -97,8 +118,8 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, leas
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, total = Shingles(shingle, least), np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, _, words in maker.lines(batch.column(0).to_pylist()):
-                total += np.bincount((maker.hashes(words)[1] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+            for _, _, size, words in maker.lines(batch.column(0).to_pylist()):
+                total += np.bincount((maker.hashes(size, words)[1] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
@@ -119,9 +140,9 @@ class LineSets:
     def __init__(self, codes: np.ndarray, threshold: Fraction, shingle: int, least: int):
         self.codes, self.threshold, self.maker = codes, threshold, Shingles(shingle, least)
 
-    def sets(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def sets(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(set hash, size, prefix offsets, prefix shingles, their places, parities) of the lines."""
-        line, h = self.maker.hashes(words)
+        line, h = self.maker.hashes(size, words)
         code = self.codes[(h % np.uint64(len(self.codes))).astype(np.int64)]
         key = line.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
         order = np.argsort(key)
@@ -131,7 +152,7 @@ class LineSets:
         line, h = line[order], h[order]
         one = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])]
         line, h = line[one], h[one]
-        n = np.bincount(line, minlength=len(words))
+        n = np.bincount(line, minlength=len(size))
         start = np.cumsum(n) - n
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
@@ -145,7 +166,7 @@ class LineSets:
         return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), place[taken], parity.view(np.int64)
 
 
-_FIRST = "struct<doc:long,rid:long,line:int>"
+_FIRST = "struct<doc:long,line:int,rid:long>"
 _PARITY = ["b0", "b1", "b2", "b3"]
 
 
@@ -156,16 +177,16 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int) -> DataFrame:
-    """Distinct shingle sets: (s set hash, n, first (doc, rid, line) of its earliest line, prefix shingles and places, parities of 256 hashed bits)."""
+    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles and places, parities of 256 hashed bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = LineSets(shared.value, threshold, shingle, least)
         for batch in batches:
             doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
-            for row, line, words in sets.maker.lines(batch.column(2).to_pylist()):
-                s, n, offset, taken, place, parity = sets.sets(words)
-                first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(rid[row]), pa.array(np.array(line, np.int32))], ["doc", "rid", "line"])
+            for row, line, size, words in sets.maker.lines(batch.column(2).to_pylist()):
+                s, n, offset, taken, place, parity = sets.sets(size, words)
+                first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(line.astype(np.int32)), pa.array(rid[row])], ["doc", "line", "rid"])
                 lists = [pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(v)) for v in (taken, place.astype(np.int32))]
                 yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists, *map(pa.array, parity)], ["s", "n", "first", "words", "places", *_PARITY])
 
@@ -175,14 +196,14 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle:
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, doc, s, n, place, parity) -> (x, y, more): pairs that pass the filters under a word; y comes before x by (doc, s), which
-    says nothing of lines within a document.
+    """(word, doc, line, s, n, place, parities even and odd) -> (x, y, more): pairs that pass the filters under a word; y comes before x by (doc, line, s).
 
     With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them."""
     p, q = threshold.numerator, threshold.denominator
 
-    def pairs(word: np.ndarray, doc: np.ndarray, s: np.ndarray, code: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place, bits = code >> 32, code & 0xFFFFFFFF, parity.view(np.uint64)
+    def pairs(word: np.ndarray, s: np.ndarray, code: np.ndarray, even: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, place = code >> 32, code & 0xFFFFFFFF
+        even, odd = even.view(np.uint64), odd.view(np.uint64)
         cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
         start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
         i, k = np.flatnonzero(start < np.arange(len(word))), 0
@@ -191,7 +212,8 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
             j = start[i] + k
             total = n[i] + n[j]
             ok = (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * total)
-            ok &= (total - np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)) * (p + q) >= 2 * p * total
+            apart = np.bitwise_count(even[i] ^ even[j]).astype(np.int64) + np.bitwise_count(odd[i] ^ odd[j])
+            ok &= (total - apart) * (p + q) >= 2 * p * total
             hit = np.flatnonzero(ok)
             if len(hit):
                 found[i[hit]] += 1
@@ -214,13 +236,13 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
             yield from pairs(*rest)
 
     code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
-    dealt = rows.select("word", "doc", "s", code.alias("code"), "parity").repartition("word").sortWithinPartitions("word", "doc", "s")
+    dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
-def _later(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
-    """(s): the later set of each pair (x, y) that verifies. Whole sets are made, by another look at the texts, for those pairs alone
+def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
+    """(s): those x of pairs (x, y) that verify. Whole sets are made, by another look at the texts, for those pairs alone
     whose 256 parities do not already show too many shingles of one set only."""
     p, q = threshold.numerator, threshold.denominator
     own = sets.select("s", "n", "first", *_PARITY)
@@ -235,34 +257,40 @@ def _later(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fracti
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         maker, found = Shingles(shingle, 1), {}
         for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            split = text.lower().split(b"\n")
+            split = text.split(b"\n")
             for x in lines:
-                found[x["s"]] = np.unique(maker.hashes([split[x["line"]].split()])[1]).view(np.int64)
+                words = maker.words(split[x["line"]] + b"\n")[1]
+                found[x["s"]] = np.unique(maker.hashes(np.array([len(words)]), words)[1]).view(np.int64)
         return pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["s", "tokens"])
 
     texts = _ordered(docs).join(lists, "rid").select("text", "lines")
     words = materialize(map_batches(texts, fetch, "s long, tokens array<long>").dropDuplicates(["s"]))
     full = near.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
     full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
-    return full.select(F.when(F.col("xf") > F.col("yf"), F.col("x")).otherwise(F.col("y")).alias("s")).distinct()
+    return full.select(F.col("x").alias("s")).distinct()
+
+
+def _small(side: DataFrame, join: Callable, on: str) -> DataFrame:
+    """Join with a written table of one long column, broadcast if its counted rows are few."""
+    return join(F.broadcast(side) if side.count() <= _FEW else side, on)
 
 
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
     sets = materialize(line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least))
-    fold = F.col("b0").bitwiseXOR(F.col("b1")).bitwiseXOR(F.col("b2")).bitwiseXOR(F.col("b3"))
-    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), fold.alias("parity"), F.explode(F.arrays_zip("words", "places")).alias("at"))
-    rows = rows.select("s", "n", "doc", "parity", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
+    even, odd = F.col("b0").bitwiseXOR(F.col("b2")).alias("even"), F.col("b1").bitwiseXOR(F.col("b3")).alias("odd")
+    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), even, odd, F.explode(F.arrays_zip("words", "places")).alias("at"))
+    rows = rows.select("s", "n", "doc", "line", "even", "odd", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
     pairs = materialize(_candidates(rows, threshold, LEADERS))
-    gone = materialize(_later(docs, pairs, sets, threshold, shingle))
-    # a set may stand although a pair that was not looked at would remove it, or another set by it
+    gone = materialize(_verified(docs, pairs, sets, threshold, shingle))
+    # sets that stand although a pair that was not looked at may remove them
     open_ = pairs.filter("more").select(F.col("x").alias("s")).distinct().join(gone, "s", "left_anti")
+    open_ = materialize(open_)
     if open_.limit(1).count():
-        words = rows.join(open_, "s").select("word").distinct()
-        every = _candidates(rows.join(words, "word"), threshold, None)
-        asked = open_.withColumnRenamed("s", "x").withColumn("asked", F.lit(True))
-        more = every.join(asked, "x", "left").join(asked.select(F.col("x").alias("y"), F.col("asked").alias("asked_y")), "y", "left").filter("asked or asked_y")
-        gone = gone.union(_later(docs, materialize(more.select("x", "y")), sets, threshold, shingle)).distinct()
+        words = materialize(_small(open_, rows.join, "s").select("word").distinct())
+        every = _candidates(_small(words, rows.join, "word"), threshold, None)
+        more = every.join(open_.withColumnRenamed("s", "x"), "x", "left_semi")
+        gone = gone.union(_verified(docs, materialize(more.select("x", "y")), sets, threshold, shingle)).distinct()
     kept = sets.select("s", "first").join(gone, "s", "left_anti")
     return materialize(kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept")))
 
@@ -280,7 +308,8 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     """(doc_id, text, ...) -> (doc_id, text, kept_text, n_lines long, n_removed long), a row per input row; lines end at line feeds.
 
     Null text stays null, with no lines; empty text is one line that stays, as do lines of fewer than ``least`` words.
-    Rows that repeat both doc_id and text share one decision on each line; a null doc_id counts as the last.
+    Rows that repeat both doc_id and text share one decision on each line; a null doc_id counts as the last, and among lines of
+    one number under one doc_id, in different texts, the set hash sets the order.
     Other columns are left out.
     """
     keyed = _key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
