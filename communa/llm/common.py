@@ -31,6 +31,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+        release_memory()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

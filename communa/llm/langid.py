@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from communa.llm.common import small_batches, table
+from communa.llm.common import release_memory, small_batches, table
 
 #: Bound of the labelled sample for each language, number of landmarks over all languages, ridge, steepness of the score.
 PER_LANG, LANDMARKS, RIDGE, STEEP = 300, 128, 1e-2, 6.0
@@ -152,6 +152,7 @@ def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             lang, score = shared.value.predict(batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        release_memory()
 
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communa.llm.common import map_batches, small_batches, table
+from communa.llm.common import map_batches, release_memory, small_batches, table
 from communa.storage import materialize
 
 THRESHOLD = Fraction(4, 5)
@@ -124,6 +124,7 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, leas
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
             yield pa.record_batch([pa.array(part), pa.array(total[part])], ["b", "n"])
+        release_memory()
 
     small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
@@ -189,6 +190,7 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle:
                 first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(line.astype(np.int32)), pa.array(rid[row])], ["doc", "line", "rid"])
                 lists = [pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(v)) for v in (taken, place.astype(np.int32))]
                 yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists, *map(pa.array, parity)], ["s", "n", "first", "words", "places", *_PARITY])
+        release_memory()
 
     small_batches(docs.sparkSession)
     lines = _ordered(docs).mapInArrow(run, f"s long, n int, first {_FIRST}, words array<long>, places array<int>, " + ", ".join(f"{c} long" for c in _PARITY))
@@ -234,6 +236,7 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
             rest = [c[split:] for c in now]
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
+        release_memory()
 
     code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
     dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd")

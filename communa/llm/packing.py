@@ -25,9 +25,9 @@ CAPACITY = 2048
 #: Groups that the pieces of one length are counted in.
 SALT = 256
 #: Steps of the search for fillings around one document, and of the search over whole packings.
-FILL_STEPS, SEARCH_STEPS = 300, 4000
+FILL_STEPS, SEARCH_STEPS = 300, 1500
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, LONG = 800_000, 64
+REMEMBERED, LONG = 500_000, 64
 #: Words of letters that one call to the tokenizer takes.
 _JOINED = 500
 #: Words whose letters fold alike everywhere, and such words as letters and a tail of punctuation.

@@ -169,7 +169,7 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BIT
     and text one stays, and so does one of each text without doc_id in a group that has none."""
     found = near_duplicates(docs, shingle_words, max_bits, blocks, bucket_rows)
     stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    kept = docs.join(stay.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     again = kept.filter("_n > 1").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"])
     return kept.filter("_n = 1").select(*docs.columns).union(again.select(*docs.columns))
 
