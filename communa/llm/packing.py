@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ CAPACITY = 2048
 #: Groups that the pieces of one length are counted in.
 SALT = 256
 #: Steps of the search for fillings around one document, and of the search over whole packings.
-FILL_STEPS, SEARCH_STEPS = 300, 1500
+FILL_STEPS, SEARCH_STEPS = 300, 4000
 #: Pre-tokens that a worker remembers, and the longest that it does.
 REMEMBERED, LONG = 500_000, 64
 #: Words of letters that one call to the tokenizer takes.
@@ -175,14 +176,15 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 12
     found: dict[Pattern, int] = {}
     steps = 0
     taken: list[int] = []
+    falling = [-n for n in sizes]
 
     def go(at: int, left: int) -> bool:
         nonlocal steps
         steps += 1
         grew = False
-        for i in range(at, len(sizes)):
+        for i in range(max(at, bisect_left(falling, -left)), len(sizes)):
             n = sizes[i]
-            if n > left or taken.count(n) >= counts[n]:
+            if taken.count(n) >= counts[n]:
                 continue
             grew = True
             taken.append(n)
@@ -200,8 +202,9 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 12
         sums = {0: 0}
         for n in pattern:
             sums |= {s + n: max(k + 1, sums.get(s + n, 0)) for s, k in list(sums.items())}
-        spare = [n for n in sizes if pattern.count(n) < counts[n]]
-        if not any(k and (0 < n - s <= waste or n == s and k > 1) for s, k in sums.items() for n in spare):
+        # lengths left out that are in reach of some sum of the pattern's
+        near = {n for s, k in sums.items() if k for n in sizes[bisect_left(falling, -s - waste) : bisect_right(falling, -s)] if n > s or k > 1}
+        if all(pattern.count(n) >= counts[n] for n in near):
             out.append(pattern)
     return (out or [min(found, key=found.get)])[:keep]
 
@@ -217,7 +220,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
     best = best_fit(counts, capacity)
     best_bins, bound = sum(c for _, c in best), lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
-    left, path, waste, steps = dict(counts), [], 0, 0
+    left, path, waste, steps, items = dict(counts), [], 0, 0, sum(counts.values())
 
     def choices() -> Iterator[tuple[Pattern, int, int]]:
         sizes = sorted((n for n, c in left.items() if c), reverse=True)
@@ -244,6 +247,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
             if path:
                 pattern, number = path.pop()
                 apply(pattern, -number)
+                items += number * len(pattern)
                 waste -= number * (capacity - sum(pattern))
             continue
         pattern, number, lost = step
@@ -252,13 +256,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
         apply(pattern, number)
         path.append((pattern, number))
         waste += number * lost
-        if any(left.values()):
+        items -= number * len(pattern)
+        if items:
             stack.append(choices())
             continue
         if (bins := sum(c for _, c in path)) < best_bins:
             best, best_bins = list(path), bins
         path.pop()
         apply(pattern, -number)
+        items += number * len(pattern)
         waste -= number * lost
     merged: dict[Pattern, int] = {}
     for pattern, number in best:
