@@ -6,8 +6,9 @@ similarity ``threshold`` or more share a shingle of both prefixes. Equal sets me
 sets meet under the shingles of their prefixes, pass length and positional filters and a bound from the parities of
 hashed bits, and are verified on their whole sets. A line goes if an earlier line, by (doc_id, line number), matches it.
 
-Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, which settles families of
-many near-copies in linear work. Sets that this leaves standing, and that passed with more, are checked against all.
+Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, and under a shingle of more
+than ``DENSE`` sets only by those that have it among their ``RAREST``: that settles families of many near-copies in linear
+work. Sets that this leaves standing, and that may have passed with more, are then checked against all.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE = 5
 LEAST_WORDS = 3
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
 BUCKETS = 1 << 17
-#: Earlier sets that each set is first checked against.
-LEADERS = 2
+#: Earlier sets that each set is first checked against; sets of a crowded shingle, and the places that still look there.
+LEADERS, DENSE, RAREST = 1, 16, 2
 #: Rows of one long that are broadcast at most.
 _FEW = 200_000
 #: Bytes of text taken at once.
@@ -198,17 +199,26 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle:
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, doc, line, s, n, place, parities even and odd) -> (x, y, more): pairs that pass the filters under a word; y comes before x by (doc, line, s).
+    """(word, doc, line, s, n, place, parities even and odd, asked) -> (x, y, more): pairs that pass the filters under a word; x is asked for and y
+    comes before it by (doc, line, s).
 
-    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them."""
+    With ``leaders``, each x has its first so many y, and ``more`` if others follow, and of a crowded word only sets that have it among
+    their rarest look there: the word itself is told, as x, with no y. Without, all pairs are told."""
     p, q = threshold.numerator, threshold.denominator
+    dense, rarest = DENSE, RAREST
 
     def pairs(word: np.ndarray, s: np.ndarray, code: np.ndarray, even: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place = code >> 32, code & 0xFFFFFFFF
+        n, place, asked = code >> 32, (code & 0xFFFFFFFF) >> 1, code & 1 > 0
         even, odd = even.view(np.uint64), odd.view(np.uint64)
         cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
         start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
-        i, k = np.flatnonzero(start < np.arange(len(word))), 0
+        i, k = np.flatnonzero((start < np.arange(len(word))) & asked), 0
+        if leaders:
+            crowded = np.diff(np.r_[cut, len(word)]) > dense
+            if crowded.any():
+                told = word[cut[crowded]]
+                yield pa.record_batch([pa.array(told), pa.nulls(len(told), pa.int64()), pa.array(np.ones(len(told), bool))], ["x", "y", "more"])
+                i = i[(place[i] < rarest) | ~np.repeat(crowded, np.diff(np.r_[cut, len(word)]))[i]]
         found = np.zeros(len(word), np.int64)
         while len(i):
             j = start[i] + k
@@ -238,7 +248,7 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
             yield from pairs(*rest)
         release_memory()
 
-    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
     dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
@@ -266,7 +276,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fra
                 found[x["s"]] = np.unique(maker.hashes(np.array([len(words)]), words)[1]).view(np.int64)
         return pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["s", "tokens"])
 
-    texts = _ordered(docs).join(lists, "rid").select("text", "lines")
+    texts = _ordered(docs).join(lists.hint("shuffle_hash"), "rid").select("text", "lines")
     words = materialize(map_batches(texts, fetch, "s long, tokens array<long>").dropDuplicates(["s"]))
     full = near.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
     full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
@@ -284,15 +294,18 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     even, odd = F.col("b0").bitwiseXOR(F.col("b2")).alias("even"), F.col("b1").bitwiseXOR(F.col("b3")).alias("odd")
     rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), even, odd, F.explode(F.arrays_zip("words", "places")).alias("at"))
     rows = rows.select("s", "n", "doc", "line", "even", "odd", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
-    pairs = materialize(_candidates(rows, threshold, LEADERS))
-    gone = materialize(_verified(docs, pairs, sets, threshold, shingle))
+    pairs = materialize(_candidates(rows.withColumn("asked", F.lit(True)), threshold, LEADERS))
+    gone = materialize(_verified(docs, pairs.filter("y is not null"), sets, threshold, shingle))
     # sets that stand although a pair that was not looked at may remove them
-    open_ = pairs.filter("more").select(F.col("x").alias("s")).distinct().join(gone, "s", "left_anti")
-    open_ = materialize(open_)
+    passed = pairs.filter("more and y is not null").select(F.col("x").alias("s"))
+    crowded = materialize(pairs.filter("y is null").select(F.col("x").alias("word")))
+    unlooked = rows.filter(F.col("place") >= RAREST).join(gone, "s", "left_anti")
+    open_ = materialize(passed.join(gone, "s", "left_anti").union(_small(crowded, unlooked.join, "word").select("s")).distinct())
     if open_.limit(1).count():
         words = materialize(_small(open_, rows.join, "s").select("word").distinct())
-        every = _candidates(_small(words, rows.join, "word"), threshold, None)
-        more = every.join(open_.withColumnRenamed("s", "x"), "x", "left_semi")
+        asked = open_.withColumn("asked", F.lit(True))
+        near = _small(words, rows.join, "word").join(asked, "s", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        more = _candidates(near, threshold, None)
         gone = gone.union(_verified(docs, materialize(more.select("x", "y")), sets, threshold, shingle)).distinct()
     kept = sets.select("s", "first").join(gone, "s", "left_anti")
     return materialize(kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept")))
@@ -322,7 +335,7 @@ def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
         new = pa.array([x[0] for x in found], pa.binary()).cast(pa.string())
         return pa.record_batch([batch.column(0), batch.column(1).cast(pa.string()), new, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2))], ["doc_id", "text", "kept_text", "n_lines", "n_removed"])
 
-    joined = keyed.join(kept_lines(docs, threshold, shingle, least, buckets), "_rid", "left").select("doc_id", F.col("text").cast("binary"), "_kept")
+    joined = keyed.join(kept_lines(docs, threshold, shingle, least, buckets).hint("shuffle_hash"), "_rid", "left").select("doc_id", F.col("text").cast("binary"), "_kept")
     return map_batches(joined, run, "doc_id long, text string, kept_text string, n_lines long, n_removed long")
 
 
@@ -337,7 +350,7 @@ def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int
         columns[at] = pa.array([rebuild(x, k, least)[0] for x, k in zip(texts, columns.pop().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
         return pa.record_batch(columns, names)
 
-    joined = _key(docs).join(kept_lines(docs, threshold, shingle, least, buckets), "_rid", "left").select(*names, "_kept")
+    joined = _key(docs).join(kept_lines(docs, threshold, shingle, least, buckets).hint("shuffle_hash"), "_rid", "left").select(*names, "_kept")
     return map_batches(joined, run, docs.schema)
 
 
