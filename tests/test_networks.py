@@ -203,6 +203,7 @@ def test_table_function(spark):
 
 def test_stream_rescores(spark, tmp_path):
     source = tmp_path / "in"
+    source.mkdir()
     stream = spark.readStream.schema("src string, dst string, weight double").option("maxFilesPerTrigger", 1).parquet(str(source))
     found = spark.createDataFrame(list(ONE.items()), "node string, cluster long")
     for i, part in enumerate((org()[:4], org()[4:])):
