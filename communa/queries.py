@@ -476,7 +476,7 @@ def leiden_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = net(spark, sf_dir, "user_type").cache()
     many, one = (scoring.quality_rows(n, leiden_clustering(n, seed=3, trials=t)[1]) for t in (6, 1))
     both = many.crossJoin(one.withColumnRenamed("quality", "one"))  # of one row each
-    return both.select((F.col("quality") >= F.col("one") - 1e-12).alias("at_least_one_trial"), F.lit(n.nodes.count()).alias("n_nodes"))
+    return both.select((F.col("quality") >= F.col("one") - 1e-12).alias("at_least_one_trial"), F.lit(n.nodes.count()).cast("long").alias("n_nodes"))
 
 
 @query(REGION + " select (select count(*) from nodes) as n_nodes, true as all_covered, true as start_kept_or_better")
@@ -486,7 +486,7 @@ def leiden_from_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leiden_clustering(n, start, seed=2)[1]
     both = scoring.quality_rows(n, found).crossJoin(scoring.quality_rows(n, start).withColumnRenamed("quality", "before"))  # of one row each
     covered = found.rows.count()
-    return both.select(F.lit(n.nodes.count()).alias("n_nodes"), F.lit(covered).__eq__(F.lit(n.nodes.count())).alias("all_covered"), (F.col("quality") >= F.col("before") - 1e-12).alias("start_kept_or_better"))
+    return both.select(F.lit(n.nodes.count()).cast("long").alias("n_nodes"), F.lit(covered).__eq__(F.lit(n.nodes.count())).alias("all_covered"), (F.col("quality") >= F.col("before") - 1e-12).alias("start_kept_or_better"))
 
 
 _PAIRS = "with n as (select c_custkey as k from customer where c_custkey < (select floor(count(*) / 8) * 8 from customer))"
