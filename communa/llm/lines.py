@@ -6,9 +6,9 @@ similarity ``threshold`` or more share a shingle of both prefixes. Equal sets me
 sets meet under the shingles of their prefixes, pass length and positional filters and a bound from the parities of
 hashed bits, and are verified on their whole sets. A line goes if an earlier line, by (doc_id, line number), matches it.
 
-Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, and under a shingle of more
-than ``DENSE`` sets only by those that have it among their ``RAREST``: that settles families of many near-copies in linear
-work. Sets that this leaves standing, and that may have passed with more, are then checked against all.
+Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, which settles families of
+many near-copies in linear work; a pair whose prefixes agree in the shingle before too was met there. Sets that this leaves
+standing, and that passed with more, are then checked against all.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ SHINGLE = 5
 LEAST_WORDS = 3
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
 BUCKETS = 1 << 17
-#: Earlier sets that each set is first checked against; sets of a crowded shingle, and the places that still look there.
-LEADERS, DENSE, RAREST = 1, 16, 2
-#: Rows of one long that are broadcast at most.
-_FEW = 200_000
+#: Earlier sets that each set is first checked against.
+LEADERS = 2
+#: Rows of one long that are broadcast at most: 16 MB.
+_FEW = 2_000_000
 #: Bytes of text taken at once.
 _AT_ONCE = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -163,13 +163,13 @@ class LineSets:
         prefix = n - -(-p * n // q) + 1
         taken = place < prefix[line]
         bit = np.uint64(1) << (mixed & np.uint64(63))
-        part = mixed >> np.uint64(6) & np.uint64(3)
-        parity = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), start) for k in range(4)])
+        part = mixed >> np.uint64(6) & np.uint64(1)
+        parity = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), start) for k in range(2)])
         return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), place[taken], parity.view(np.int64)
 
 
 _FIRST = "struct<doc:long,line:int,rid:long>"
-_PARITY = ["b0", "b1", "b2", "b3"]
+_PARITY = ["even", "odd"]
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int) -> DataFrame:
-    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles and places, parities of 256 hashed bits)."""
+    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles and places, parities of 128 hashed bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,26 +199,19 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle:
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, doc, line, s, n, place, parities even and odd, asked) -> (x, y, more): pairs that pass the filters under a word; x is asked for and y
+    """(word, doc, line, s, n, place, parities even and odd, asked, prev word) -> (x, y, more): pairs that pass the filters under a word; x is asked for and y
     comes before it by (doc, line, s).
 
-    With ``leaders``, each x has its first so many y, and ``more`` if others follow, and of a crowded word only sets that have it among
-    their rarest look there: the word itself is told, as x, with no y. Without, all pairs are told."""
+    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them. A pair that also shares the word
+    before is told under that word, where it passes the same filters, if not as the sign of more."""
     p, q = threshold.numerator, threshold.denominator
-    dense, rarest = DENSE, RAREST
 
-    def pairs(word: np.ndarray, s: np.ndarray, code: np.ndarray, even: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(word: np.ndarray, s: np.ndarray, code: np.ndarray, even: np.ndarray, odd: np.ndarray, prev: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, place, asked = code >> 32, (code & 0xFFFFFFFF) >> 1, code & 1 > 0
         even, odd = even.view(np.uint64), odd.view(np.uint64)
         cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
         start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
         i, k = np.flatnonzero((start < np.arange(len(word))) & asked), 0
-        if leaders:
-            crowded = np.diff(np.r_[cut, len(word)]) > dense
-            if crowded.any():
-                told = word[cut[crowded]]
-                yield pa.record_batch([pa.array(told), pa.nulls(len(told), pa.int64()), pa.array(np.ones(len(told), bool))], ["x", "y", "more"])
-                i = i[(place[i] < rarest) | ~np.repeat(crowded, np.diff(np.r_[cut, len(word)]))[i]]
         found = np.zeros(len(word), np.int64)
         while len(i):
             j = start[i] + k
@@ -230,6 +223,8 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
             if len(hit):
                 found[i[hit]] += 1
                 more = found[i[hit]] > (leaders or len(word))
+                told = more | (prev[i[hit]] == 0) | (prev[i[hit]] != prev[j[hit]])
+                hit, more = hit[told], more[told]
                 yield pa.record_batch([pa.array(s[i[hit]]), pa.array(s[j[hit]]), pa.array(more)], ["x", "y", "more"])
             k += 1
             i = i[(start[i] + k < i) & (found[i] <= (leaders or len(word)))]
@@ -249,23 +244,17 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         release_memory()
 
     code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
-    dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd")
+    dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd", "prev").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd", "prev")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
-    """(s): those x of pairs (x, y) that verify. Whole sets are made, by another look at the texts, for those pairs alone
-    whose 256 parities do not already show too many shingles of one set only."""
+    """(s): those x of written pairs (x, y) that verify. Whole sets are made, by another look at the texts, for the sets in pairs alone."""
     p, q = threshold.numerator, threshold.denominator
-    own = sets.select("s", "n", "first", *_PARITY)
-    both = pairs.join(own.select(*[F.col(c).alias(f"x_{c}") for c in own.columns]), F.col("x") == F.col("x_s"))
-    both = both.join(own.select(*[F.col(c).alias(f"y_{c}") for c in own.columns]), F.col("y") == F.col("y_s"))
-    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _PARITY), F.lit(0))
-    total = F.col("x_n").cast("long") + F.col("y_n")
-    near = materialize(both.filter((total - apart) * (p + q) >= 2 * p * total).select("x", "y", F.col("x_first").alias("xf"), F.col("y_first").alias("yf")))
-    wanted = near.select(F.col("x").alias("s"), F.col("xf").alias("f")).union(near.select("y", "yf")).distinct()
-    lists = wanted.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "s")).alias("lines"))
+    wanted = pairs.select(F.col("x").alias("s")).union(pairs.select("y")).distinct()
+    places = sets.select("s", F.col("first.rid").alias("rid"), F.col("first.line").alias("line")).join(wanted, "s")
+    lists = places.groupBy("rid").agg(F.collect_list(F.struct("line", "s")).alias("lines"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         maker, found = Shingles(shingle, 1), {}
@@ -278,7 +267,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fra
 
     texts = _ordered(docs).join(lists.hint("shuffle_hash"), "rid").select("text", "lines")
     words = materialize(map_batches(texts, fetch, "s long, tokens array<long>").dropDuplicates(["s"]))
-    full = near.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
+    full = pairs.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
     full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
     return full.select(F.col("x").alias("s")).distinct()
 
@@ -291,16 +280,13 @@ def _small(side: DataFrame, join: Callable, on: str) -> DataFrame:
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
     sets = materialize(line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least))
-    even, odd = F.col("b0").bitwiseXOR(F.col("b2")).alias("even"), F.col("b1").bitwiseXOR(F.col("b3")).alias("odd")
-    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), even, odd, F.explode(F.arrays_zip("words", "places")).alias("at"))
-    rows = rows.select("s", "n", "doc", "line", "even", "odd", F.col("at.words").alias("word"), F.col("at.places").alias("place"))
+    at = F.expr("explode(arrays_zip(words, places, concat(array(0L), slice(words, 1, size(words) - 1))))").alias("at")
+    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *_PARITY, at)
+    rows = rows.select("s", "n", "doc", "line", *_PARITY, F.col("at.words").alias("word"), F.col("at.places").alias("place"), F.col("at.2").alias("prev"))
     pairs = materialize(_candidates(rows.withColumn("asked", F.lit(True)), threshold, LEADERS))
-    gone = materialize(_verified(docs, pairs.filter("y is not null"), sets, threshold, shingle))
+    gone = materialize(_verified(docs, pairs, sets, threshold, shingle))
     # sets that stand although a pair that was not looked at may remove them
-    passed = pairs.filter("more and y is not null").select(F.col("x").alias("s"))
-    crowded = materialize(pairs.filter("y is null").select(F.col("x").alias("word")))
-    unlooked = rows.filter(F.col("place") >= RAREST).join(gone, "s", "left_anti")
-    open_ = materialize(passed.join(gone, "s", "left_anti").union(_small(crowded, unlooked.join, "word").select("s")).distinct())
+    open_ = materialize(pairs.filter("more").select(F.col("x").alias("s")).distinct().join(gone, "s", "left_anti"))
     if open_.limit(1).count():
         words = materialize(_small(open_, rows.join, "s").select("word").distinct())
         asked = open_.withColumn("asked", F.lit(True))
