@@ -142,8 +142,8 @@ class LineSets:
     def __init__(self, codes: np.ndarray, threshold: Fraction, shingle: int, least: int):
         self.codes, self.threshold, self.maker = codes, threshold, Shingles(shingle, least)
 
-    def sets(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(set hash, size, prefix offsets, prefix shingles, their places, parities) of the lines."""
+    def sets(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set hash, size, prefix offsets, prefix shingles by place, parities) of the lines."""
         line, h = self.maker.hashes(size, words)
         code = self.codes[(h % np.uint64(len(self.codes))).astype(np.int64)]
         key = line.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
@@ -165,7 +165,7 @@ class LineSets:
         bit = np.uint64(1) << (mixed & np.uint64(63))
         part = mixed >> np.uint64(6) & np.uint64(1)
         parity = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), start) for k in range(2)])
-        return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), place[taken], parity.view(np.int64)
+        return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), parity.view(np.int64)
 
 
 _FIRST = "struct<doc:long,line:int,rid:long>"
@@ -179,7 +179,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int) -> DataFrame:
-    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles and places, parities of 128 hashed bits)."""
+    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles by place, parities of 128 hashed bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +187,15 @@ def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle:
         for batch in batches:
             doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
             for row, line, size, words in sets.maker.lines(batch.column(2).to_pylist()):
-                s, n, offset, taken, place, parity = sets.sets(size, words)
+                s, n, offset, taken, parity = sets.sets(size, words)
                 first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(line.astype(np.int32)), pa.array(rid[row])], ["doc", "line", "rid"])
-                lists = [pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(v)) for v in (taken, place.astype(np.int32))]
-                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, *lists, *map(pa.array, parity)], ["s", "n", "first", "words", "places", *_PARITY])
+                prefix = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(taken))
+                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, prefix, *map(pa.array, parity)], ["s", "n", "first", "words", *_PARITY])
         release_memory()
 
     small_batches(docs.sparkSession)
-    lines = _ordered(docs).mapInArrow(run, f"s long, n int, first {_FIRST}, words array<long>, places array<int>, " + ", ".join(f"{c} long" for c in _PARITY))
-    return lines.groupBy("s", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("words", "places", *_PARITY)])
+    lines = _ordered(docs).mapInArrow(run, f"s long, n int, first {_FIRST}, words array<long>, " + ", ".join(f"{c} long" for c in _PARITY))
+    return lines.groupBy("s", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("words", *_PARITY)])
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
@@ -280,9 +280,8 @@ def _small(side: DataFrame, join: Callable, on: str) -> DataFrame:
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
     sets = materialize(line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least))
-    at = F.expr("explode(arrays_zip(words, places, concat(array(0L), slice(words, 1, size(words) - 1))))").alias("at")
-    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *_PARITY, at)
-    rows = rows.select("s", "n", "doc", "line", *_PARITY, F.col("at.words").alias("word"), F.col("at.places").alias("place"), F.col("at.2").alias("prev"))
+    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *_PARITY, "words", F.posexplode("words").alias("place", "word"))
+    rows = rows.withColumn("prev", F.when(F.col("place") > 0, F.get("words", F.col("place") - 1)).otherwise(F.lit(0).cast("long"))).drop("words")
     pairs = materialize(_candidates(rows.withColumn("asked", F.lit(True)), threshold, LEADERS))
     gone = materialize(_verified(docs, pairs, sets, threshold, shingle))
     # sets that stand although a pair that was not looked at may remove them
