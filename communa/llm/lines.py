@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is its set of word shingles: ``shingle`` lower-cased words, or all of them where there are fewer. Shingles
+A line is its set of tokens: lower-cased words, or with a ``shingle`` over 1 runs of so many, all the words where there are fewer. Tokens
 are ordered by rarity (counts over the whole corpus in ``buckets`` hashed counters, then by hash), so two lines of Jaccard
 similarity ``threshold`` or more share a shingle of both prefixes. Equal sets meet under their hash first; distinct
 sets meet under the shingles of their prefixes, pass length and positional filters and a bound from the parities of
@@ -25,7 +25,10 @@ from communa.llm.common import map_batches, release_memory, small_batches, table
 from communa.storage import materialize
 
 THRESHOLD = Fraction(4, 5)
+#: Words of a token, where a caller names no other number.
 SHINGLE = 5
+#: The same for op9_lines and the pipeline, whose relation is on single words.
+WORD = 1
 #: Lines of fewer words are never removed.
 LEAST_WORDS = 3
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
@@ -340,5 +343,5 @@ def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), shingle=WORD)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
