@@ -29,8 +29,10 @@ THRESHOLD = Fraction(4, 5)
 SHINGLE = 5
 #: The same for op9_lines and the pipeline, whose relation is on single words.
 WORD = 1
-#: Lines of fewer words are never removed.
+#: Lines of fewer words are never removed, where a caller names no other number.
 LEAST_WORDS = 3
+#: The same for op9_lines and the pipeline: every line with a word takes part.
+ANY_WORDS = 1
 #: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
 BUCKETS = 1 << 17
 #: Earlier sets that each set is first checked against.
@@ -343,5 +345,5 @@ def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"), shingle=WORD)
+    found = dedup_lines(table(spark, sf_dir, "documents"), shingle=WORD, least=ANY_WORDS)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

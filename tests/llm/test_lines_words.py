@@ -30,7 +30,14 @@ def test_one_inner_word_replaced(spark, tmp_path):
 
 
 def test_query_and_stage_are_on_word_sets(spark, tmp_path, copies):  # noqa: F811
-    want = {d: t for d, t in naive(copies, width=1)}
-    assert want != {d: t for d, t in naive(copies, width=5)}
+    want = {d: t for d, t in naive(copies, least=1, width=1)}
+    assert want != {d: t for d, t in naive(copies, least=1, width=5)}
     assert {d: x[2] for d, x in query(spark, tmp_path, copies).items()} == {d: digest(t) for d, t in want.items()}
     assert stage_texts(spark, copies) == want
+
+
+def test_lines_of_one_and_two_words(spark, tmp_path):
+    rows = [(0, "Read more\n\nhttps://example.org/a\n我们今天去公园散步"), (1, "Read more\n\n \nhttps://example.org/a"), (2, "我们今天去公园散步\nread  MORE\nhttps://example.org/b")]
+    want = {0: rows[0][1], 1: "\n ", 2: "https://example.org/b"}
+    assert query(spark, tmp_path, rows) == {0: (4, 0, digest(want[0])), 1: (4, 2, digest(want[1])), 2: (3, 2, digest(want[2]))}
+    assert stage_texts(spark, rows) == want
