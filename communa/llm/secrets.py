@@ -23,7 +23,7 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Tokens that the models judge, and the least ratio, in nats, over the whole token and per pair.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST, LEAST_PER_PAIR = 12.0, 0.35
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Matches whose places are summed in one go; blocks keep the work linear in their number.
@@ -166,7 +166,7 @@ def _with_spans(docs: DataFrame, model: list[float] | None) -> DataFrame:
 
 def redact(docs: DataFrame, model: list[float] | None = None, mask: str = "[secret]") -> DataFrame:
     """All rows and columns of docs, with ``mask`` in ``text`` for each stretch that spans cover. Null text stays null."""
-    spans = F.array_sort(F.concat("_base", "_added"))
+    spans = F.array_sort(F.concat("_base", "_judged"))  # a judged token goes whole, also where base spans hold a part of it
     ends = F.transform("_spans", lambda s: s["end"])
     reach = F.transform("_spans", lambda s, i: F.struct(s["start"].alias("start"), F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.slice(ends, 1, i))).alias("before")))
     heads = F.filter(reach, lambda s: s["start"] >= s["before"])  # those that open a stretch; text from the last stretch's end leads up to each
