@@ -76,13 +76,13 @@ def runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, ancho
 
 
 def _pieces(texts: list[tuple[int, bytes]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Groups of (rid, offset, bytes) of about _PIECE bytes; pieces of one text overlap by length - 1 bytes."""
+    """(row, text) pairs -> groups of (row, offset, bytes) of about _PIECE bytes; pieces of one text overlap by length - 1 bytes."""
     group, total = [], 0
-    for rid, text in texts:
+    for row, text in texts:
         for at in range(0, max(1, len(text) - length + 1), _PIECE):
             part = text[at : at + _PIECE + length - 1]
             if len(part) >= length:
-                group.append((rid, at, part))
+                group.append((row, at, part))
                 total += len(part)
             if total >= _PIECE:
                 yield group
@@ -91,16 +91,20 @@ def _pieces(texts: list[tuple[int, bytes]], length: int) -> Iterator[list[tuple[
         yield group
 
 
-_CELL = "anchor long, span long, rid long, first int, last int, times int"
+#: The columns that name a text: two hashes of doc_id and text, 128 bits together.
+KEY = ["rid", "rid2"]
+_KEY = "rid long, rid2 long"
+_CELL = f"anchor long, span long, {_KEY}, first int, last int, times int"
 
 
 def cells(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(rid, text binary) -> runs (anchor, span hash, rid, first and last window, times), and with ``times`` 0 ranges of
+    """(rid, rid2, text binary) -> runs (anchor, span hash, rid, rid2, first and last window, times), and with ``times`` 0 ranges of
     windows that repeat within a piece: those repeats are marked at once, and stand for two of their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(r, x) for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x and len(x) >= length]
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            texts = [(i, x) for i, x in enumerate(batch.column(2).to_pylist()) if x and len(x) >= length]
             for group in _pieces(texts, length):
                 size = np.array([len(x) for _, _, x in group])
                 ends = np.cumsum(size)
@@ -109,14 +113,14 @@ def cells(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                 span = np.fromiter((digest(view[i : j + length]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
                 shift = np.array([at for _, at, _ in group]) - (ends - size)
-                rid = np.array([r for r, _, _ in group])
+                rid, rid2 = (k[[r for r, _, _ in group]] for k in keys)
                 first, last = first + shift[text], last + shift[text]
                 order = np.lexsort((span, a, text))
                 same = (text[order][1:] == text[order][:-1]) & (a[order][1:] == a[order][:-1]) & (span[order][1:] == span[order][:-1])
                 lead = np.flatnonzero(np.r_[True, ~same])
                 times = np.minimum(np.diff(np.r_[lead, len(order)]), 2)
                 pick = order[lead]
-                out = [a[pick], span[pick], rid[text[pick]], first[pick], last[pick], times]
+                out = [a[pick], span[pick], rid[text[pick]], rid2[text[pick]], first[pick], last[pick], times]
                 twice = np.zeros(len(order), bool)
                 twice[order] = np.r_[False, same] | np.r_[same, False]
                 if twice.any():
@@ -124,8 +128,8 @@ def cells(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                     joined = np.flatnonzero(np.r_[True, (text[at][1:] != text[at][:-1]) | (first[at][1:] != last[at][:-1] + 1)])
                     stop = np.r_[joined[1:], len(at)] - 1
                     none = np.zeros(len(joined), np.int64)
-                    out = [np.concatenate(x) for x in zip(out, [none, none, rid[text[at[joined]]], first[at[joined]], last[at[stop]], none], strict=True)]
-                yield pa.record_batch([pa.array(v.astype(np.int64 if i < 3 else np.int32)) for i, v in enumerate(out)], [c.split()[0] for c in _CELL.split(", ")])
+                    out = [np.concatenate(x) for x in zip(out, [none, none, rid[text[at[joined]]], rid2[text[at[joined]]], first[at[joined]], last[at[stop]], none], strict=True)]
+                yield pa.record_batch([pa.array(v.astype(np.int64 if i < 4 else np.int32)) for i, v in enumerate(out)], [c.split()[0] for c in _CELL.split(", ")])
 
             release_memory()
 
@@ -156,6 +160,7 @@ class RunLengthIndex:
         self.head_place, self.head_length = order[self.heads], np.r_[0, common][: len(self.heads)]
         self.tail_place = np.r_[order[inner - 1], order[-1:]]
         self.tail_length = np.r_[common, 0][: len(self.tail_place)]
+        del self.order, self.begin, self.end, self.text  # what is kept is two samples for each run
 
     def _sort(self, longest: int) -> None:
         """Suffix order by doubling; equal suffixes of different strings stand in order of place."""
@@ -237,20 +242,21 @@ def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[head].tolist(), places[np.r_[head[1:], len(places)] - 1].tolist(), strict=True)) if len(places) else []
 
 
-_MARK = "rid long, first int, last int"
+_MARK = f"{_KEY}, first int, last int"
 
 
 def _indexed(spans: DataFrame, length: int, shard: int) -> DataFrame:
-    """(anchor, rid, first, times, bytes) in whole anchors -> marked ranges of windows of the spans seen once."""
+    """(anchor, rid, rid2, first, times, bytes) in whole anchors -> marked ranges of windows of the spans seen once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, int, bytes]] = []
         total = 0
 
         def close() -> pa.RecordBatch:
-            marks = [(rid, first + a, first + b) for (_, rid, first, times, _), found in zip(held, long_matches([x[4] for x in held], length), strict=True) if times == 1 for a, b in _ranges(found)]
+            marks = [(rid, rid2, first + a, first + b) for (_, rid, rid2, first, times, _), found in zip(held, long_matches([x[5] for x in held], length), strict=True) if times == 1 for a, b in _ranges(found)]
             release_memory()
-            return pa.record_batch([pa.array([m[0] for m in marks], pa.int64()), *(pa.array([m[i] for m in marks], pa.int32()) for i in (1, 2))], ["rid", "first", "last"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.record_batch([pa.array([m[i] for m in marks], kind) for i, kind in enumerate(kinds)], [*KEY, "first", "last"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -258,24 +264,24 @@ def _indexed(spans: DataFrame, length: int, shard: int) -> DataFrame:
                     yield close()
                     held, total = [], 0
                 held.append(row)
-                total += len(row[4])
+                total += len(row[5])
         if held:
             yield close()
 
     small_batches(spans.sparkSession)
-    return spans.repartition("anchor").sortWithinPartitions("anchor", "rid", "first").select("anchor", "rid", "first", "times", "bytes").mapInArrow(run, _MARK)
+    return spans.repartition("anchor").sortWithinPartitions("anchor", *KEY, "first").select("anchor", *KEY, "first", "times", "bytes").mapInArrow(run, _MARK)
 
 
 def _cut(rows: DataFrame, picked: DataFrame, length: int) -> DataFrame:
-    """Texts joined with the spans picked of them -> (anchor, rid, first, times, bytes)."""
+    """Texts joined with the spans picked of them -> (anchor, rid, rid2, first, times, bytes)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(s["anchor"], rid, s["first"], s["times"], text[s["first"] : s["last"] + length]) for rid, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in spans]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["anchor", "rid", "first", "times", "bytes"])
+        out = [(s["anchor"], rid, rid2, s["first"], s["times"], text[s["first"] : s["last"] + length]) for rid, rid2, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in spans]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["anchor", *KEY, "first", "times", "bytes"])
 
-    lists = picked.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last", "times")).alias("spans"))
-    return map_batches(rows.join(lists, "rid").select("rid", "text", "spans"), run, "anchor long, rid long, first int, times int, bytes binary")
+    lists = picked.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "first", "last", "times")).alias("spans"))
+    return map_batches(rows.join(lists, KEY).select(*KEY, "text", "spans"), run, f"anchor long, {_KEY}, first int, times int, bytes binary")
 
 
 def _counted(spans: DataFrame, length: int) -> DataFrame:
@@ -283,42 +289,42 @@ def _counted(spans: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rid, first, times, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, rid, rid2, first, times, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 view = memoryview(text)
                 both = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(len(text) - length + 1)]
                 h = np.frombuffer(b"".join(both), "<i8").reshape(-1, 2)
                 at = np.arange(first, first + len(both), dtype=np.int32)
-                yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(at), rid)), pa.array(at), pa.array(np.full(len(at), times, np.int32))], ["h", "g", "rid", "first", "times"])
+                yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(at), rid)), pa.array(np.full(len(at), rid2)), pa.array(at), pa.array(np.full(len(at), times, np.int32))], ["h", "g", *KEY, "first", "times"])
 
-    windows = spans.mapInArrow(run, "h long, g long, rid long, first int, times int")
+    windows = spans.mapInArrow(run, f"h long, g long, {_KEY}, first int, times int")
     often = windows.groupBy("h", "g").agg(F.sum("times").alias("n")).filter("n > 1").select("h", "g")
-    return windows.join(often, ["h", "g"]).select("rid", "first", F.col("first").alias("last"))
+    return windows.join(often, ["h", "g"]).select(*KEY, "first", F.col("first").alias("last"))
 
 
 def marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(rid, text binary) -> written (rid, first array, last array): ranges of windows to remove. Rows that share a rid share a text."""
+    """(rid, rid2, text binary) -> written (rid, rid2, ranges array<(first, last)>): ranges of windows to remove, each once. Rows that share a key share a text."""
     found = materialize(cells(rows, length, anchor))
     own = found.filter("times > 0")
-    spans = own.groupBy("anchor", "span").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "first", "last")).alias("at"))
+    spans = own.groupBy("anchor", "span").agg(F.sum("times").alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("at"))
     # a few columns of the distinct spans are read three times over
-    spans = materialize(spans.select("anchor", "span", F.least(F.col("times"), F.lit(2)).cast("int").alias("times"), "at.rid", "at.first", "at.last"))
+    spans = materialize(spans.select("anchor", "span", F.least(F.col("times"), F.lit(2)).cast("int").alias("times"), "at.rid", "at.rid2", "at.first", "at.last"))
     kinds = spans.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = materialize(spans.join(kinds, "anchor").select("anchor", "rid", "first", "last", "times", (F.col("kinds") > crowd).alias("crowded")))
+    mixed = materialize(spans.join(kinds, "anchor").select("anchor", *KEY, "first", "last", "times", (F.col("kinds") > crowd).alias("crowded")))
     repeated = spans.filter("times > 1").select("anchor", "span")
-    out = found.filter("times = 0").select("rid", "first", "last").union(own.join(repeated, ["anchor", "span"]).select("rid", "first", "last"))
+    out = found.filter("times = 0").select(*KEY, "first", "last").union(own.join(repeated, ["anchor", "span"]).select(*KEY, "first", "last"))
     out = out.union(_indexed(_cut(rows, mixed.filter("not crowded"), length), length, shard))
     if mixed.filter("crowded").limit(1).count():
         out = out.union(_counted(materialize(_cut(rows, mixed.filter("crowded"), length)), length))
-    lists = materialize(out.groupBy("rid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")))
+    lists = materialize(out.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges")))  # rows that repeat add nothing
     for made in (found, spans, mixed):
         drop(made)
     return lists
 
 
-def kept(text: bytes, first: list[int], last: list[int], length: int) -> tuple[bytes, int, int]:
-    """(what is left of a text, bytes removed, maximal removed runs)."""
-    order = np.argsort(np.array(first), kind="stable")
-    a, b = np.array(first)[order], np.maximum.accumulate(np.array(last)[order]) + length
+def kept(text: bytes, ranges: list[dict], length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """(what is left of a text, its maximal removed runs as (start, end))."""
+    order = sorted((r["first"], r["last"] + length) for r in ranges)
+    a, b = np.array([x[0] for x in order]), np.maximum.accumulate(np.array([x[1] for x in order]))
     head = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
     tail = np.r_[head[1:], len(a)] - 1
     cut = list(zip(a[head].tolist(), b[tail].tolist(), strict=True))
@@ -327,27 +333,37 @@ def kept(text: bytes, first: list[int], last: list[int], length: int) -> tuple[b
         left.append(text[at:i])
         at = j
     left.append(text[at:])
-    return b"".join(left), sum(j - i for i, j in cut), len(cut)
+    return b"".join(left), cut
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, kept binary, n_bytes, n_removed, n_spans), a row per input row.
+    """(doc_id, text, ...) -> (doc_id, kept binary, n_bytes, n_removed, n_spans, text string, spans array<(start, end)>), a row per input row; spans are
+    the maximal removed runs, in bytes of the old text, end exclusive. text is what is left; where a cut goes through a character, U+FFFD stands for the bytes of it that stay.
 
     Every byte goes that a string of ``length`` bytes covers which also starts elsewhere, in the same text or another.
-    Null text counts as empty; texts shorter than ``length`` stay whole. Rows that repeat doc_id and text are two texts
-    and remove each other. Other columns are left out.
+    Null text counts as empty; texts shorter than ``length`` stay whole; very long ones are cut into overlapping pieces for the
+    windows and back into one for the result. Rows that repeat doc_id and text, or the text alone, are texts of their own and remove each
+    other; no order among them matters. An empty table gives no rows. Other columns are left out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"))
-    lists = marks(rows.select("rid", "text"), length, anchor, crowd, shard)
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(doc.alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(doc, text).alias("rid"), F.xxhash64(F.lit(1), text, doc).alias("rid2"))
+    lists = marks(rows.select(*KEY, "text"), length, anchor, crowd, shard)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [kept(x, a, b, length) if a else (x, 0, 0) for x, a, b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-        size = pa.array([len(x or b"") for x in batch.column(1).to_pylist()], pa.int64())
-        return pa.record_batch([batch.column(0), pa.array([r[0] for r in out], pa.binary()), size, *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        out = [(x, *(kept(x, r, length) if r else (x, []))) for x, r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        numbers = ([len(x) for x, _, _ in out], [sum(b - a for a, b in cut) for _, _, cut in out], [len(cut) for _, _, cut in out])
+        spans = pa.array([[{"start": a, "end": b} for a, b in cut] for _, _, cut in out], span)
+        left = pa.array([x for _, x, _ in out], pa.binary())
+        text = pa.array([x.decode("utf-8", "replace") for _, x, _ in out], pa.string())
+        return pa.record_batch([batch.column(0), left, *(pa.array(n, pa.int64()) for n in numbers), text, spans], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "text", "spans"])
 
-    return map_batches(rows.join(lists, "rid", "left").select("doc_id", "text", "first", "last"), run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, text string, spans array<struct<start:long,end:long>>"
+    return map_batches(rows.join(lists, KEY, "left").select("doc_id", "text", "ranges"), run, schema)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest of :func:`remove_repeats` over documents, and beside it ``text``, what is left, and the removed ``spans``."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text", "spans")
