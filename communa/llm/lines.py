@@ -8,7 +8,7 @@ hashed bits, and are verified on their whole sets. A line goes if an earlier lin
 
 Of the sets that pass under a shingle, each is first checked against the ``LEADERS`` earliest alone, which settles families of
 many near-copies in linear work; a pair whose prefixes agree in the shingle before too was met there. Sets that this leaves
-standing, and that passed with more, are then checked against all.
+standing, and that passed with more, are then checked against all. Shingles in more than ``CROWD`` prefixes are split, see :class:`_Keys`.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import map_batches, release_memory, small_batches, table
-from communa.storage import materialize
+from communa.storage import drop, materialize
 
 THRESHOLD = Fraction(4, 5)
 #: Words of a token, where a caller names no other number.
@@ -33,33 +34,31 @@ WORD = 1
 LEAST_WORDS = 3
 #: The same for op9_lines and the pipeline: every line with a word takes part.
 ANY_WORDS = 1
-#: Hashed counters of the rarity table: its size on the driver and on each worker, in bytes.
-BUCKETS = 1 << 17
+#: Hashed counters of the rarity table, least and most: as many as there are documents, in powers of two. A byte each on the driver and on each
+#: worker, a row each that a task sends where it is used.
+BUCKETS = 1 << 17, 1 << 20
 #: Earlier sets that each set is first checked against.
 LEADERS = 2
-#: Rows of one long that are broadcast at most: 16 MB.
-_FEW = 2_000_000
+#: Sets under one key that one task scans: more are met under two tokens each, and what is still crowded is dealt into parts of about so many.
+CROWD = 1 << 11
+#: Rows of one long that are broadcast at most.
+_FEW = 1_000_000
 #: Bytes of text taken at once.
 _AT_ONCE = 1 << 20
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A random number for each byte, the same for either case of a letter; a word's hash is their polynomial in _RATIO.
-_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
-_RATIO = np.uint64(0xD1342543DE82EF95)
-_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: The first bytes of a word of eight, by how many of them count; words of more bytes than _WIDE are hashed one by one.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_WIDE = 64
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Rows under rid, the same for rows that repeat doc_id and text."""
-    return docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+#: Two hashes of doc_id and text, 128 bits together, name a row: the same for rows that repeat both.
+KEY = ["rid", "rid2"]
 
 
-def _powers(ratio: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, ratio)
-    out[0] = 1
-    return np.cumprod(out)
+def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns of docs, rid and rid2."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(*columns, F.xxhash64(doc, text).alias("rid"), F.xxhash64(F.lit(1), text, doc).alias("rid2"))
 
 
 class Shingles:
@@ -67,20 +66,28 @@ class Shingles:
 
     def __init__(self, shingle: int, least: int):
         self.shingle, self.least = shingle, least
-        self.up = self.down = np.empty(0, np.uint64)
 
     def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of text that ends with a line feed: (line of each word, hash of each word, places of the line feeds)."""
-        x = np.frombuffer(raw, np.uint8)
-        if len(self.up) < len(x):
-            n = 1 << len(x).bit_length()
-            self.up, self.down = _powers(_RATIO, n), _powers(_BACK, n)
-        space = _SPACE[x]
-        start, end = np.flatnonzero(~space & np.r_[True, space[:-1]]), np.flatnonzero(space & np.r_[False, ~space[:-1]])
-        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[x] * self.up[: len(x)])]
-        h = (sums[end] - sums[start]) * self.down[start]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        n = len(raw)
+        low = raw.lower() + b"\0" * 8
+        x = np.frombuffer(low, np.uint8)[:n]
+        space = (x == 32) | (x - np.uint8(9) < 5)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.r_[0, edge]
+        start, end = edge[::2], edge[1::2]
+        size, eight = end - start, np.ndarray((n,), "<u8", low, 0, (1,))  # the eight bytes from each place
+        h = (size.astype(np.uint64) * _PRIME ^ eight[start] & _HEAD[np.minimum(size, 8)]) * _MIX
+        h ^= h >> np.uint64(31)
+        more, at = np.flatnonzero(size > 8), 8
+        while len(more) and at < _WIDE:
+            g = (h[more] ^ eight[start[more] + at] & _HEAD[np.minimum(size[more] - at, 8)]) * _MIX
+            h[more] = g ^ g >> np.uint64(31)
+            at += 8
+            more = more[size[more] > at]
+        if len(more):
+            h[more] = [xxhash.xxh3_64_intdigest(low[a:b]) for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True)]
+        h *= _PRIME
         h ^= h >> np.uint64(29)
         feeds = np.flatnonzero(x == 10)
         return np.searchsorted(feeds, start), h, feeds
@@ -118,14 +125,19 @@ class Shingles:
                 group, total = [], 0
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> np.ndarray:
-    """A byte for each bucket of shingle hashes: 0 unused, then the logarithm of its count over the corpus."""
+def _code(count: int) -> int:
+    return min(255, 1 + int(6 * np.log2(count)))
+
+
+def rarity(docs: DataFrame, buckets: int | None = None, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> np.ndarray:
+    """A byte for each of ``buckets``, a power of two, of shingle hashes: 0 unused, then :func:`_code` of its count over the corpus."""
+    buckets = buckets or min(BUCKETS[1], max(BUCKETS[0], 1 << (docs.count() - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, total = Shingles(shingle, least), np.zeros(buckets, np.int64)
         for batch in batches:
             for _, _, size, words in maker.lines(batch.column(0).to_pylist()):
-                total += np.bincount((maker.hashes(size, words)[1] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                total += np.bincount((maker.hashes(size, words)[1] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
@@ -144,13 +156,14 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS, shingle: int = SHINGLE, leas
 class LineSets:
     """Shingle sets of lines, in rarity order."""
 
-    def __init__(self, codes: np.ndarray, threshold: Fraction, shingle: int, least: int):
-        self.codes, self.threshold, self.maker = codes, threshold, Shingles(shingle, least)
+    def __init__(self, codes: np.ndarray, threshold: Fraction, shingle: int, least: int, crowd: int):
+        self.codes, self.threshold, self.maker, self.rare = codes, threshold, Shingles(shingle, least), _code(crowd)
 
-    def sets(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(set hash, size, prefix offsets, prefix shingles by place, parities) of the lines."""
+    def sets(self, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set hash, size, number of shingles too rare to be crowded, prefix offsets, shingles by place, parities) of the lines. The shingles are the
+        prefix and one more, where there is one; a set too small to match any but its equal has none."""
         line, h = self.maker.hashes(size, words)
-        code = self.codes[(h % np.uint64(len(self.codes))).astype(np.int64)]
+        code = self.codes[(h & np.uint64(len(self.codes) - 1)).astype(np.int64)]
         key = line.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
         order = np.argsort(key)
         tied = key[order][1:] == key[order][:-1]
@@ -159,146 +172,279 @@ class LineSets:
         line, h = line[order], h[order]
         one = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])]
         line, h = line[one], h[one]
+        rare = np.bincount(line[(key[order][one] >> np.uint64(32) & np.uint64(255)) < self.rare], minlength=len(size))
         n = np.bincount(line, minlength=len(size))
         start = np.cumsum(n) - n
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
         place = np.arange(len(line)) - start[line]
         p, q = self.threshold.numerator, self.threshold.denominator
-        prefix = n - -(-p * n // q) + 1
+        prefix = np.where(n * q >= (n + 1) * p, np.minimum(n - -(-p * n // q) + 2, n), 0)
         taken = place < prefix[line]
         bit = np.uint64(1) << (mixed & np.uint64(63))
         part = mixed >> np.uint64(6) & np.uint64(1)
         parity = np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), start) for k in range(2)])
-        return np.add.reduceat(mixed, start).view(np.int64), n, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), parity.view(np.int64)
+        return np.add.reduceat(mixed, start).view(np.int64), n, rare, np.r_[0, np.cumsum(prefix)], h[taken].view(np.int64), parity.view(np.int64)
 
 
-_FIRST = "struct<doc:long,line:int,rid:long>"
+_FIRST = "struct<doc:long,line:int,rid:long,rid2:long>"
 _PARITY = ["even", "odd"]
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """(doc, rid, text binary); a null doc_id comes last."""
+    """(doc, rid, rid2, text binary); a null doc_id comes last."""
     last = (1 << 63) - 1
-    return _key(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), F.col("_rid").alias("rid"), F.col("text").cast("binary").alias("text"))
+    keyed = _keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    return keyed.select("doc", *KEY, "text")
 
 
-def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int) -> DataFrame:
-    """Distinct shingle sets: (s set hash, n, first (doc, line, rid) of its earliest line, prefix shingles by place, parities of 128 hashed bits)."""
+def line_sets(docs: DataFrame, codes: np.ndarray, threshold: Fraction, shingle: int, least: int, crowd: int) -> DataFrame:
+    """Distinct shingle sets: (s set hash, n, rare: how many of its words can't be crowded, first (doc, line, rid, rid2) of its earliest line, words: prefix shingles by place and one more,
+    parities of 128 hashed bits). Sets are equal if size, hash and parities are: 192 bits."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = LineSets(shared.value, threshold, shingle, least)
+        sets = LineSets(shared.value, threshold, shingle, least, crowd)
         for batch in batches:
-            doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
-            for row, line, size, words in sets.maker.lines(batch.column(2).to_pylist()):
-                s, n, offset, taken, parity = sets.sets(size, words)
-                first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(line.astype(np.int32)), pa.array(rid[row])], ["doc", "line", "rid"])
+            doc, rid, rid2 = (batch.column(i).to_numpy() for i in range(3))
+            for row, line, size, words in sets.maker.lines(batch.column(3).to_pylist()):
+                s, n, rare, offset, taken, parity = sets.sets(size, words)
+                first = pa.StructArray.from_arrays([pa.array(doc[row]), pa.array(line.astype(np.int32)), pa.array(rid[row]), pa.array(rid2[row])], ["doc", "line", *KEY])
                 prefix = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(taken))
-                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), first, prefix, *map(pa.array, parity)], ["s", "n", "first", "words", *_PARITY])
+                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int32)), pa.array(rare.astype(np.int32)), first, prefix, *map(pa.array, parity)], ["s", "n", "rare", "first", "words", *_PARITY])
         release_memory()
 
     small_batches(docs.sparkSession)
-    lines = _ordered(docs).mapInArrow(run, f"s long, n int, first {_FIRST}, words array<long>, " + ", ".join(f"{c} long" for c in _PARITY))
-    return lines.groupBy("s", "n").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("words", *_PARITY)])
+    lines = _ordered(docs).mapInArrow(run, f"s long, n int, rare int, first {_FIRST}, words array<long>, " + ", ".join(f"{c} long" for c in _PARITY))
+    return lines.groupBy("s", "n", "rare", *_PARITY).agg(F.min("first").alias("first"), F.first("words").alias("words"))
+
+
+_ROW = ["key", "base", "place", "prev", "sid", "parts"]
+
+
+def _exploded(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """A row for each set and shingle of its prefix: columns of _ROW, words and rare."""
+    p, q = threshold.numerator, threshold.denominator
+    prefix = F.col("n") - F.ceil(F.col("n") * p / F.lit(q)).cast("int") + 1
+    rows = sets.filter(F.size("words") > 0).select("sid", "words", "rare", "base", prefix.alias("prefix"), F.posexplode("words").alias("place", "key")).filter("place < prefix")
+    prev = F.when(F.col("place") > 0, F.get("words", F.col("place") - 1)).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("prev", prev).withColumn("parts", F.lit(1).cast("long")).drop("prefix")
+
+
+class _Keys:
+    """The keys that sets meet under.
+
+    Keys are the shingles of the prefix. A shingle in more than ``crowd`` prefixes gives way to pairs of it and a later one of the prefix longer by
+    one: lines that match share two shingles of those, and meet under the first two that they share. Pairs that are crowded too, as in families of
+    near-copies, are dealt into ``parts`` of about ``crowd`` sets."""
+
+    def __init__(self, sets: DataFrame, threshold: Fraction, crowd: int):
+        self.threshold = threshold
+        some = _exploded(sets, threshold).filter("place >= rare")
+        self.often = materialize(some.groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > crowd))
+        self.crowded, self.split = self.often.limit(1).count() > 0, False
+        if self.crowded:
+            again = self._pairs(sets).groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > crowd)
+            self.again = materialize(again.select("key", F.ceil(F.col("often") / crowd).alias("many")))
+            self.split = self.again.limit(1).count() > 0
+
+    def _pairs(self, sets: DataFrame) -> DataFrame:
+        later = F.explode(F.slice("words", F.col("place") + 2, F.greatest(F.size("words") - F.col("place") - 1, F.lit(0))))
+        pairs = _small(self.often, _exploded(sets, self.threshold).join, "key").select(*_ROW, later.alias("later"))
+        return pairs.withColumn("key", F.xxhash64("key", "later")).drop("later")
+
+    def rows(self, sets: DataFrame) -> DataFrame:
+        """Rows of _ROW of these sets."""
+        rows = _exploded(sets, self.threshold)
+        if not self.crowded:
+            return rows.select(*_ROW)
+        pairs = self._pairs(sets)
+        if self.split:
+            pairs = _small(self.again, pairs.join, "key", "left").withColumn("parts", F.coalesce("many", F.lit(1).cast("long")))
+        return _small(self.often, rows.join, "key", "left_anti").select(*_ROW).union(pairs.select(*_ROW))
+
+
+def _part(part: Column) -> Column:
+    return F.when(F.col("parts") > 1, F.xxhash64("key", part)).otherwise(F.col("key"))
+
+
+def _own_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", _part(F.pmod(F.xxhash64("sid"), F.col("parts"))))
+
+
+def _packed() -> Column:
+    """sid, doc, line and n, and the parities as big-endian longs in one value: a row of one long crosses to Python as fast as this."""
+    both = F.shiftleft(F.col("first.line").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (F.col("sid"), F.col("first.doc"), both, *map(F.col, _PARITY))]))
+
+
+def _longs(packed: pa.Array) -> np.ndarray:
+    """Rows of the big-endian longs of ``base``."""
+    _, offsets, data = packed.buffers()
+    first = np.frombuffer(offsets, np.int32)[packed.offset]
+    return np.frombuffer(data, ">i8", 5 * len(packed), first).reshape(-1, 5)
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(word, doc, line, s, n, place, parities even and odd, asked, prev word) -> (x, y, more): pairs that pass the filters under a word; x is asked for and y
-    comes before it by (doc, line, s).
+    """(key, base, place, prev, asked, held) -> (x, y, more): pairs that pass the filters under a key; x is asked for, y held,
+    and y comes before x by (doc, line, parities).
 
-    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them. A pair that also shares the word
-    before is told under that word, where it passes the same filters, if not as the sign of more."""
+    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them. A pair that also shares the shingle
+    before is told under that one, where it passes the same filters, if not as the sign of more."""
     p, q = threshold.numerator, threshold.denominator
 
-    def pairs(word: np.ndarray, s: np.ndarray, code: np.ndarray, even: np.ndarray, odd: np.ndarray, prev: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place, asked = code >> 32, (code & 0xFFFFFFFF) >> 1, code & 1 > 0
-        even, odd = even.view(np.uint64), odd.view(np.uint64)
-        cut = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
-        start = np.repeat(cut, np.diff(np.r_[cut, len(word)]))
-        i, k = np.flatnonzero((start < np.arange(len(word))) & asked), 0
-        found = np.zeros(len(word), np.int64)
+    def pairs(key: np.ndarray, code: np.ndarray, prev: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[cut, len(key)])
+        several = np.repeat(size > 1, size)
+        group = np.repeat(np.arange(len(cut)), size)[several]
+        own = np.flatnonzero(several)
+        base = base[own].astype(np.int64)
+        order = np.lexsort((base[:, 4], base[:, 3], base[:, 2] >> 32, base[:, 1], group))
+        sid, n, even, odd = base[order, 0], base[order, 2] & 0xFFFFFFFF, base[order, 3].view(np.uint64), base[order, 4].view(np.uint64)
+        code, prev = code[own[order]], prev[own[order]]
+        size = size[size > 1]
+        start = np.repeat(np.cumsum(size) - size, size)
+        place, held, asked = code >> 2, code & 2 > 0, code & 1 > 0
+        i, k = np.flatnonzero((start < np.arange(len(start))) & asked), 0
+        found = np.zeros(len(start), np.int64)
+        most = leaders or len(start)
         while len(i):
             j = start[i] + k
             total = n[i] + n[j]
-            ok = (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * total)
+            ok = held[j] & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * total)
             apart = np.bitwise_count(even[i] ^ even[j]).astype(np.int64) + np.bitwise_count(odd[i] ^ odd[j])
-            ok &= (total - apart) * (p + q) >= 2 * p * total
-            hit = np.flatnonzero(ok)
+            hit = np.flatnonzero(ok & ((total - apart) * (p + q) >= 2 * p * total) & (sid[i] != sid[j]))
             if len(hit):
                 found[i[hit]] += 1
-                more = found[i[hit]] > (leaders or len(word))
+                more = found[i[hit]] > most
                 told = more | (prev[i[hit]] == 0) | (prev[i[hit]] != prev[j[hit]])
                 hit, more = hit[told], more[told]
-                yield pa.record_batch([pa.array(s[i[hit]]), pa.array(s[j[hit]]), pa.array(more)], ["x", "y", "more"])
+                yield pa.record_batch([pa.array(sid[i[hit]]), pa.array(sid[j[hit]]), pa.array(more)], ["x", "y", "more"])
             k += 1
-            i = i[(start[i] + k < i) & (found[i] <= (leaders or len(word)))]
+            i = i[(start[i] + k < i) & (found[i] <= most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []  # batches of the key that is not yet whole
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            other = np.flatnonzero(now[0] != now[0][-1]) if len(now[0]) else []
-            split = other[-1] + 1 if len(other) else 0
-            if split:
-                yield from pairs(*(c[:split] for c in now))
-            rest = [c[split:] for c in now]
-        if rest is not None and len(rest[0]):
-            yield from pairs(*rest)
+            if not batch.num_rows:
+                continue
+            now = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]), _longs(batch.column(3))]
+            other = np.searchsorted(now[0], now[0][-1])  # rows come in order of key
+            if other or (rest and rest[-1][0][-1] != now[0][0]):
+                done = [*rest, [c[:other] for c in now]]
+                yield from pairs(*(np.concatenate(c) for c in zip(*done, strict=True)))
+                rest, now = [], [c[other:] for c in now]
+            rest.append(now)
+        if rest:
+            yield from pairs(*(np.concatenate(c) for c in zip(*rest, strict=True)))
         release_memory()
 
-    code = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
-    dealt = rows.select("word", "doc", "line", "s", code.alias("code"), "even", "odd", "prev").repartition("word").sortWithinPartitions("word", "doc", "line", "s").select("word", "s", "code", "even", "odd", "prev")
+    code = F.shiftleft(F.col("place").cast("long"), 2).bitwiseOR(F.shiftleft(F.col("held").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
+    dealt = rows.select("key", code.alias("code"), "prev", "base").repartition("key").sortWithinPartitions("key")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
-    """(s): those x of written pairs (x, y) that verify. Whole sets are made, by another look at the texts, for the sets in pairs alone."""
+    """(sid): those x of written pairs (x, y) that verify. Whole sets are made, by another look at the texts, for the sets in pairs alone."""
     p, q = threshold.numerator, threshold.denominator
-    wanted = pairs.select(F.col("x").alias("s")).union(pairs.select("y")).distinct()
-    places = sets.select("s", F.col("first.rid").alias("rid"), F.col("first.line").alias("line")).join(wanted, "s")
-    lists = places.groupBy("rid").agg(F.collect_list(F.struct("line", "s")).alias("lines"))
-
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        maker, found = Shingles(shingle, 1), {}
-        for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            split = text.split(b"\n")
-            for x in lines:
-                words = maker.words(split[x["line"]] + b"\n")[1]
-                found[x["s"]] = np.unique(maker.hashes(np.array([len(words)]), words)[1]).view(np.int64)
-        return pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["s", "tokens"])
-
-    texts = _ordered(docs).join(lists.hint("shuffle_hash"), "rid").select("text", "lines")
-    words = materialize(map_batches(texts, fetch, "s long, tokens array<long>").dropDuplicates(["s"]))
-    full = pairs.join(words.select(F.col("s").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("s").alias("y"), F.col("tokens").alias("yt")), "y")
-    full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
-    return full.select(F.col("x").alias("s")).distinct()
-
-
-def _small(side: DataFrame, join: Callable, on: str) -> DataFrame:
-    """Join with a written table of one long column, broadcast if its counted rows are few."""
-    return join(F.broadcast(side) if side.count() <= _FEW else side, on)
+    wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+    places = sets.select("sid", F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"), F.col("first.line").alias("line")).join(wanted, "sid")
+    lists = materialize(places.groupBy(*KEY).agg(F.collect_list(F.struct("line", "sid")).alias("lines")))
 
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Shingles(shingle, 1)
+        for batch in batches:
+            ids, raw, total = [], [], 0
+            for i, (text, lines) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                split = text.split(b"\n")
+                for x in lines:
+                    ids.append(x["sid"])
+                    raw.append(split[x["line"]])
+                    total += len(raw[-1]) + 1
+                if total > _AT_ONCE or i == batch.num_rows - 1:
+                    line, words, feeds = maker.words(b"\n".join([*raw, b""]))
+                    row, h = maker.hashes(np.bincount(line, minlength=len(feeds)), words)
+                    order = np.lexsort((h, row))
+                    row, h = row[order], h[order].view(np.int64)
+                    one = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+                    row, h = row[one], h[one]
+                    offset = np.searchsorted(row, np.arange(len(ids) + 1))
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(h))], ["sid", "tokens"])
+                    ids, raw, total = [], [], 0
+        release_memory()
 
-def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """(rid, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
-    sets = materialize(line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least))
-    rows = sets.select("s", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), *_PARITY, "words", F.posexplode("words").alias("place", "word"))
-    rows = rows.withColumn("prev", F.when(F.col("place") > 0, F.get("words", F.col("place") - 1)).otherwise(F.lit(0).cast("long"))).drop("words")
-    pairs = materialize(_candidates(rows.withColumn("asked", F.lit(True)), threshold, LEADERS))
-    gone = materialize(_verified(docs, pairs, sets, threshold, shingle))
+    texts = _ordered(docs).select(*KEY, "text")
+    if lists.count() <= _FEW:
+        texts = texts.join(F.broadcast(lists.select("rid")), "rid", "left_semi")
+    texts = texts.join(lists.hint("shuffle_hash"), KEY).select("text", "lines")
+    small_batches(docs.sparkSession)
+    words = materialize(texts.mapInArrow(fetch, "sid long, tokens array<long>").dropDuplicates(["sid"]))
+    full = pairs.join(words.select(F.col("sid").alias("x"), F.col("tokens").alias("xt")), "x").join(words.select(F.col("sid").alias("y"), F.col("tokens").alias("yt")), "y")
+    full = full.filter(F.size(F.array_intersect("xt", "yt")) * (p + q) >= p * (F.size("xt") + F.size("yt")))
+    found = materialize(full.select(F.col("x").alias("sid")).distinct())
+    drop(lists)
+    drop(words)
+    return found
+
+
+def _small(side: DataFrame, join: Callable, on: str, how: str = "inner") -> DataFrame:
+    """Join with a written table of few columns, broadcast if its counted rows are few."""
+    return join(F.broadcast(side) if side.count() <= _FEW else side, on, how)
+
+
+def _settled(docs: DataFrame, sets: DataFrame, keys: _Keys, open_: DataFrame, crowd: int, threshold: Fraction, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(those of the open sets that an open one removes, the others): rounds among the open sets of keys in parts, until few more go. Each
+    round leaves a few leaders of a family in each part, so families of any size are settled in rounds of falling size."""
+    gone, before = open_.limit(0), open_.count()
+    while True:
+        left = keys.rows(_small(open_, sets.join, "sid")).filter("parts > 1").drop("parts")
+        sizes = left.groupBy("key").agg(F.ceil(F.count("*") / crowd).alias("parts"))
+        dealt = _own_part(left.join(sizes, "key")).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
+        pairs = materialize(_candidates(dealt, threshold, LEADERS))
+        found = _verified(docs, pairs, sets, threshold, shingle)
+        open_, gone = materialize(open_.join(found, "sid", "left_anti")), gone.union(found).distinct()
+        drop(pairs)
+        now = open_.count()
+        if now * 2 > before:
+            return gone, open_
+        before = now
+
+
+def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None) -> DataFrame:
+    """(rid, rid2, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
+    crowd = crowd or CROWD
+    found = line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least, crowd)
+    numbered = found.withColumn("sid", F.monotonically_increasing_id())  # numbers hold once they are written
+    sets = materialize(numbered.withColumn("base", _packed()).drop(*_PARITY))
+    keys = _Keys(sets, threshold, crowd)
+    rows, split = keys.rows(sets), keys.split
+    both = _own_part(rows).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
+    pairs = materialize(_candidates(both, threshold, LEADERS))
+    gone = _verified(docs, pairs, sets, threshold, shingle)
     # sets that stand although a pair that was not looked at may remove them
-    open_ = materialize(pairs.filter("more").select(F.col("x").alias("s")).distinct().join(gone, "s", "left_anti"))
+    open_ = pairs.filter("more").select(F.col("x").alias("sid"))
+    if split:
+        open_ = open_.union(rows.filter("parts > 1").select("sid"))
+    open_ = materialize(open_.distinct().join(gone, "sid", "left_anti"))
+    if split:
+        more, open_ = _settled(docs, sets, keys, open_, crowd, threshold, shingle)
+        gone = gone.union(more)
     if open_.limit(1).count():
-        words = materialize(_small(open_, rows.join, "s").select("word").distinct())
-        asked = open_.withColumn("asked", F.lit(True))
-        near = _small(words, rows.join, "word").join(asked, "s", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        more = _candidates(near, threshold, None)
-        gone = gone.union(_verified(docs, materialize(more.select("x", "y")), sets, threshold, shingle)).distinct()
-    kept = sets.select("s", "first").join(gone, "s", "left_anti")
-    return materialize(kept.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list("first.line").alias("_kept")))
+        met = materialize(keys.rows(_small(open_, sets.join, "sid")).select("key").distinct())
+        near = _small(met, rows.join, "key").join(open_.withColumn("asked", F.lit(True)), "sid", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        one = near.filter("parts = 1").withColumn("held", F.lit(True)).select(*_ROW, "asked", "held")
+        held = _own_part(near.filter("parts > 1")).select(*_ROW, F.lit(False).alias("asked"), F.lit(True).alias("held"))
+        asked = near.filter("parts > 1 and asked").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        asked = asked.withColumn("key", _part(F.col("part"))).select(*_ROW, "asked", F.lit(False).alias("held"))
+        last = materialize(_candidates(one.union(held).union(asked) if split else one, threshold, None).select("x", "y"))
+        gone = gone.union(_verified(docs, last, sets, threshold, shingle)).distinct()
+    kept = sets.select("sid", "first").join(gone, "sid", "left_anti")
+    out = materialize(kept.groupBy(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2")).agg(F.collect_list("first.line").alias("kept")))
+    drop(sets)
+    drop(pairs)
+    return out
 
 
 def rebuild(text: bytes | None, kept: list[int] | None, least: int = LEAST_WORDS) -> tuple[bytes | None, int, int]:
@@ -310,40 +456,48 @@ def rebuild(text: bytes | None, kept: list[int] | None, least: int = LEAST_WORDS
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def _joined(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(row struct of docs' columns, kept)."""
+    return _keyed(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row")).join(kept.hint("shuffle_hash"), KEY, "left").select("row", "kept")
+
+
+def _rebuilt(batch: pa.RecordBatch, least: int) -> list[tuple[bytes | None, int, int]]:
+    texts = batch.column(0).field("text").cast(pa.binary()).to_pylist()
+    return [rebuild(x, k, least) for x, k in zip(texts, batch.column(1).to_pylist(), strict=True)]
+
+
+def dedup_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, text, kept_text, n_lines long, n_removed long), a row per input row; lines end at line feeds.
 
-    Null text stays null, with no lines; empty text is one line that stays, as do lines of fewer than ``least`` words.
-    Rows that repeat both doc_id and text share one decision on each line; a null doc_id counts as the last, and among lines of
-    one number under one doc_id, in different texts, the set hash sets the order.
+    Null text stays null, with no lines; empty text is one line that stays, as do lines of fewer than ``least`` words. A very long text or line
+    is one like any other. Rows that repeat both doc_id and text share one decision on each line; a null doc_id counts as the last, and among
+    lines of one number under one doc_id, in different texts, a hash of the set sets the order. An empty table gives no rows.
     Other columns are left out.
     """
-    keyed = _key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [rebuild(x, k, least) for x, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        found = _rebuilt(batch, least)
         new = pa.array([x[0] for x in found], pa.binary()).cast(pa.string())
-        return pa.record_batch([batch.column(0), batch.column(1).cast(pa.string()), new, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2))], ["doc_id", "text", "kept_text", "n_lines", "n_removed"])
+        return pa.record_batch([batch.column(0).field("doc_id"), batch.column(0).field("text"), new, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2))], ["doc_id", "text", "kept_text", "n_lines", "n_removed"])
 
-    joined = keyed.join(kept_lines(docs, threshold, shingle, least, buckets).hint("shuffle_hash"), "_rid", "left").select("doc_id", F.col("text").cast("binary"), "_kept")
+    joined = _joined(docs, kept_lines(docs, threshold, shingle, least, buckets, crowd))
     return map_batches(joined, run, "doc_id long, text string, kept_text string, n_lines long, n_removed long")
 
 
-def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """All rows and columns of docs, with ``text`` less the lines that :func:`dedup_lines` removes."""
+def replace_text(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None) -> DataFrame:
+    """All rows and columns of docs, whatever their names, with ``text`` less the lines that :func:`dedup_lines` removes, under the same rules."""
     names = docs.columns
-    at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(batch.columns)
-        texts = [None if x is None else x.encode("utf-8") for x in columns[at].to_pylist()]
-        columns[at] = pa.array([rebuild(x, k, least)[0] for x, k in zip(texts, columns.pop().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
-        return pa.record_batch(columns, names)
+        columns = {c: batch.column(0).field(c) for c in names}
+        columns["text"] = pa.array([x[0] for x in _rebuilt(batch, least)], pa.binary()).cast(pa.string())
+        return pa.record_batch(list(columns.values()), names)
 
-    joined = _key(docs).join(kept_lines(docs, threshold, shingle, least, buckets).hint("shuffle_hash"), "_rid", "left").select(*names, "_kept")
-    return map_batches(joined, run, docs.schema)
+    return map_batches(_joined(docs, kept_lines(docs, threshold, shingle, least, buckets, crowd)), run, docs.schema)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of :func:`dedup_lines` over documents, on single words and lines of any length."""
     found = dedup_lines(table(spark, sf_dir, "documents"), shingle=WORD, least=ANY_WORDS)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+import pytest
 
 import corpus_pipeline
 from communa.llm import lines
@@ -41,3 +44,16 @@ def test_lines_of_one_and_two_words(spark, tmp_path):
     want = {0: rows[0][1], 1: "\n ", 2: "https://example.org/b"}
     assert query(spark, tmp_path, rows) == {0: (4, 0, digest(want[0])), 1: (4, 2, digest(want[1])), 2: (3, 2, digest(want[2]))}
     assert stage_texts(spark, rows) == want
+
+
+@pytest.mark.parametrize(("crowd", "buckets"), [(2, 64), (5, 1 << 17), (40, 1 << 10)])
+def test_crowded_shingles(spark, copies, crowd, buckets):  # noqa: F811
+    """Families of near-copies, one of them a third of all lines: pairs of shingles and parts, with the same result."""
+    rng = random.Random(6)
+    family = [" ".join([*WORDS[:12], f"x{i}"]) for i in range(120)] + [" ".join([*WORDS[:5], f"y{i % 9}", *WORDS[6:16], f"z{i}"]) for i in range(60)]
+    texts = [t for _, t in copies] + family
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = lines.dedup_lines(df, shingle=1, least=1, buckets=buckets, crowd=crowd).collect()
+    assert {r.doc_id: r.kept_text for r in got} == {d: t for d, t in naive(rows, least=1, width=1)}
