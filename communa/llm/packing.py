@@ -1,5 +1,8 @@
 """Best-fit packing of token sequences by bin completion.
 
+The largest document left is completed by undominated fillings, branches are cut by their waste, and best-fit solutions are the incumbents; where
+these miss the lower bound by much, fillings are chosen by prices first, see :func:`plan`.
+
 A packing depends only on how many pieces there are of each length, so the driver plans on that histogram (at most
 ``capacity`` rows, however large the corpus) and the pieces, ranked within their length, look their place up in
 the plan. Ranks are counted in salted groups: a length that holds a third of all pieces stays spread out.
@@ -25,8 +28,9 @@ from communa.storage import materialize
 CAPACITY = 2048
 #: Groups that the pieces of one length are counted in.
 SALT = 256
-#: Steps of the search for fillings around one document, and of the search over whole packings.
-FILL_STEPS, SEARCH_STEPS = 300, 4000
+#: Steps of the search for fillings around one document; of the search over whole packings, at least and for each length; and numbers that the
+#: pricing of fillings may touch. What is left when they run out is packed by best fit: these bound the driver's time, not what is packed.
+FILL_STEPS, SEARCH_STEPS, STEPS_EACH, PRICING = 300, 4000, 10, 5_000_000_000
 #: Pre-tokens that a worker remembers, and the longest that it does.
 REMEMBERED, LONG = 500_000, 64
 #: Words of letters that one call to the tokenizer takes.
@@ -110,7 +114,8 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, piece int, start long, length long, ids_crc32 long[, ids binary]): ids of the whole
-    text and a closing 0, cut every ``capacity`` ids. Null text counts as empty: one piece, the closing 0."""
+    text and a closing 0, cut every ``capacity`` ids. Null text counts as empty: one piece, the closing 0. A very long text gives as many pieces as it
+    takes. Rows that repeat give their pieces each, an empty table gives none; other columns are left out."""
     path = path or default_path()
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -209,16 +214,113 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 12
     return (out or [min(found, key=found.get)])[:keep]
 
 
+def priced(counts: dict[int, int], capacity: int, budget: int = PRICING) -> tuple[list[tuple[Pattern, float]], int]:
+    """(fillings with fractional numbers of bins that hold all pieces in the fewest bins, as far as ``budget`` goes; a lower bound of whole bins).
+
+    The linear programme over all fillings, by generation of columns: each length has a price, its share of a bin under the fillings in use. The
+    completion of greatest price around each length joins the fillings in use where it is worth more than a bin, until none is.
+    Prices over the worth of the best filling bound the number of bins from below (Farley)."""
+    lengths = np.array(sorted(counts, reverse=True))
+    need = np.array([counts[n] for n in lengths.tolist()], float)
+    m = len(lengths)
+    each = capacity // lengths
+    fills = [{i: int(k)} for i, k in enumerate(each)]  # length number -> how many of it
+    inverse, x, price = np.diag(1 / each), need / each, 1 / each
+    spent, least, worth = 0, int(lengths[-1]), 1.0
+    while True:
+        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)  # by room: the greatest price, and a length in it, -1 for one of less room
+        first = np.searchsorted(-lengths, -np.arange(capacity + 1))  # the longest length that fits
+        for room in range(least, capacity + 1):
+            worths = price[first[room] :] + best[room - lengths[first[room] :]]
+            k = int(worths.argmax())
+            best[room], last[room] = (worths[k], first[room] + k) if worths[k] > best[room - 1] + 1e-12 else (best[room - 1], -1)
+        spent += m * capacity
+        worth = max(1.0, float(best[capacity]))
+        around = price + best[capacity - lengths]
+        entered = False
+        for i in np.argsort(-around, kind="stable").tolist():
+            if around[i] <= 1 + 1e-7 or spent > budget:
+                break
+            fill, room = {i: 1}, capacity - int(lengths[i])
+            while room >= least:
+                if (k := int(last[room])) < 0:
+                    room -= 1
+                    continue
+                fill[k] = fill.get(k, 0) + 1
+                room -= int(lengths[k])
+            at, number = list(fill), np.array(list(fill.values()), float)
+            gain = price[at] @ number - 1
+            if gain <= 1e-7:
+                continue
+            column = inverse[:, at] @ number
+            ratio = np.where(column > 1e-9, x / np.where(column > 1e-9, column, 1), np.inf)
+            out = int(ratio.argmin())
+            if not np.isfinite(ratio[out]):
+                continue
+            step, row = ratio[out], inverse[out] / column[out]
+            x = np.maximum(x - step * column, 0)
+            x[out] = step
+            inverse -= np.outer(column, row)
+            inverse[out] = row
+            price = price - gain * row
+            fills[out], entered = fill, True
+            spent += m * m
+        if not entered or spent > budget:
+            break
+    bound = int(np.ceil(need @ np.maximum(price, 0) / worth - 1e-6)) if not entered else 0
+    return [(tuple(int(lengths[k]) for k in sorted(f) for _ in range(f[k])), float(v)) for f, v in zip(fills, x, strict=True)], bound
+
+
+def rounded(fractional: list[tuple[Pattern, float]], counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Whole numbers of the fillings, by the largest fractions left as long as they fit what is left; the rest by :func:`search`."""
+    left, out = dict(counts), []
+
+    def take(pattern: Pattern, number: int) -> None:
+        number = min([number, *(left[n] // pattern.count(n) for n in set(pattern))])
+        if number > 0:
+            out.append((pattern, number))
+            for n in pattern:
+                left[n] -= number
+
+    for pattern, x in fractional:
+        take(pattern, int(x + 1e-6))
+    for pattern, _ in sorted(fractional, key=lambda f: f[1] - int(f[1] + 1e-6), reverse=True):
+        take(pattern, 1)
+    return out + search({n: c for n, c in left.items() if c}, capacity)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Bin completion over a histogram: (lengths of a bin in falling order, number of such bins).
 
-    The largest length left is completed by each undominated filling in turn, for as many bins as the counts allow
-    and then for one; a branch whose waste leaves no hope of fewer bins than the incumbent is cut. The first
-    incumbent is best-fit decreasing; the search ends at the lower bound or after SEARCH_STEPS.
+    The incumbent is best-fit decreasing; where that misses the lower bound, fillings of the greatest price around each length, rounded, with
+    best fit for what they leave; and where that misses it too, the search for better completions goes over the whole histogram.
     """
     counts = {n: c for n, c in counts.items() if c}
-    best = best_fit(counts, capacity)
-    best_bins, bound = sum(c for _, c in best), lower_bound(counts, capacity)
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    bins = lambda packing: sum(c for _, c in packing)
+    if bins(best) > bound:
+        fractional, other = priced(counts, capacity)
+        bound = max(bound, other)
+        best = min(best, rounded(fractional, counts, capacity), key=bins)
+    if bins(best) > bound:
+        best = min(best, search(counts, capacity, best, bound), key=bins)
+    merged: dict[Pattern, int] = {}
+    for pattern, number in best:
+        pattern = tuple(sorted(pattern, reverse=True))
+        merged[pattern] = merged.get(pattern, 0) + number
+    return sorted(merged.items(), reverse=True)
+
+
+def search(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]] | None = None, bound: int = 0) -> list[tuple[Pattern, int]]:
+    """Branch and bound from the incumbent ``best``, or best-fit decreasing.
+
+    The largest length left is completed by each undominated filling in turn, for as many bins as the counts allow
+    and then for one; a branch whose waste leaves no hope of fewer bins than the incumbent is cut. The search ends at the lower bound or
+    after SEARCH_STEPS and STEPS_EACH for each length.
+    """
+    best = best_fit(counts, capacity) if best is None else best
+    best_bins, bound = sum(c for _, c in best), max(bound, lower_bound(counts, capacity) if counts else 0)
+    most = SEARCH_STEPS + STEPS_EACH * len(counts)
     total = sum(n * c for n, c in counts.items())
     left, path, waste, steps, items = dict(counts), [], 0, 0, sum(counts.values())
 
@@ -239,7 +341,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
             left[n] -= number
 
     stack = [choices()] if counts else []
-    while stack and best_bins > bound and steps < SEARCH_STEPS:
+    while stack and best_bins > bound and steps < most:
         steps += 1
         step = next(stack[-1], None)
         if step is None:
@@ -266,11 +368,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
         apply(pattern, -number)
         items += number * len(pattern)
         waste -= number * lost
-    merged: dict[Pattern, int] = {}
-    for pattern, number in best:
-        pattern = tuple(sorted(pattern, reverse=True))
-        merged[pattern] = merged.get(pattern, 0) + number
-    return sorted(merged.items(), reverse=True)
+    return best
 
 
 def slots(packing: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
@@ -292,7 +390,8 @@ def slots(packing: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
 def pack(found: DataFrame, capacity: int = CAPACITY, salt: int = SALT) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) -> the same with sequence_id long and offset long.
 
-    ``found`` is read more than once, so it should be a written table. Rows that repeat are packed each."""
+    ``found`` is read more than once, so it should be a written table. Pieces that repeat are packed each; ties in length are placed by salt, doc_id,
+    piece and checksum. An empty table gives no rows."""
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     places = found.sparkSession.sparkContext.broadcast(slots(plan(counts, capacity)))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -320,4 +419,5 @@ def pack(found: DataFrame, capacity: int = CAPACITY, salt: int = SALT) -> DataFr
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack(materialize(pieces(table(spark, sf_dir, "documents"))))

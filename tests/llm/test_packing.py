@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from communa.llm import packing
@@ -54,6 +55,28 @@ def test_plan_on_large_histograms():
     assert bins <= bound * 1.005 + 1 and bins <= sum(c for _, c in packing.best_fit(counts, 2048))
 
 
+@pytest.mark.parametrize(("low", "high", "number", "most"), [(500, 900, 30000, 10600), (600, 1100, 20000, 8950)])
+def test_plan_where_best_fit_wastes(low, high, number, most):
+    counts = Counter(np.random.default_rng(0).integers(low, high, number).tolist())
+    got = packing.plan(counts)
+    have = Counter()
+    for p, c in got:
+        assert sum(p) <= 2048
+        for n in p:
+            have[n] += c
+    assert have == counts
+    bins, plain, bound = sum(c for _, c in got), sum(c for _, c in packing.best_fit(counts, 2048)), packing.lower_bound(counts, 2048)
+    print(low, high, "bins", bins, "best fit", plain, "bound", bound)
+    assert bound <= bins <= most < plain
+
+
+def test_priced_bound_holds():
+    rng = random.Random(4)
+    for _ in range(40):
+        items = [rng.randrange(3, 40) for _ in range(rng.randrange(2, 9))]
+        assert packing.priced(dict(Counter(items)), 40)[1] <= fewest(items, 40), items
+
+
 def test_pieces_and_places(odd_docs):
     tok = Tokenizer.from_file(packing.default_path())
     tok.encode_special_tokens = True
