@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch handed to Python: very long texts then come few at a time.
@@ -18,8 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """The columns of docs as one struct named row, beside which helper columns may have any names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for jobs that run inside; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, so that a Python worker's memory follows BATCH_BYTES and not the row count."""
+    """Bound the Arrow batches of this session, so that a Python worker's memory follows BATCH_BYTES and not the row count. It
+    stays so, since lazy results read the setting when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from communa.llm.common import release_memory, small_batches, table
+from communa.llm.common import release_memory, small_batches, table, whole_row
 
 #: Bound of the labelled sample for each language, number of landmarks over all languages, ridge, steepness of the score.
 PER_LANG, LANDMARKS, RIDGE, STEEP = 300, 128, 1e-2, 6.0
@@ -144,26 +144,32 @@ def fit(docs: DataFrame, where: Column | None = None, per_lang: int = PER_LANG,
 
 
 def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, in place, and lang_pred string and score double; these two names must be free."""
-    at = docs.columns.index("text")
+    """(row, lang_pred string, score double) for each row of docs, row a struct of all its columns, whatever their names.
+
+    Null and letterless texts are ``und`` with score 0; without any labelled text in the fit all are. A very long text is one set of
+    n-grams like any other. Repeated rows stay; equal texts get equal results; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(whole_row(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            lang, score = shared.value.predict(batch.column(0).field("text").to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
         release_memory()
 
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, lang_pred, score), a row per input row; other columns are left out.
+    """(doc_id, text, ...) -> (doc_id, lang_pred, score), a row per input row, by the rules of :func:`annotate`; other columns are left out."""
+    found = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return found.select("row.doc_id", "lang_pred", "score")
+
 
-    Null and letterless texts are ``und`` with score 0; without any labelled text in the fit all are. Repeated rows stay."""
-    return annotate(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).drop("text")
+def recognised(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, in some language by a score of ``least`` or more."""
+    return annotate(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def held_out() -> Column:
@@ -172,5 +178,6 @@ def held_out() -> Column:
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of all documents, by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

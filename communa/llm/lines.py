@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communa.llm.common import map_batches, release_memory, small_batches, table
+from communa.llm.common import batch_rows, map_batches, release_memory, small_batches, table, whole_row
 from communa.storage import drop, materialize
 
 THRESHOLD = Fraction(4, 5)
@@ -286,7 +286,7 @@ def _longs(packed: pa.Array) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
-    """(key, base, place, prev, asked, held) -> (x, y, more): pairs that pass the filters under a key; x is asked for, y held,
+    """(key, base, place, prev, asked, held) -> written (x, y, more): pairs that pass the filters under a key; x is asked for, y held,
     and y comes before x by (doc, line, parities).
 
     With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them. A pair that also shares the shingle
@@ -342,8 +342,8 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
 
     code = F.shiftleft(F.col("place").cast("long"), 2).bitwiseOR(F.shiftleft(F.col("held").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
     dealt = rows.select("key", code.alias("code"), "prev", "base").repartition("key").sortWithinPartitions("key")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    return dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
+    with batch_rows(rows.sparkSession, 65536):
+        return materialize(dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
@@ -402,7 +402,7 @@ def _settled(docs: DataFrame, sets: DataFrame, keys: _Keys, open_: DataFrame, cr
         left = keys.rows(_small(open_, sets.join, "sid")).filter("parts > 1").drop("parts")
         sizes = left.groupBy("key").agg(F.ceil(F.count("*") / crowd).alias("parts"))
         dealt = _own_part(left.join(sizes, "key")).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
-        pairs = materialize(_candidates(dealt, threshold, LEADERS))
+        pairs = _candidates(dealt, threshold, LEADERS)
         found = _verified(docs, pairs, sets, threshold, shingle)
         open_, gone = materialize(open_.join(found, "sid", "left_anti")), gone.union(found).distinct()
         drop(pairs)
@@ -421,7 +421,7 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     keys = _Keys(sets, threshold, crowd)
     rows, split = keys.rows(sets), keys.split
     both = _own_part(rows).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
-    pairs = materialize(_candidates(both, threshold, LEADERS))
+    pairs = _candidates(both, threshold, LEADERS)
     gone = _verified(docs, pairs, sets, threshold, shingle)
     # sets that stand although a pair that was not looked at may remove them
     open_ = pairs.filter("more").select(F.col("x").alias("sid"))
@@ -438,7 +438,7 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
         held = _own_part(near.filter("parts > 1")).select(*_ROW, F.lit(False).alias("asked"), F.lit(True).alias("held"))
         asked = near.filter("parts > 1 and asked").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         asked = asked.withColumn("key", _part(F.col("part"))).select(*_ROW, "asked", F.lit(False).alias("held"))
-        last = materialize(_candidates(one.union(held).union(asked) if split else one, threshold, None).select("x", "y"))
+        last = _candidates(one.union(held).union(asked) if split else one, threshold, None)
         gone = gone.union(_verified(docs, last, sets, threshold, shingle)).distinct()
     kept = sets.select("sid", "first").join(gone, "sid", "left_anti")
     out = materialize(kept.groupBy(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2")).agg(F.collect_list("first.line").alias("kept")))
@@ -458,7 +458,7 @@ def rebuild(text: bytes | None, kept: list[int] | None, least: int = LEAST_WORDS
 
 def _joined(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(row struct of docs' columns, kept)."""
-    return _keyed(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row")).join(kept.hint("shuffle_hash"), KEY, "left").select("row", "kept")
+    return _keyed(docs, whole_row(docs)).join(kept.hint("shuffle_hash"), KEY, "left").select("row", "kept")
 
 
 def _rebuilt(batch: pa.RecordBatch, least: int) -> list[tuple[bytes | None, int, int]]:

@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communa.llm.common import map_batches, small_batches, table
+from communa.llm.common import BATCH_ROWS, batch_rows, map_batches, table, whole_row
 from communa.operators.components import component_edges
-from communa.storage import materialize
+from communa.storage import drop, materialize
 
 SEED = 42
 MAX_BITS = 3
@@ -137,16 +137,17 @@ def _ball_edges(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Distinct fingerprints (fp) -> (u, v) pairs whose components are those of the full link graph."""
-    small_batches(fps.sparkSession)
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    """Distinct fingerprints (fp) -> written (u, v) pairs whose components are those of the full link graph."""
     keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(max_bits, blocks)])).alias("m", "k"))
     sizes = keys.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
     met = keys.join(sizes, ["m", "k"])
     # the mask number is mixed into the key, so one long tells keys apart but for chance meetings, which only add comparisons
     cold = met.filter(F.col("n") <= bucket_rows).select(F.xxhash64("m", "k").alias("k"), "fp").repartition("k").sortWithinPartitions("k")
     hot = materialize(met.filter(F.col("n") > bucket_rows).select("fp").distinct())
-    return _cold_edges(cold, max_bits).union(_ball_edges(hot, max_bits))
+    with batch_rows(fps.sparkSession, 65536):
+        out = materialize(_cold_edges(cold, max_bits).union(_ball_edges(hot, max_bits)))
+    drop(hot)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -154,9 +155,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX
 
     component_id is the least doc_id that links lead to, the row's own included. Null and wordless texts have
     fingerprint 0 and are linked like any others; rows that repeat a doc_id stay; a null doc_id gets the least
-    doc_id of its component, null if there is none. Other columns are left out. An empty table gives no rows.
+    doc_id of its component, null if there is none. A very long text is hashed in chunks. Other columns are left out. An empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs, shingle_words))
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        fps = materialize(fingerprints(docs, shingle_words))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = component_edges(links(distinct.select("fp"), max_bits, blocks, bucket_rows))
     named = distinct.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -168,12 +170,13 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BIT
     """The rows of docs, with all their columns, that have the least doc_id of their group of near-duplicates; of rows that repeat doc_id
     and text one stays, and so does one of each text without doc_id in a group that has none."""
     found = near_duplicates(docs, shingle_words, max_bits, blocks, bucket_rows)
-    stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    kept = docs.join(stay.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    again = kept.filter("_n > 1").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"])
-    return kept.filter("_n = 1").select(*docs.columns).union(again.select(*docs.columns))
+    stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    kept = docs.select(whole_row(docs)).join(stay.hint("merge"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
+    again = kept.filter("n > 1").withColumn("a", F.xxhash64("row.text")).withColumn("b", F.xxhash64(F.lit(1), "row.text")).dropDuplicates(["id", "a", "b"])
+    return kept.filter("n = 1").select("row.*").union(again.select("row.*"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` of documents on three-word shingles, the fingerprint as 16 hexadecimal digits."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
