@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by inner product over randomly rotated one-bit codes.
 
 Of a vector less a common centre, randomly rotated, the signs are kept as packed bits, with its length and the correction
-that makes the estimate of an inner product unbiased (RaBitQ; Gao and Long, 2024). A query estimates its inner
-products with all codes of a block from the bits, computes those of its ``FIRST`` best estimates exactly, and then all whose
+that makes the estimate of an inner product unbiased (RaBitQ; Gao and Long, 2024). A query, rotated too, is rounded to ``QUERY_BITS`` bits a
+component; its estimates with all codes of a block are counts of the bits that codes share with the planes of these numbers, so codes are
+never unpacked. Of its ``FIRST`` best estimates it computes the inner products exactly, and then of all whose
 error bound, at ``EPSILON`` standard deviations, reaches the k-th best of these; exact values rank the result.
 
-Every code is looked at, in blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_QUERIES`` queries that hashes of the ids
-deal out, so equal vectors are spread like any others. Coarser cells are left out on purpose: on vectors without much
-structure half of all cells must be read for a recall of 0.9.
+Every code is looked at, in blocks of about ``BLOCK_ROWS`` rows that hashes of the ids deal out, so equal vectors are spread like any others.
+A vector crosses the shuffle once; a task holds the vectors of one block while the queries pass by, in batches, and takes of them those that
+the bounds choose. Coarser cells are left out on purpose: on vectors without much structure half of all cells must be read for a recall of 0.9.
 """
 
 from __future__ import annotations
@@ -20,18 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from communa.llm.common import table
-from communa.storage import materialize
+from communa.llm.common import small_batches, table
 
 K = 20
 #: Bound of the sample whose mean is the centre.
 SAMPLE_ROWS = 4096
-#: Rows and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
+#: Rows of a block, and bits that a component of a query is rounded to.
+BLOCK_ROWS, QUERY_BITS = 16384, 4
 #: Estimates computed exactly at first, for each query and block; standard deviations of the error bound.
-FIRST, EPSILON = 64, 1.9
+FIRST, EPSILON = 64, 3.0
 SEED = 5
-_STEP = 64
 
 
 @dataclass
@@ -57,36 +56,68 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Packed bits, a row each -> 64-bit words, a column each."""
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.ascontiguousarray(wide.view(np.uint64).T)
+
+
+class Block:
+    """Vectors of a block, their codes and corrections."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray):
+        self.ids, self.x, self.words = ids, x, _words(bits)
+        d = x.shape[1]
+        self.ones = np.bitwise_count(self.words).sum(0, dtype=np.int64)
+        self.scale = length / fit / np.sqrt(d)
+        self.wide = EPSILON * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(d - 1, 1))
+
+    def estimates(self, turned: np.ndarray) -> np.ndarray:
+        """Of the inner products of a rotated query with the vectors less the centre."""
+        low = float(turned.min())
+        step = (float(turned.max()) - low) / ((1 << QUERY_BITS) - 1) or 1.0
+        level = np.round((turned - low) / step).astype(np.uint8)
+        shared = np.zeros(len(self.ids), np.int64)
+        for j in range(QUERY_BITS):
+            plane = _words(np.packbits(level >> j & 1)[None])
+            for word, mask in zip(self.words, plane[:, 0], strict=True):
+                shared += np.bitwise_count(word & mask).astype(np.int64) << j
+        return self.scale * (2 * (low * self.ones + step * shared) - (low * len(turned) + step * level.sum(dtype=np.int64)))
+
+    def nearest(self, q: np.ndarray, turned: np.ndarray, centre: float, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact inner products of the best k found, but for the id ``own``."""
+        if len(self.ids) > FIRST + k:
+            guess = self.estimates(turned)
+            best = np.argpartition(guess, -FIRST)[-FIRST:]
+            score = exact_scores(np.broadcast_to(q, (FIRST, len(q))), self.x[best])
+            score[self.ids[best] == own] = -np.inf
+            floor = np.partition(score, -min(k, FIRST))[-min(k, FIRST)] - centre
+            keep = guess + np.linalg.norm(q) * self.wide >= floor - 1e-9
+            keep[best] = True
+            found = np.flatnonzero(keep)
+        else:
+            found = np.arange(len(self.ids))
+        found = found[self.ids[found] != own]
+        score = exact_scores(np.broadcast_to(q, (len(found), len(q))), self.x[found])
+        if len(found) > k:
+            top = score >= np.partition(score, -k)[-k]
+            found, score = found[top], score[top]
+        order = np.lexsort((self.ids[found], -score))[:k]
+        return self.ids[found[order]], score[order]
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray, qids: np.ndarray, q: np.ndarray, book: Codebook, k: int) -> list[np.ndarray]:
     """Best k of a block for each query: query ids, ids, scores."""
-    d, n = x.shape[1], len(x)
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    scaled = (signs * (length / fit / np.sqrt(d)).astype(np.float32)[:, None]).T
-    centre, turned = q @ book.centre, (q @ book.rotation).astype(np.float32)
-    wide = (EPSILON * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(d - 1, 1))).astype(np.float32)
-    size = np.linalg.norm(q, axis=1)
+    return _searched(Block(ids, x, bits, length, fit), qids, q, book, k)
+
+
+def _searched(block: Block, qids: np.ndarray, q: np.ndarray, book: Codebook, k: int) -> list[np.ndarray]:
+    centre, turned = q @ book.centre, q @ book.rotation
     out = []
-    for at in range(0, len(q), _STEP):
-        own, my = q[at : at + _STEP], qids[at : at + _STEP]
-        guess = turned[at : at + _STEP] @ scaled
-        if n > FIRST + k:
-            best = np.argpartition(guess, -FIRST, axis=1)[:, -FIRST:]
-            row = np.repeat(np.arange(len(own)), FIRST)
-            score = exact_scores(own[row], x[best.ravel()]).reshape(-1, FIRST)
-            score[ids[best] == my[:, None]] = -np.inf
-            floor = np.partition(score, -min(k, FIRST), axis=1)[:, -min(k, FIRST)] - centre[at : at + _STEP]
-            keep = guess + size[at : at + _STEP, None].astype(np.float32) * wide >= floor[:, None] - 1e-5
-            np.put_along_axis(keep, best, True, 1)
-        else:
-            keep = np.ones_like(guess, bool)
-        row, column = np.nonzero(keep)
-        other = ids[column] != my[row]
-        row, column = row[other], column[other]
-        score = exact_scores(own[row], x[column])
-        order = np.lexsort((ids[column], -score, row))
-        row, column, score = row[order], column[order], score[order]
-        top = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
-        out.append((my[row[top]], ids[column[top]], score[top]))
+    for i, own in enumerate(qids.tolist()):
+        ids, score = block.nearest(q[i], turned[i], float(centre[i]), own, k)
+        out.append((np.full(len(ids), own), ids, score))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
@@ -109,7 +140,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K)
 
     Rows with a null vec_id, and vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
     another length than most (the longer, on a tie). Rows that repeat a vec_id count once each. Fewer than k candidates are all
-    returned; an empty table gives none. Other columns are left out.
+    returned, equal vectors like any others; an empty table gives none. Vectors of any length are taken whole. Other columns are left out.
     """
     spark = vectors.sparkSession
     rows = sound(vectors)
@@ -122,7 +153,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K)
     sample = rows.filter(share).dropDuplicates(["vec_id"]).limit(2 * SAMPLE_ROWS).collect() or [rows.first()]
     shared = spark.sparkContext.broadcast(codebook(np.array([r["embedding"] for r in sample])))
     asked = rows if queries is None else sound(queries).filter(F.size("embedding") == d)
-    nr, nq = -(-n // BLOCK_ROWS), max(1, -(-asked.count() // BLOCK_QUERIES))
+    blocks = -(-n // BLOCK_ROWS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,23 +161,37 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K)
                 bits, length, fit = shared.value.encode(_stack(batch.column(1)))
                 yield pa.record_batch([*batch.columns, pa.array(list(map(bytes, bits)), pa.binary()), pa.array(length), pa.array(fit)], ["vec_id", "embedding", "bits", "length", "fit"])
 
-    coded = materialize(rows.mapInArrow(encode, "vec_id long, embedding array<double>, bits binary, length double, fit double"))
-    left = coded.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(nr)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    right = right.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    coded = rows.mapInArrow(encode, "vec_id long, embedding array<double>, bits binary, length double, fit double")
+    held = coded.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("turn"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "bits", "length", "fit")
+    passing = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("turn"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    passing = passing.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("fit"))
+    names = ["query_id", "vec_id", "score"]
 
-    def search(x: pa.Table, q: pa.Table) -> pa.Table:
-        columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if x.num_rows and q.num_rows:
-            bits = np.frombuffer(b"".join(x.column("bits").to_pylist()), np.uint8).reshape(x.num_rows, -1)
-            columns = search_block(x.column("vec_id").to_numpy(), _stack(x.column("embedding")), bits, x.column("length").to_numpy(), x.column("fit").to_numpy(), q.column("query_id").to_numpy(), _stack(q.column("query")), shared.value, k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    found = left.groupBy("r", "b").cogroup(right.groupBy("r", "b")).applyInArrow(search, "query_id long, vec_id long, score double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, block = -1, [], None  # the block at hand: first its vectors come, then the queries
+        for batch in batches:
+            key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            for a in np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else ():
+                part = batch.slice(a, int(np.searchsorted(key, key[a], "right")) - a)
+                if key[a] // 2 != now:
+                    now, parts, block = key[a] // 2, [], None
+                ids, vectors_ = part.column(2).to_numpy(), _stack(part.column(3))
+                if key[a] % 2 == 0:
+                    bits = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+                    parts.append((ids, vectors_, bits, part.column(5).to_numpy(), part.column(6).to_numpy()))
+                elif parts or block:
+                    if parts:
+                        block, parts = Block(*(np.concatenate(c) for c in zip(*parts, strict=True))), []
+                    yield pa.record_batch([pa.array(c) for c in _searched(block, ids, vectors_, shared.value, k)], names)
+
+    small_batches(spark)
+    dealt = held.union(passing).repartition("block").sortWithinPartitions("block", "turn")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all other rows, for the rows whose vec_id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours(vectors, vectors.filter(F.col("vec_id") % 20 == 0))

@@ -49,7 +49,6 @@ def test_error_bounds_choose_well():
 @pytest.mark.parametrize("block", [vectors.BLOCK_ROWS, 7])
 def test_odd_rows(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
-    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
     same = [1.0, 2.0, 0.0]
     data = [(i, same) for i in range(30)] + [(30, [0.0] * 3), (31, None), (32, [1.0, None, 2.0]), (33, [float("nan"), 1.0, 1.0]), (34, [float("inf"), 1.0, 1.0]), (None, same), (36, [1.0, 2.0]), (40, [5.0, 5.0, 5.0]), (41, [-1.0, 0.5, 0.0])]
     df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in data], "vec_id long, embedding array<double>, cell int, query string, score double")
@@ -61,3 +60,28 @@ def test_odd_rows(spark, monkeypatch, block):
     assert vectors.neighbours(df.limit(0)).collect() == []
     two = df.filter("vec_id in (0, 40)")
     assert rows(vectors.neighbours(two)) == {0: [(1, 40, 15.0)], 40: [(1, 0, 15.0)]}
+
+
+def test_recall_at_another_size(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data], np.float64)
+    got, want = rows(vectors.neighbours(df, df.filter("vec_id % 20 = 0"))), brute(ids, x, np.flatnonzero(ids % 20 == 0), 20)
+    recall = np.mean([len({v for _, v, _ in got[q]} & {v for _, v in want[q]}) / 20 for q in want])
+    print("rows", len(ids), "recall", recall)
+    assert set(got) == set(want) and recall >= 0.95
+
+
+@pytest.mark.parametrize("d", [3, 64, 100, 130])
+def test_estimates_from_packed_bits(d):
+    """Counts over planes of bits are the inner products of codes with the rounded query."""
+    rng = np.random.default_rng(d)
+    x, q = rng.standard_normal((50, d)), rng.standard_normal(d)
+    book = vectors.codebook(x)
+    bits, length, fit = book.encode(x)
+    turned = q @ book.rotation
+    low, step = turned.min(), (turned.max() - turned.min()) / (2**vectors.QUERY_BITS - 1)
+    rounded = low + step * np.round((turned - low) / step)
+    signs = np.unpackbits(bits, axis=1, count=d) * 2.0 - 1
+    want = signs @ rounded * length / fit / np.sqrt(d)
+    assert np.allclose(vectors.Block(np.arange(50), x, bits, length, fit).estimates(turned), want)
