@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import small_batches, table
+from communa.operators.ordering import number_rows
 from communa.storage import materialize
 
 ROLES = ("system", "user", "assistant")
@@ -29,8 +30,8 @@ MARKERS = {
     "user": ("user", "human", "q", "question", "prompt", "customer", "me"),
     "assistant": ("assistant", "ai", "bot", "a", "answer", "model", "agent", "response"),
 }
-#: Bound of the labelled transcripts that the model is fitted on, and turn numbers of a chunk.
-TRAIN_TRANSCRIPTS, CHUNK_TURNS = 1000, 1024
+#: Bound of the labelled transcripts that the model is fitted on; turn numbers and turns of a chunk; chunks of a transcript that are joined at once.
+TRAIN_TRANSCRIPTS, CHUNK_TURNS, BUNDLE = 1000, 1024, 1024
 _MARKER = re.compile(r"\s*(?:#+\s*|\*\*|<\|?|\[)?\s*([A-Za-z]{1,14})\s*(?:\*\*|\|?>|\])?\s*:\s?(?:\*\*)?|\s*(?:<\|([A-Za-z]{1,14})\|>|\[([A-Za-z]{1,14})\])\s*")
 _ROLE_OF = {w: i + 1 for i, r in enumerate(ROLES) for w in MARKERS[r]}
 STATES = 2 * len(ROLES)  # 2 * role + (0 opens a turn, 1 goes on)
@@ -203,52 +204,114 @@ def _chunk_summary(model: Model, lines: list[str]) -> tuple[list[float], list[fl
     return model.span(symbols(lines, False)).ravel().tolist(), model.span(codes).ravel().tolist(), head.tolist(), not lines[-1].strip()
 
 
-def _join_chunks(chunks: list[dict]) -> Iterator[tuple[int, list[float] | None, int, bool]]:
-    """Summaries in order -> (chunk, scores of the states before it or None, last state, whether a blank line comes before), last first."""
-    score: np.ndarray | None = None
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best scores over two spans in a row."""
+    return (a[:, :, None] + b[None]).max(1)
+
+
+def _square(x: list[float]) -> np.ndarray:
+    return np.array(x).reshape(STATES, STATES)
+
+
+def _bundled(chunks: list[dict]) -> tuple[list[float], list[float], list[float], bool]:
+    """The summary of chunks in order, as of one chunk."""
+    spans = []
+    for first in ("span", "wide"):
+        total = _square(chunks[0][first])
+        for before, x in zip(chunks, chunks[1:], strict=False):
+            total = _joined(total, _square(x["wide" if before["blank"] else "span"]))
+        spans.append(total.ravel().tolist())
+    head = np.array(chunks[0]["head"])
+    for before, x in zip(chunks, chunks[1:], strict=False):
+        head = (head[:, None] + _square(x["wide" if before["blank"] else "span"])).max(0)
+    return *spans, head.tolist(), chunks[-1]["blank"]
+
+
+def _join_chunks(chunks: list[dict], start: list[float] | None, last: int | None, blank: bool) -> Iterator[tuple[int, int, list[float] | None, int, bool]]:
+    """Summaries in order -> (chunk, part, scores of the states before it or None, last state, whether a blank line comes before), last first.
+    ``start``, ``last`` and ``blank`` say the same of all of them."""
+    score = None if start is None else np.array(start)
     before = []
-    blank = True
     for x in chunks:
-        span = np.array(x["wide" if blank else "span"]).reshape(STATES, STATES)
+        span = _square(x["wide" if blank else "span"])
         before.append((score, span, blank))
         score = np.array(x["head"]) if score is None else (score[:, None] + span).max(0)
         blank = x["blank"]
-    state = int(score.argmax())
-    for x, (start, span, blank) in zip(reversed(chunks), reversed(before), strict=True):
-        yield x["chunk"], None if start is None else start.tolist(), state, blank
-        if start is not None:
-            state = int((start + span[:, state]).argmax())
+    state = int(score.argmax()) if last is None else last
+    for x, (start_, span, blank_) in zip(reversed(chunks), reversed(before), strict=True):
+        yield x["chunk"], x["part"], None if start_ is None else start_.tolist(), state, blank_
+        if start_ is not None:
+            state = int((start_ + span[:, state]).argmax())
+
+
+def _parted(rows: DataFrame, by: list[str], order: list[str], most: int, name: str) -> tuple[DataFrame, bool]:
+    """(rows with a number ``name``, whether it is ever above 0): 0, but in groups of more than ``most`` rows the row's place in them over ``most``.
+    Rows of such groups are sorted by ranges, so that no task holds a group."""
+    large = materialize(rows.groupBy(*by).agg(F.count("*").alias("rows")).filter(F.col("rows") > most))
+    if not large.limit(1).count():
+        return rows.withColumn(name, F.lit(0).cast("long")), False
+    numbered = number_rows(rows.join(large.select(*by), by, "left_semi"), *by, *order, name="place")
+    first = numbered.groupBy(*by).agg(F.min("place").alias("first"))
+    placed = numbered.join(first, by).withColumn(name, F.floor((F.col("place") - F.col("first")) / most).cast("long"))
+    return rows.join(large, by, "left_anti").withColumn(name, F.lit(0).cast("long")).unionByName(placed.select(*rows.columns, name)), True
+
+
+_SUMMARY = "conv_id long, chunk long, part long, span array<double>, wide array<double>, head array<double>, blank boolean"
+_KNOWN = "conv_id long, chunk long, part long, start array<double>, last int, blank boolean"
 
 
-def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """(conv_id, turn, text lines of a transcript, truth states or null) -> (conv_id, chunk, n_lines, n_turns, n_right, roles, rendered).
+def _known(spans: DataFrame, bundle: int) -> DataFrame:
+    """Summaries of chunks (_SUMMARY) -> _KNOWN for each, by joining up to ``bundle`` chunks at once, then such bundles, and so on."""
 
-    ``turns`` has (conv_id, turn, lines array<string>, truth array<int>); a transcript is its lines in order of turn. It is parsed in chunks of
-    ``chunk_turns`` turn numbers; concatenated in order, the chunks' renderings are the canonical conversation (blank lines at the seams
-    aside): a chunk begins inside a turn or with the end of the one before. Most conversations are one chunk, 0. n_turns counts turns that open in the chunk.
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(conv, *x) for conv, spans, *outer in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _join_chunks(spans, *outer)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.bool_())
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in _KNOWN.split(", ")])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(conv, number, 0, *_bundled(spans)) for conv, number, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.list_(pa.float64()),) * 3, pa.bool_())
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in _SUMMARY.split(", ")])
+
+    dealt, several = _parted(spans, ["conv_id"], ["chunk", "part"], bundle, "bundle")
+    chunks = F.sort_array(F.collect_list(F.struct("chunk", "part", "span", "wide", "head", "blank"))).alias("spans")
+    bundles = dealt.groupBy("conv_id", "bundle").agg(chunks)
+    if not several:
+        return bundles.select("conv_id", "spans", F.lit(None).cast("array<double>"), F.lit(None).cast("int"), F.lit(True)).mapInArrow(join, _KNOWN)
+    bundles = materialize(bundles)
+    outer = _known(materialize(bundles.select("conv_id", "bundle", "spans").mapInArrow(compose, _SUMMARY)), bundle)
+    outer = outer.select("conv_id", F.col("chunk").alias("bundle"), "start", "last", "blank")
+    return bundles.join(outer, ["conv_id", "bundle"]).select("conv_id", "spans", "start", "last", "blank").mapInArrow(join, _KNOWN)
+
+
+def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS, bundle: int = BUNDLE) -> DataFrame:
+    """(conv_id, turn, text lines of a transcript, truth states or null) -> (conv_id, chunk, part, n_lines, n_turns, n_right, roles, rendered).
+
+    ``turns`` has (conv_id, turn, lines array<string>, truth array<int>); a transcript is its lines in order of turn, null first; rows of one turn
+    number are in order of their lines. It is parsed in chunks of ``chunk_turns`` turn numbers, and a chunk of more rows than that, as where turn is null
+    or the same in all, in parts of so many. Concatenated in order of chunk and part, the renderings are the canonical conversation (blank lines at the
+    seams aside): one begins inside a turn or with the end of the one before. Most conversations are one chunk, 0, of one part, 0. n_turns
+    counts turns that open there. Very long texts are lines like any others; conversations without lines, and an empty table, give no rows.
     """
     spark = turns.sparkSession
     shared = spark.sparkContext.broadcast(model)
     chunk = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / chunk_turns).cast("long").alias("chunk")
-    grouped = turns.select("conv_id", chunk, "turn", "lines", "truth").groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), "lines", "truth"))).alias("turns"))
-    chunks = materialize(grouped.select("conv_id", "chunk", F.flatten("turns.lines").alias("lines"), F.flatten("turns.truth").alias("truth")))
+    dealt, _ = _parted(turns.select("conv_id", chunk, "turn", "lines", "truth"), ["conv_id", "chunk"], ["turn", "lines", "truth"], chunk_turns, "part")
+    grouped = dealt.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), "lines", "truth"))).alias("turns"))
+    chunks = materialize(grouped.select("conv_id", "chunk", "part", F.flatten("turns.lines").alias("lines"), F.flatten("turns.truth").alias("truth")))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_chunk_summary(shared.value, x) for x in batch.column(2).to_pylist()]
+            found = [_chunk_summary(shared.value, x) for x in batch.column(3).to_pylist()]
             scores = (pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in range(3))
-            yield pa.record_batch([*batch.columns[:2], *scores, pa.array([f[3] for f in found], pa.bool_())], ["conv_id", "chunk", "span", "wide", "head", "blank"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(conv, *x) for conv, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _join_chunks(spans)]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.bool_())
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "chunk", "start", "last", "blank"])
+            yield pa.record_batch([*batch.columns[:3], *scores, pa.array([f[3] for f in found], pa.bool_())], [c.split()[0] for c in _SUMMARY.split(", ")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, number, lines, truth, start, last, blank, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, number, part, lines, truth, start, last, blank, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = symbols(lines, blank)
                 if start is None:
                     lead = shared.value.first + shared.value.shown[:, codes[0]]
@@ -263,19 +326,18 @@ def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUN
                 text = text[text.index("\n") + 1 :] if inside else "<|end|>\n" * (start is not None) + text
                 text = text if final else text[: -len("\n<|end|>\n")] + "\n"
                 right = sum(s // 2 == t // 2 for s, t in zip(states, truth or [], strict=False))
-                rows.append((conv, number, len(lines), len(found) - inside, right, ",".join(r for r, _ in found[inside:]), text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "chunk", "n_lines", "n_turns", "n_right", "roles", "rendered"])
+                rows.append((conv, number, part, len(lines), len(found) - inside, right, ",".join(r for r, _ in found[inside:]), text))
+            kinds = (*(pa.int64(),) * 6, pa.string(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "chunk", "part", "n_lines", "n_turns", "n_right", "roles", "rendered"])
 
     small_batches(spark)
     full = chunks.filter(F.size("lines") > 0)
-    spans = full.select("conv_id", "chunk", "lines").mapInArrow(summarise, "conv_id long, chunk long, span array<double>, wide array<double>, head array<double>, blank boolean")
-    chained = spans.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "span", "wide", "head", "blank"))).alias("spans"))
-    known = chained.mapInArrow(join, "conv_id long, chunk long, start array<double>, last int, blank boolean")
-    final = F.col("chunk") == F.col("top")
-    tops = full.groupBy("conv_id").agg(F.max("chunk").alias("top"))
-    ready = full.join(known, ["conv_id", "chunk"]).join(tops, "conv_id").select("conv_id", "chunk", "lines", "truth", "start", "last", "blank", final.alias("final"))
-    return ready.mapInArrow(write, "conv_id long, chunk long, n_lines long, n_turns long, n_right long, roles string, rendered string")
+    spans = materialize(full.select("conv_id", "chunk", "part", "lines").mapInArrow(summarise, _SUMMARY))
+    known = _known(spans, bundle)
+    tops = full.groupBy("conv_id").agg(F.max(F.struct("chunk", "part")).alias("top"))
+    final = F.struct("chunk", "part") == F.col("top")
+    ready = full.join(known, ["conv_id", "chunk", "part"]).join(tops, "conv_id").select("conv_id", "chunk", "part", "lines", "truth", "start", "last", "blank", final.alias("final"))
+    return ready.mapInArrow(write, "conv_id long, chunk long, part long, n_lines long, n_turns long, n_right long, roles string, rendered string")
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
@@ -309,6 +371,13 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     return rows.filter(F.col("conv_id").isNotNull()).distinct().mapInArrow(run, "conv_id long, turn long, lines array<string>, truth array<int>")
 
 
+def held_out() -> Column:
+    """Whether crc32 of conv_id as text leaves 1 when divided by 3."""
+    return F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, parsed by a model of those that are not ``held_out``."""
     talks = table(spark, sf_dir, "conversations")
-    return format_conversations(as_transcripts(talks), fit(talks))
+    found = format_conversations(as_transcripts(talks), fit(talks, ~held_out()))
+    return found.withColumn("held_out", held_out())

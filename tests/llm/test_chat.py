@@ -71,3 +71,21 @@ def test_odd_conversations(spark, model):
     assert sorted({r.conv_id for r in got}) == [1, 2, 3, 4, 5] and len([r for r in got if r.conv_id == 3]) == 2
     assert chat.format_conversations(chat.as_transcripts(df.limit(0)), model).collect() == []
     assert chat.fit(df.limit(0)).decode(["x"]) is not None
+
+
+@pytest.mark.parametrize("turn", [None, 7])
+def test_crowded_turns_go_in_parts(spark, model, turn):
+    """All turns of a conversation null, or of one number: parts and bundles of a few, with the result of one pass."""
+    rng = random.Random(8)
+    data = [(c, turn, rng.choice(["user", "assistant"]), f"line {rng.randrange(1000)}\nand {i}?") for c in (1, 2) for i in range(60)]
+    turns = chat.as_transcripts(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    whole = {r.conv_id: r for r in chat.format_conversations(turns, model).collect()}
+    parts = {}
+    for r in chat.format_conversations(turns, model, 2, 3).orderBy("conv_id", "chunk", "part").collect():
+        parts.setdefault(r.conv_id, []).append(r)
+    assert set(whole) == set(parts) == {1, 2} and all(len(x) == 30 for x in parts.values())
+    for conv, rows in parts.items():
+        assert [sum(r[c] for r in rows) for c in ("n_lines", "n_turns", "n_right")] == [whole[conv][c] for c in ("n_lines", "n_turns", "n_right")]
+        assert ",".join(r.roles for r in rows if r.roles) == whole[conv].roles
+        joined, one = ("".join(r.rendered for r in rows), whole[conv].rendered)
+        assert [x for x in joined.split("\n") if x.strip()] == [x for x in one.split("\n") if x.strip()]
