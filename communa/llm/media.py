@@ -6,17 +6,16 @@ spectrum are paired with the next peaks in time; a pair is stored under the time
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from communa.llm.common import map_batches, table
+from communa.llm.common import map_batches, table, whole_row
 
 RATE = 8000
 FRAME, HOP = 256, 128
@@ -91,18 +90,26 @@ def pairs(t: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, media binary): the text's padded UTF-8 bytes as a WAV file; null text counts as empty."""
+    """(doc_id, text, ...) -> (doc_id, n_bytes long, media binary): the text's padded UTF-8 bytes as a WAV file, and their number before padding.
+
+    Null text counts as empty: 64 zero samples. A very long text is one file. Repeated rows stay, each with its file; an empty table
+    gives no rows; other columns are left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([to_wav(padded(x or b"")) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
+        texts = [x or b"" for x in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([to_wav(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
-def features(media: DataFrame) -> DataFrame:
-    """(doc_id, media binary, ...) -> (doc_id, payload binary, times array<int>, bins array<int>, pairs array<long>).
+def features(stored: DataFrame) -> DataFrame:
+    """(media binary, ...) -> all columns of ``stored`` but those of these names, and payload binary, times array<int>, bins array<int>,
+    pairs array<long>.
 
-    The payload is what the wave module reads back. Null media give null in all other columns."""
+    The payload is what the wave module reads back; times and bins are of the spectral peaks, pairs the fingerprint. Null media give null in
+    all four. Equal media have equal features; repeated rows stay, very long ones are taken in chunks, an empty table gives no rows."""
+    made = ["payload", "times", "bins", "pairs"]
+    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -113,28 +120,21 @@ def features(media: DataFrame) -> DataFrame:
             payload = from_wav(x)
             t, f = peaks(payload)
             rows.append((payload, t.astype(np.int32), f.astype(np.int32), pairs(t, f)))
-        kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", "payload", "times", "bins", "pairs"])
+        return pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["row", *made])
 
-    return map_batches(media.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")), run, "doc_id long, payload binary, times array<int>, bins array<int>, pairs array<long>")
+    rest = stored.select(*[c for c in stored.columns if c not in made])
+    rows = rest.select(whole_row(rest), F.col("media").cast("binary").alias("media"))
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("payload binary, times array<int>, bins array<int>, pairs array<long>").fields])
+    return map_batches(rows, run, schema).select("row.*", *made)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores, reads back and reduces each text in one pass, so that media never cross a shuffle."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for x in batch.column(1).to_pylist():
-            text = x or b""
-            media = to_wav(padded(text))
-            payload = from_wav(media)
-            t, f = peaks(payload)
-            code = pairs(t, f)
-            feature = f"{len(t)}:{len(code)}:{hashlib.sha256(code.astype('<i8').tobytes()).hexdigest()}"
-            rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        return pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", *names])
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return map_batches(docs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """All documents stored, read back and reduced, and beside the digests the fingerprint: ``times`` of the peaks and their time-coded ``pairs``.
+    ``feature`` is the number of peaks, that of pairs and a digest of the pairs. Media never cross a shuffle."""
+    found = features(store(table(spark, sf_dir, "documents")))
+    said = F.sha2(F.array_join(F.transform("pairs", lambda x: F.hex(x)), ","), 256)
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("times").cast("string"), F.size("pairs").cast("string"), said).alias("feature"), "times", "pairs",
+    )
