@@ -58,6 +58,7 @@ class MergeReplay:
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
+        self.table = np.array(self.pieces, object)
         self.single = np.array([ranks[bytes([i])] for i in range(256)])
         self.of_bytes = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
         self.pair: dict[int, int] = {}
@@ -156,8 +157,7 @@ class Encoder:
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
-        pieces = self.replay.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(self.replay.table[np.frombuffer(ids, "<u4")].tolist())
 
 
 @lru_cache(2)
@@ -170,8 +170,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     """(doc_id, text, ...) -> (doc_id, ids array<int>, decoded binary), a row per input row; with ``digest`` the
     columns (doc_id, n_tokens, ids_sha256, decoded_sha256) instead.
 
-    Null and empty texts have no ids. Texts are encoded whole; special tokens are ordinary text. Repeated rows stay,
-    a null doc_id stays null, other columns are left out.
+    Null and empty texts have no ids. Texts are encoded whole, however long; special tokens are ordinary text. Repeated rows stay, equal texts have
+    equal ids, a null doc_id stays null, an empty table gives no rows; other columns are left out.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
 
@@ -207,4 +207,5 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of :func:`encode` over documents."""
     return encode(table(spark, sf_dir, "documents"), digest=True)

@@ -32,6 +32,8 @@ MARKERS = {
 }
 #: Bound of the labelled transcripts that the model is fitted on; turn numbers and turns of a chunk; chunks of a transcript that are joined at once.
 TRAIN_TRANSCRIPTS, CHUNK_TURNS, BUNDLE = 1000, 1024, 1024
+#: Longer turns aren't in the training sample.
+SAMPLE_CHARS = 20_000
 _MARKER = re.compile(r"\s*(?:#+\s*|\*\*|<\|?|\[)?\s*([A-Za-z]{1,14})\s*(?:\*\*|\|?>|\])?\s*:\s?(?:\*\*)?|\s*(?:<\|([A-Za-z]{1,14})\|>|\[([A-Za-z]{1,14})\])\s*")
 _ROLE_OF = {w: i + 1 for i, r in enumerate(ROLES) for w in MARKERS[r]}
 STATES = 2 * len(ROLES)  # 2 * role + (0 opens a turn, 1 goes on)
@@ -185,7 +187,7 @@ def fit(conversations: DataFrame, where: Column | None = None, transcripts: int
     """Model from about so many labelled conversations (conv_id, turn, role, text), chosen by hash: their first 64 turns, written out as
     transcripts in the styles of :func:`labelled`. Turns of other roles, or null in any column, are left out."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).dropna()
-    rows = rows.filter(F.col("role").isin(*ROLES) & F.col("turn").between(0, 63))
+    rows = rows.filter(F.col("role").isin(*ROLES) & F.col("turn").between(0, 63) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.filter(where) if where is not None else rows
     number = max(1, rows.agg(F.approx_count_distinct("conv_id")).first()[0])
     picked = rows.filter(F.pmod(F.xxhash64("conv_id"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * transcripts / number)))

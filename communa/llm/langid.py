@@ -24,6 +24,8 @@ from communa.llm.common import release_memory, small_batches, table, whole_row
 
 #: Bound of the labelled sample for each language, number of landmarks over all languages, ridge, steepness of the score.
 PER_LANG, LANDMARKS, RIDGE, STEEP = 300, 128, 1e-2, 6.0
+#: Longer texts aren't in the sample, unless a language has none as short: then those as short as its shortest are. Every text is predicted whole.
+SAMPLE_CHARS = 20_000
 _OWN = 48  # letters with a symbol of their own; others share 15
 _CODES = 64 + 64**2 + 64**3
 _BITS = 19
@@ -130,13 +132,16 @@ def train(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
 
 
 def fit(docs: DataFrame, where: Column | None = None, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Model from the rows of (doc_id, text, lang, ...) with text and lang, of those that ``where`` picks."""
+    """Model from the rows of (doc_id, text, lang, ...) with text and lang, of those that ``where`` picks. The number of languages is taken to be small."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.filter(where) if where is not None else rows
     rows = rows.select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    size = F.length("text")
+    lengths = {r["lang"]: max(SAMPLE_CHARS, r["least"]) for r in rows.groupBy("lang").agg(F.min(size).alias("least")).collect()}
+    if not lengths:
         return train([])
+    rows = rows.filter(size <= F.element_at(F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair]), F.col("lang")))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int((1 << 30) * per_lang / n)))])
     picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(limit, F.col("lang"))).withColumn("t", F.xxhash64("text"))
     picked = picked.dropDuplicates(["lang", "t"]).limit(4 * per_lang * len(counts))  # repeated rows count once, so the sample stays bounded

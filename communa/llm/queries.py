@@ -22,5 +22,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op7_vectors, op8_media, op9_lines, op10_chat)}
 
 
+#: Windows of 400 bytes as hexadecimal digits; of the characters that a cut goes through, what stays of them is taken off each piece.
+_REPEATS = r"""with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+    windows as (select rid, p, md5(substring(x, 2 * p + 1, 800)) as m from (select rid, x, unnest(range(length(x) // 2 - 399)) as p from d where length(x) >= 800) t),
+    hits as (select rid, p, lag(p) over (partition by rid order by p) as before from windows where m in (select m from windows group by m having count(*) > 1)),
+    numbered as (select rid, p, sum(case when before is null or p > before + 400 then 1 else 0 end) over (partition by rid order by p) as g from hits),
+    spans as (select rid, min(p) as a, max(p) + 400 as b from numbered group by rid, g),
+    ends as (select rid, a, lag(b, 1, cast(0 as bigint)) over (partition by rid order by a) as before from spans union all select d.rid, length(x) // 2, coalesce(max(b), 0) from d left join spans on spans.rid = d.rid group by all),
+    pieces as (select rid, a, substring(x, 2 * before + 1, 2 * (a - before)) as piece from ends join d using (rid)),
+    trimmed as (select rid, a, piece, regexp_extract(regexp_replace(piece, '^([89AB].)+', ''), '^([0-7].|[CD].[89AB].|E.([89AB].){2}|F.([89AB].){3})*') as whole from pieces),
+    joined as (select rid, string_agg(piece, '' order by a) as kept, string_agg(whole, '' order by a) as whole from trimmed group by rid),
+    sums as (select rid, sum(b - a) as removed, count(*) as n, string_agg(a || ':' || b, ',' order by a) as said from spans group by rid)
+    select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans,
+        sha256(unhex(kept)) as kept_sha256, decode(unhex(whole)) as text, coalesce(said, '') as spans from d join joined using (rid) left join sums using (rid)"""
+
+_NEIGHBOURS = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null and embedding is not null),
+    sound as (select * from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+    scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) as score from sound q join sound c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+    ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+    select * from ranked where rank <= 20"""
+
+#: Words are lower-cased in A-Z alone; pairs of sets meet under a word of both prefixes and are verified.
+_LINES = r"""with d as (select distinct doc_id, text from documents where text is not null),
+    split as (select doc_id, text, string_split(text, chr(10)) as l from d),
+    lines as (select doc_id, text, unnest(range(len(l))) as i, unnest(l) as line from split),
+    worded as (select *, list_sort(list_distinct(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+'), lambda w: w <> ''))) as words from lines),
+    firsts as (select words, min({'last': doc_id is null, 'doc': doc_id, 'line': i}) as first from worded where len(words) > 0 group by words),
+    sets as (select words, len(words) as n, first, row_number() over (order by first) as id from firsts),
+    tokens as (select id, n, unnest(words) as w from sets),
+    often as (select w, count(*) as k from tokens group by w),
+    placed as (select id, n, w, row_number() over (partition by id order by k, w) as place from tokens join often using (w)),
+    prefix as (select id, n, w from placed where place <= n - (4 * n + 4) // 5 + 1),
+    pairs as (select distinct x.id as x, y.id as y from prefix x join prefix y on x.w = y.w and y.id < x.id and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+    gone as (select distinct x from pairs join sets a on a.id = x join sets b on b.id = y where 9 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n)),
+    judged as (select doc_id, text, i, line, len(worded.words) = 0 or (first = {'last': doc_id is null, 'doc': doc_id, 'line': i} and id not in (select x from gone)) as stays from worded left join sets on sets.words = worded.words),
+    kept as (select doc_id, text, count(*) as n_lines, count(*) filter (not stays) as n_removed, coalesce(string_agg(line, chr(10) order by i) filter (stays), '') as kept from judged group by 1, 2)
+    select documents.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(kept) as kept_sha256
+    from documents left join kept on documents.doc_id is not distinct from kept.doc_id and documents.text = kept.text"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; models, tokenizers, spectra and packings are held against brute force in tests."""
+    return {"op2_repeats": _REPEATS, "op7_vectors": _NEIGHBOURS, "op9_lines": _LINES}

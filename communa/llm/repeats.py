@@ -321,8 +321,8 @@ def marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: in
     return lists
 
 
-def kept(text: bytes, ranges: list[dict], length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """(what is left of a text, its maximal removed runs as (start, end))."""
+def kept(text: bytes, ranges: list[dict], length: int) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """(what is left of a text, in pieces, its maximal removed runs as (start, end))."""
     order = sorted((r["first"], r["last"] + length) for r in ranges)
     a, b = np.array([x[0] for x in order]), np.maximum.accumulate(np.array([x[1] for x in order]))
     head = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
@@ -333,12 +333,12 @@ def kept(text: bytes, ranges: list[dict], length: int) -> tuple[bytes, list[tupl
         left.append(text[at:i])
         at = j
     left.append(text[at:])
-    return b"".join(left), cut
+    return left, cut
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, kept binary, n_bytes, n_removed, n_spans, text string, spans array<(start, end)>), a row per input row; spans are
-    the maximal removed runs, in bytes of the old text, end exclusive. text is what is left; where a cut goes through a character, U+FFFD stands for the bytes of it that stay.
+    the maximal removed runs, in bytes of the old text, end exclusive. text is what is left, without the characters that a cut goes through.
 
     Every byte goes that a string of ``length`` bytes covers which also starts elsewhere, in the same text or another.
     Null text counts as empty; texts shorter than ``length`` stay whole; very long ones are cut into overlapping pieces for the
@@ -352,11 +352,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(x, *(kept(x, r, length) if r else (x, []))) for x, r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        out = [(x, *(kept(x, r, length) if r else ([x], []))) for x, r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
         numbers = ([len(x) for x, _, _ in out], [sum(b - a for a, b in cut) for _, _, cut in out], [len(cut) for _, _, cut in out])
         spans = pa.array([[{"start": a, "end": b} for a, b in cut] for _, _, cut in out], span)
-        left = pa.array([x for _, x, _ in out], pa.binary())
-        text = pa.array([x.decode("utf-8", "replace") for _, x, _ in out], pa.string())
+        left = pa.array([b"".join(x) for _, x, _ in out], pa.binary())
+        text = pa.array(["".join([p.decode("utf-8", "ignore") for p in x]) for _, x, _ in out], pa.string())
         return pa.record_batch([batch.column(0), left, *(pa.array(n, pa.int64()) for n in numbers), text, spans], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "text", "spans"])
 
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, text string, spans array<struct<start:long,end:long>>"
@@ -364,6 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of :func:`remove_repeats` over documents, and beside it ``text``, what is left, and the removed ``spans``."""
+    """The digest of :func:`remove_repeats` over documents, and beside it ``text``, what is left, and the removed ``spans`` as start:end, comma-joined."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text", "spans")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text", spans.alias("spans"))
