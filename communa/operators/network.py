@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from communa.errors import InternalNetworkIndexingError
 from communa.operators.ordering import number_rows
+from communa.storage import materialize
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
@@ -87,6 +88,13 @@ class Network:
             return self.nodes.sparkSession.range(1).select(F.lit(float(self._self_links or 0.0)).alias(name))
         return self.loops.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias(name))
 
+    def kept(self) -> Network:
+        """Nodes, adjacency and loops as written tables, for the many passes of an optimisation: a lost executor costs none of them."""
+        self.adj = materialize(self.adj)
+        self.nodes = materialize(self.nodes)
+        self.loops = None if self.loops is None else materialize(self.loops)
+        return self
+
     def cache(self) -> Network:
         """Keep nodes and adjacency for the many passes of an optimisation."""
         self.nodes, self.adj = self.nodes.cache(), self.adj.cache()

@@ -7,10 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from communa.errors import ClusterIndexingError
+from communa.errors import ClusterIndexingError, InvalidCommunityMappingError
 from communa.operators.ordering import number_rows
 
 SCHEMA = "node long, cluster long"
+#: Nodes that :meth:`Clustering.members` and :meth:`Clustering.as_map` put into one row at most.
+ROW_NODES = 50_000_000
+
+
+def first_missing(nodes: DataFrame, rows: DataFrame) -> int | None:
+    """A node of nodes(id) that rows(node, cluster) leave out."""
+    found = nodes.select("id").join(rows.select(F.col("node").alias("id")), "id", "left_anti").first()
+    return None if found is None else found["id"]
 
 
 @dataclass
@@ -63,7 +71,9 @@ class Clustering:
         return ids.join(counts, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
     def members(self) -> DataFrame:
-        """(cluster, members) with members in rising order, for clusters that fit a row."""
+        """(cluster, members) with members in rising order, a row for each cluster; one of more than ROW_NODES nodes raises."""
+        if large := self.rows.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > ROW_NODES).first():
+            raise ValueError(f"cluster {large['cluster']} has {large['n']} nodes, more than a row takes")
         return self.rows.groupBy("cluster").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
     def compacted(self) -> Clustering:
@@ -72,7 +82,9 @@ class Clustering:
         return Clustering(self.rows.join(used, "cluster").select("node", F.col("_new").alias("cluster")))
 
     def composed(self, other: Clustering) -> Clustering:
-        """Each node in the cluster that its cluster has in ``other``."""
+        """Each node in the cluster that its cluster has in ``other``; a cluster that ``other`` doesn't have raises."""
+        if (cluster := first_missing(self.rows.select(F.col("cluster").alias("id")).distinct(), other.rows)) is not None:
+            raise ClusterIndexingError(f"cluster {cluster} is not in the outer partition")
         outer = other.rows.select(F.col("node").alias("cluster"), F.col("cluster").alias("_outer"))
         return Clustering(self.rows.join(outer, "cluster").select("node", F.col("_outer").alias("cluster")), other.next_id)
 
@@ -83,7 +95,9 @@ class Clustering:
         return Clustering(pairs.join(numbers, ["cluster", "part"]).select("node", F.col("_new").alias("cluster")))
 
     def as_map(self) -> DataFrame:
-        """One row with a map from node to cluster, for partitions that fit a row."""
+        """One row with a map from node to cluster; a partition of more than ROW_NODES nodes raises."""
+        if (n := self.rows.count()) > ROW_NODES:
+            raise ValueError(f"the partition has {n} nodes, more than a row takes")
         return self.rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "cluster")))).alias("clusters"))
 
     def ordered(self) -> DataFrame:
@@ -109,7 +123,13 @@ def sanity_split(adj: DataFrame, clustering: Clustering) -> Clustering:
 
 def starting_communities(nodes: DataFrame, communities: DataFrame) -> Clustering:
     """nodes(id, label) and communities(node label, cluster) -> partition: nodes without a community are alone, labels that the network
-    doesn't have are ignored, and clusters are renumbered from 0 in their order."""
+    doesn't have are ignored, and clusters are renumbered from 0 in their order. Rows that repeat count once; a label in two clusters, a
+    null cluster and one below 0 raise InvalidCommunityMappingError."""
+    number = F.col("cluster").cast("long")
+    once = communities.groupBy("node").agg(F.min(number).alias("cluster"), F.max(number).alias("most"), F.count(F.when(number.isNull(), 1)).alias("nulls"))
+    if wrong := once.filter("cluster <> most or cluster < 0 or nulls > 0").first():
+        raise InvalidCommunityMappingError(f"{wrong['node']!r} is in cluster {wrong['cluster']}, and in {wrong['most']}" if wrong["cluster"] != wrong["most"] else f"{wrong['node']!r} is in cluster {wrong['cluster']}")
+    communities = once
     given = communities.select(F.col("node").alias("label"), F.col("cluster").cast("long").alias("_given"))
     top = communities.agg(F.coalesce(F.max("cluster") + 1, F.lit(0)).cast("long").alias("_top"))
     rows = nodes.select("id", "label").join(given, "label", "left").crossJoin(F.broadcast(top))  # of one row

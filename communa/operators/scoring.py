@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from communa.errors import ClusterIndexingError
 from communa.operators.network import Network
-from communa.operators.partition import Clustering
+from communa.operators.partition import Clustering, first_missing
 from communa.operators.transforms import clustered_edges
 
 DEFAULT_RESOLUTION = 1.0
@@ -29,9 +30,12 @@ def adjusted_resolution(network: Network, resolution: float | None = None) -> fl
 
 
 def quality_rows(network: Network, clustering: Clustering, resolution: float | None = None) -> DataFrame:
-    """One row (quality): directed weight inside clusters less resolution times squared cluster weights, over 2m + s."""
+    """One row (quality): directed weight inside clusters less resolution times squared cluster weights, over 2m + s. A node without a cluster makes
+    the row an error when it is read."""
     inside = clustered_edges(network.adj, clustering.rows).agg(F.coalesce(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("weight"))), F.lit(0.0)).alias("inside"))
-    weights = network.nodes.join(clustering.rows, F.col("id") == F.col("node")).groupBy("cluster").agg(F.sum("weight").alias("w")).agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)).alias("squares"))
+    held = network.nodes.join(clustering.rows, F.col("id") == F.col("node"), "left").groupBy("cluster").agg(F.sum("weight").alias("w"))
+    squares = F.sum(F.when(F.col("cluster").isNull(), F.raise_error(F.lit("a node is not in the partition")).cast("double")).otherwise(F.col("w") * F.col("w")))
+    weights = held.agg(F.coalesce(squares, F.lit(0.0)).alias("squares"))
     gamma = adjusted_resolution_rows(network, resolution)
     whole = network.summary().select((2 * F.col("total_edge_weight") + F.col("total_self_links_edge_weight")).alias("whole"))
     one = inside.crossJoin(weights).crossJoin(gamma).crossJoin(whole)  # of one row each
@@ -39,4 +43,7 @@ def quality_rows(network: Network, clustering: Clustering, resolution: float | N
 
 
 def quality(network: Network, clustering: Clustering, resolution: float | None = None) -> float:
+    """The number; a node without a cluster raises ClusterIndexingError."""
+    if (node := first_missing(network.nodes, clustering.rows)) is not None:
+        raise ClusterIndexingError(f"node {node} is not in the partition")
     return quality_rows(network, clustering, resolution).first()[0]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from communa.errors import UnsafeInducementError
 from communa.operators.network import Network
-from communa.operators.partition import Clustering
+from communa.operators.partition import Clustering, first_missing
 
 
 def clustered_edges(adj: DataFrame, rows: DataFrame) -> DataFrame:
@@ -32,8 +33,10 @@ def subnetwork_nodes(edges: DataFrame, use_modularity: bool = True) -> DataFrame
 
 def induced_network(network: Network, clustering: Clustering) -> Network:
     """Clusters as nodes, weighted by their nodes; edges summed between them; self-links grow by the directed weight inside clusters.
-    Ids below next_cluster_id without nodes stay, with weight 0."""
+    Ids below next_cluster_id without nodes stay, with weight 0. A partition that leaves nodes out raises UnsafeInducementError."""
     rows = clustering.rows
+    if (node := first_missing(network.nodes, rows)) is not None:
+        raise UnsafeInducementError(f"node {node} is not in the partition")
     sums = clustered_edges(network.adj, rows).groupBy(F.col("c1").alias("src"), F.col("c2").alias("dst")).agg(F.sum("weight").alias("weight"))
     held = network.nodes.join(rows, network.nodes["id"] == rows["node"]).groupBy("cluster").agg(F.sum("weight").alias("weight"))
     ids = rows.sparkSession.range(clustering.next_cluster_id())

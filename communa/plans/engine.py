@@ -15,7 +15,7 @@ from communa.operators.network import Network
 from communa.operators.partition import Clustering, contiguous, sanity_split
 from communa.operators.scoring import adjusted_resolution
 from communa.plans import kernel
-from communa.plans.supersteps import shrunk
+from communa.plans.supersteps import polished, shrunk
 from communa.storage import materialize
 
 #: Adjacency rows of one task's graph: larger components are shrunk first, smaller ones share a task up to BIN_ROWS.
@@ -72,24 +72,46 @@ def binned(nodes: DataFrame, adj: DataFrame, rows: DataFrame, bin_rows: int) ->
     """nodes and adj with grp and bin: components of edges and shared clusters never influence each other, so each stays whole. A graph
     within bin_rows is one group."""
     held = nodes.join(rows, F.col("id") == F.col("node")).select("id", "weight", "cluster")
-    if adj.count() <= bin_rows:
+    count = adj.count()
+    if count <= bin_rows:
         return held.withColumn("grp", F.lit(0).cast("long")).withColumn("bin", F.lit(0).cast("long")), adj.withColumn("grp", F.lit(0).cast("long")).withColumn("bin", F.lit(0).cast("long"))
-    hubs = rows.groupBy("cluster").agg(F.min("node").alias("dst"))
-    links = adj.select("src", "dst").union(rows.join(hubs, "cluster").select(F.col("node").alias("src"), "dst"))
-    parts = materialize(connected_components(nodes.select("id"), links))
+    parts = bound_parts(nodes, adj, rows)
     sizes = adj.join(parts, F.col("src") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"))
-    bins = F.greatest(F.lit(1), F.ceil(F.sum("n").over(_whole()) / bin_rows))
+    bins = max(1, -(-count // bin_rows))
     alone = F.col("n") * 2 > bin_rows
-    dealt = parts.select("component").distinct().join(sizes, "component", "left").na.fill(0, ["n"]).withColumn("bins", bins)
-    dealt = dealt.select("component", F.when(alone, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.col("bins"))).cast("long").alias("bin"))
+    dealt = parts.select("component").distinct().join(sizes, "component", "left").na.fill(0, ["n"])
+    dealt = dealt.select("component", F.when(alone, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(bins))).cast("long").alias("bin"))
     placed = parts.join(dealt, "component").select("id", F.col("component").alias("grp"), "bin")
     return held.join(placed, "id"), adj.join(placed.withColumnRenamed("id", "src"), "src")
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+def bound_parts(nodes: DataFrame, adj: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, component), written: components of edges and shared clusters, between which no move can go."""
+    hubs = rows.groupBy("cluster").agg(F.min("node").alias("dst"))
+    links = adj.select("src", "dst").union(rows.join(hubs, "cluster").select(F.col("node").alias("src"), "dst"))
+    return materialize(connected_components(nodes.select("id"), links))
+
+
+def fitted(network: Network, rows: DataFrame, gamma: float, seed: int, kernel_rows: int) -> tuple[Network, DataFrame, DataFrame | None]:
+    """(network, rows, (node, part) or None): components of more than kernel_rows adjacency rows are shrunk by supersteps from the clusters in rows;
+    all others stay as they are. Parts are numbered on from the nodes."""
+    if network.adj.count() <= kernel_rows:
+        return network, rows, None
+    parts = bound_parts(network.nodes, network.adj, rows)
+    sizes = network.adj.join(parts, F.col("src") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"))
+    large = materialize(parts.join(sizes.filter(F.col("n") > kernel_rows), "component", "left_semi").select("id"))
+    if not large.limit(1).count():
+        return network, rows, None
+    ends, named = large.withColumnRenamed("id", "src"), large.withColumnRenamed("id", "node")
+    big = Network(materialize(network.nodes.join(large, "id", "left_semi").select("id", "label", "weight")), materialize(network.adj.join(ends, "src", "left_semi").select("src", "dst", "weight")), None, network.use_modularity)
+    small, maps = shrunk(big, gamma, seed, kernel_rows, materialize(rows.join(named, "node", "left_semi").select("node", "cluster")))
+    shift = network.nodes.agg(F.max("id") + 1).first()[0]
+    rest = network.nodes.join(large, "id", "left_anti").select("id", "label", "weight")
+    nodes = rest.union(small.nodes.select((F.col("id") + shift).alias("id"), F.col("id").cast("string"), "weight"))
+    adj = network.adj.join(ends, "src", "left_anti").select("src", "dst", "weight").union(small.adj.select(F.col("src") + shift, F.col("dst") + shift, "weight"))
+    left = rows.join(named, "node", "left_anti").select("node", "cluster").union(small.nodes.select(F.col("id") + shift, -1 - F.col("id")))
+    whole = rest.select(F.col("id").alias("node"), F.col("id").alias("part")).union(maps.select("node", F.col("part") + shift))
+    return Network(materialize(nodes), materialize(adj), None, network.use_modularity, 0.0), materialize(left), materialize(whole)
 
 
 def trial_scores(network: Network, rows: DataFrame, gamma: float) -> DataFrame:
@@ -109,18 +131,13 @@ def leiden_clustering(
     """(whether anything moved, partition of best quality over the trials), its clusters numbered from 0 by their least node.
 
     Without a partition to start from, every node is alone. The same network, parameters and seed give the same result, however it is
-    partitioned. A network of more than ``kernel_rows`` adjacency rows and no start is shrunk by supersteps first."""
+    partitioned. Components of more than ``kernel_rows`` adjacency rows are shrunk by supersteps first, from single nodes or the clusters to start
+    from, and what comes of it is moved on at the nodes themselves."""
     gamma = checked(network, resolution, randomness, trials)
     seed = random.SystemRandom().getrandbits(31) if seed is None else seed
-    maps, level = None, network
-    if clustering is None:
-        rows = Clustering.self_clusters(network.nodes)
-        if network.adj.count() > kernel_rows:
-            level, maps = shrunk(network, gamma, seed, kernel_rows)
-            rows = Clustering.self_clusters(level.nodes)
-    else:
-        rows = Clustering(materialize(sanity_split(network.adj, clustering).rows))
-    nodes, adj = binned(level.nodes, level.adj, rows.rows, bin_rows)
+    start = Clustering.self_clusters(network.nodes).rows if clustering is None else materialize(sanity_split(network.adj, clustering).rows)
+    level, rows, maps = fitted(network, start, gamma, seed, kernel_rows)
+    nodes, adj = binned(level.nodes, level.adj, rows, bin_rows)
     found = materialize(solve(nodes, adj, gamma, randomness, iterations, network.use_modularity, seed, trials))
     improved = maps is not None or bool(found.agg(F.max("moved")).first()[0])
     if trials > 1:
@@ -128,5 +145,5 @@ def leiden_clustering(
         found = found.filter(F.col("trial") == best)
     rows = found.select("node", "cluster")
     if maps is not None:
-        rows = maps.join(rows.select(F.col("node").alias("part"), "cluster"), "part").select("node", "cluster")
+        rows = polished(network, materialize(maps.join(rows.select(F.col("node").alias("part"), "cluster"), "part").select("node", "cluster")), gamma, seed)
     return improved, Clustering(materialize(contiguous(rows)))
