@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communa import api
+from communa import api, cli
 from communa.functions.gains import approximate_exponent, quality_increment, quality_increment_paper, seeded_uniform
 from communa.graphs import graph, prelude
 from communa.operators import moves, network as networks, partition as partitions, scoring, transforms
 from communa.operators.components import connected_components as components_of
 from communa.operators.network import Network
+from communa.operators.ordering import number_rows
 from communa.operators.partition import Clustering
 from communa.plans.engine import leiden_clustering
 from communa.plans.hierarchy import final_flags, hierarchical_clustering
 from communa.sources import edges as sources
-from communa.storage import shared_dir
+from communa.storage import materialize, remove, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +37,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/communa-{uuid.uuid4().hex}"
+
+
 def net(spark: SparkSession, sf_dir: str, name: str, use_modularity: bool = True) -> Network:
     return Network.from_edges(graph(spark, sf_dir, name), use_modularity)
 
@@ -64,16 +71,23 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'c' || cast(o_custkey as varchar) as src, 's' || cast(l_suppkey as varchar) as dst, cast(count(*) as double) as weight from lineitem join orders on l_orderkey = o_orderkey group by 1, 2")
 def edge_file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge list written as delimited text and read back."""
-    path = f"{shared_dir(spark)}/communa-edges-{abs(hash(sf_dir))}"
+    path = scratch(spark)
     rows = graph(spark, sf_dir, "cust_supp").orderBy("ord").select(F.concat_ws("|", "src", F.lit("x"), "dst", F.col("weight").cast("string")).alias("line"))
-    rows.write.mode("overwrite").text(path)
-    return sources.read_edge_file(spark, path, "|", 0, 2, 3).select("src", "dst", "weight")
+    rows.write.text(path)
+    found = materialize(sources.read_edge_file(spark, path, "|", 0, 2, 3).select("src", "dst", "weight"))
+    remove(spark, path)
+    return found
 
 
 @query(CSC + " select label || ',' || cast(cluster as varchar) as line, id from c join nodes on id = node")
 def partition_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "cust_supp")
-    return sources.partition_lines(n.nodes, by_digit(n).rows)
+    """Files of lines in order of node id, read back with their places."""
+    n, path = net(spark, sf_dir, "cust_supp"), scratch(spark)
+    sources.write_partition(n.nodes, by_digit(n).rows, path, single=True)
+    found = number_rows(spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("place")), "place").select("line", "id")
+    found = materialize(found)
+    remove(spark, path)
+    return found
 
 
 @query(CSC + " select label as node, cluster from c join nodes on id = node")
@@ -399,22 +413,28 @@ def well_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _GAINS + """, w as (select node, cluster, pow(1 + gain / 25.6, 256) as w, (node * 37 % 101) / 101.0 as u from gains where gain >= 0 and gain < 12),
+    _GAINS + """, w as (select node, cluster, pow(1 + gain / 25.6, 256) as w, (node * 37 % 101) / 101.0 as u from gains where gain >= 0),
     sums as (select *, sum(w) over (partition by node order by cluster rows between unbounded preceding and current row) as upto, sum(w) over (partition by node) as total from w)
-    select node, min(cluster) filter (where upto >= u * total) as cluster from sums group by 1"""
+    select node, case when max(total) < 'infinity' then min(cluster) filter (where upto >= u * total) else arg_max(cluster, gain) end as cluster from (select sums.*, gain from sums join gains using (node, cluster)) t group by 1"""
 )
 def softmax_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = net(spark, sf_dir, "cust_supp")
-    gains = moves.move_gains(n.nodes, n.adj, by_digit(n).rows, GAMMA).filter("gain < 12").withColumn("u", (F.col("node") * 37 % 101) / 101.0)
+    gains = moves.move_gains(n.nodes, n.adj, by_digit(n).rows, GAMMA).withColumn("u", (F.col("node") * 37 % 101) / 101.0)
     return moves.softmax_choices(gains.select("node", "cluster", "gain", "u"), 0.1, "u")
 
 
-@query(CS + " select count(*) as n, count(distinct id) as ids, true as in_range from nodes")
+@query(CS + " select count(*) as n, count(distinct id) as ids, true as in_range, true as in_order, true as mixed from nodes")
 def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes in an order that a seed sets: a permutation, its draws in [0, 1)."""
     drawn = net(spark, sf_dir, "cust_supp").nodes.withColumn("u", seeded_uniform(7, "id"))
     order = networks.number_rows(drawn, "u", "id", name="position")
-    return order.agg(F.count("*").alias("n"), F.countDistinct("position").alias("ids"), (F.min("u") >= 0).__and__(F.max("u") < 1).alias("in_range"))
+    following = order.select((F.col("position") - 1).alias("position"), F.col("u").alias("after"))
+    both = order.join(following, "position", "left")
+    moved = F.sum((F.col("position") != F.col("id")).cast("long")) > 0.9 * F.count("*")
+    return both.agg(
+        F.count("*").alias("n"), F.countDistinct("position").alias("ids"), (F.min("u") >= 0).__and__(F.max("u") < 1).alias("in_range"),
+        (F.count(F.when(F.col("after") < F.col("u"), 1)) == 0).alias("in_order"), moved.alias("mixed"),
+    )
 
 
 @query(prelude("geo_tree") + """, region as (select 'n' || cast(n_nationkey as varchar) as label, n_regionkey as r from nation union all select 'c' || cast(c_custkey as varchar), n_regionkey from customer join nation on c_nationkey = n_nationkey
@@ -489,11 +509,10 @@ def leiden_from_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.lit(n.nodes.count()).cast("long").alias("n_nodes"), F.lit(covered).__eq__(F.lit(n.nodes.count())).alias("all_covered"), (F.col("quality") >= F.col("before") - 1e-12).alias("start_kept_or_better"))
 
 
-_PAIRS = "with n as (select c_custkey as k from customer where c_custkey < (select floor(count(*) / 8) * 8 from customer))"
-
-
-@query(_PAIRS + """ select 'c' || cast(k as varchar) as node, 0 as level, 'c' || cast(k // 8 * 8 as varchar) as community, false as is_final from n
-    union all select 'c' || cast(k as varchar), 1, 'c' || cast(k // 4 * 4 as varchar), true from n""")
+# the last pair of cliques may lack some of its eight: then it splits only if it has six or more
+@query("""with n as (select c_custkey as k, count(*) over (partition by c_custkey // 8) as size from customer)
+    select 'c' || cast(k as varchar) as node, 0 as level, 'c' || cast(k // 8 * 8 as varchar) as community, size < 6 as is_final from n
+    union all select 'c' || cast(k as varchar), 1, 'c' || cast(k // 4 * 4 as varchar), true from n where size >= 6""")
 def hierarchical_clique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities are named by the member of least key."""
     rows = api.hierarchical_leiden(graph(spark, sf_dir, "clique_pairs"), max_cluster_size=6, seed=4, iterations=2)
@@ -524,3 +543,109 @@ def hierarchy_final_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = by_digit(net(spark, sf_dir, "cust_supp")).rows
     top = c.select("node", "cluster", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent_cluster"))
     return final_flags(top.union(c.filter("cluster % 4 = 0").select("node", (100 + F.col("cluster") * 3 + F.col("node") % 3).alias("cluster"), F.lit(1), "cluster")))
+
+
+# what has no rows of its own in the queries above
+
+
+@query("select n_name as src, r_name as dst, cast(n_nationkey as double) as weight, cast(n_nationkey as bigint) as ord from nation join region on n_regionkey = r_regionkey")
+def in_memory_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples of 25 nations as an edge list."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").select("n_name", "r_name", "n_nationkey").collect()
+    return sources.edges_from_rows(spark, [tuple(r) for r in rows])
+
+
+@query(prelude("cliques") + ", m as (select count(*) as e from und where s <> d) select count(*) as num_nodes, min(e) as num_edges, true as improved, 0.8 as quality from nodes, m")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports: five cliques of equal size score 1 - 1/5."""
+    n = net(spark, sf_dir, "cliques").kept()
+    improved, found = leiden_clustering(n, seed=1, iterations=2)
+    totals = n.summary().crossJoin(scoring.quality_rows(n, found))  # of one row each
+    return totals.select("num_nodes", "num_edges", F.lit(improved).alias("improved"), F.round("quality", 9).alias("quality"))
+
+
+@query(CS + ", asked as (select unnest(range(0, (select count(*) + 5 from nodes))) as id) select asked.id, label, label is not null as inside from asked left join nodes on nodes.id = asked.id")
+def bounds_checked_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all ids and of five beyond the last, which are misses."""
+    n = net(spark, sf_dir, "cust_supp")
+    found = n.labels_for(spark.range(n.nodes.count() + 5))
+    return found.select("id", "label", F.col("label").isNotNull().alias("inside"))
+
+
+@query("select cast(0 as bigint) as num_nodes, cast(0 as bigint) as next_cluster_id, cast(0 as bigint) as num_clusters")
+def empty_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Clustering.empty(spark)
+    return c.rows.agg(F.count("*").alias("num_nodes"), F.lit(c.next_cluster_id()).cast("long").alias("next_cluster_id"), F.lit(c.sizes().count()).cast("long").alias("num_clusters"))
+
+
+@query(CSC + " select node, cluster, cast(40 as bigint) as next_cluster_id from c")
+def defined_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and a next id that are taken as they are."""
+    c = Clustering.defined(by_digit(net(spark, sf_dir, "cust_supp")).rows, 40)
+    return c.rows.withColumn("next_cluster_id", F.lit(c.next_cluster_id()).cast("long"))
+
+
+@query(CSC + " select count(*) as num_nodes, cast(0 as bigint) as next_cluster_id from c")
+def next_id_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = by_digit(net(spark, sf_dir, "cust_supp")).reset_next_cluster_id()
+    return c.rows.agg(F.count("*").alias("num_nodes"), F.lit(c.next_cluster_id()).cast("long").alias("next_cluster_id"))
+
+
+@query(CSC + " select cluster from (select unnest(range(0, (select max(cluster) + 1 from c))) as cluster) t where cluster not in (select cluster from c)")
+def free_cluster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers below the next id that no node is in."""
+    return by_digit(net(spark, sf_dir, "cust_supp")).sizes().filter("n = 0").select("cluster")
+
+
+@query(CSC + """, inner_ as (select c1.cluster, src as id, sum(weight) as weight from adj join c c1 on c1.node = src join c c2 on c2.node = dst where c1.cluster = c2.cluster group by 1, 2)
+    select cluster, id, id as part, weight, sum(weight) over (partition by cluster) as total from inner_""")
+def subnetwork_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where refinement starts: each node with edges inside its cluster is a part alone, beside its weight and its cluster's."""
+    n = net(spark, sf_dir, "cust_supp")
+    nodes = transforms.subnetwork_nodes(transforms.subnetworks(n.adj, by_digit(n)))
+    totals = nodes.groupBy("cluster").agg(F.sum("weight").alias("total"))
+    return nodes.join(totals, "cluster").select("cluster", "id", F.col("id").alias("part"), "weight", "total")
+
+
+@query("select n_name as node, cast(0 as bigint) as level, true as at_top, true as is_final, count(*) over (partition by n_regionkey) as members from nation")
+def hierarchical_cluster_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of a hierarchy of 25 nodes, by their fields."""
+    found = api.clusters_of(api.hierarchical_leiden(graph(spark, sf_dir, "cliques"), max_cluster_size=6, seed=1, iterations=2))
+    size = {c: sum(x.cluster == c for x in found) for c in {x.cluster for x in found}}
+    rows = [(x.node, x.level, x.parent_cluster is None, x.is_final_cluster, size[x.cluster]) for x in found]
+    return spark.createDataFrame(rows, "node string, level long, at_top boolean, is_final boolean, members long")
+
+
+@query("""select * from (values ('ClusterIndexingError', 'RuntimeError'), ('EmptyNetworkError', 'ValueError'), ('InvalidCommunityMappingError', 'ValueError'), ('InternalNetworkIndexingError', 'RuntimeError'),
+    ('ParameterRangeError', 'ValueError')) t(raised, base)""")
+def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What wrong calls raise."""
+    edges, none = graph(spark, sf_dir, "cliques"), spark.createDataFrame([], "src string, dst string, weight double, ord long")
+    n = net(spark, sf_dir, "cliques")
+    calls = [
+        lambda: by_digit(n).cluster_at(-1), lambda: api.leiden(none), lambda: api.modularity(edges, {"FRANCE": -1}), lambda: n.node_weight(-1), lambda: api.leiden(edges, randomness=0.0),
+    ]
+    rows = []
+    for call in calls:
+        try:
+            call()
+        except (RuntimeError, ValueError) as e:
+            rows.append((type(e).__name__, "RuntimeError" if isinstance(e, RuntimeError) else "ValueError"))
+    return spark.createDataFrame(rows, "raised string, base string")
+
+
+@query("select n_name as node, min(n_name) over (partition by n_regionkey) as community from nation")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge file through the command line, to the files that it writes."""
+    source, target = scratch(spark), scratch(spark)
+    edges = graph(spark, sf_dir, "cliques").orderBy("ord")
+    edges.select(F.concat_ws("|", "src", "dst", F.col("weight").cast("string"))).coalesce(1).write.text(source)
+    code = cli.main([source, target, "-s", "|", "--weight-index", "2", "--seed", "1", "-i", "2"], spark)
+    if code:
+        raise RuntimeError(f"the command line returned {code}")
+    parts = F.split("value", ",")
+    found = materialize(spark.read.text(target).select(parts[0].alias("node"), parts[1].cast("long").alias("cluster")))
+    remove(spark, source)
+    remove(spark, target)
+    return canonical(found)
