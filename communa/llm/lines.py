@@ -289,8 +289,8 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
     """(key, base, place, prev, asked, held) -> written (x, y, more): pairs that pass the filters under a key; x is asked for, y held,
     and y comes before x by (doc, line, parities).
 
-    With ``leaders``, each x has its first so many y, and ``more`` if others follow; else all of them. A pair that also shares the shingle
-    before is told under that one, where it passes the same filters, if not as the sign of more."""
+    With ``leaders``, each x has its first so many y, and if others follow the next with the key as ``more``, null elsewhere; else all of them. A
+    pair that also shares the shingle before is told under that one, where it passes the same filters, if not as the sign of more."""
     p, q = threshold.numerator, threshold.denominator
 
     def pairs(key: np.ndarray, code: np.ndarray, prev: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         base = base[own].astype(np.int64)
         order = np.lexsort((base[:, 4], base[:, 3], base[:, 2] >> 32, base[:, 1], group))
         sid, n, even, odd = base[order, 0], base[order, 2] & 0xFFFFFFFF, base[order, 3].view(np.uint64), base[order, 4].view(np.uint64)
-        code, prev = code[own[order]], prev[own[order]]
+        key, code, prev = (c[own[order]] for c in (key, code, prev))
         size = size[size > 1]
         start = np.repeat(np.cumsum(size) - size, size)
         place, held, asked = code >> 2, code & 2 > 0, code & 1 > 0
@@ -320,7 +320,7 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
                 more = found[i[hit]] > most
                 told = more | (prev[i[hit]] == 0) | (prev[i[hit]] != prev[j[hit]])
                 hit, more = hit[told], more[told]
-                yield pa.record_batch([pa.array(sid[i[hit]]), pa.array(sid[j[hit]]), pa.array(more)], ["x", "y", "more"])
+                yield pa.record_batch([pa.array(sid[i[hit]]), pa.array(sid[j[hit]]), pa.array(key[i[hit]], mask=~more)], ["x", "y", "more"])
             k += 1
             i = i[(start[i] + k < i) & (found[i] <= most)]
 
@@ -343,12 +343,13 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
     code = F.shiftleft(F.col("place").cast("long"), 2).bitwiseOR(F.shiftleft(F.col("held").cast("long"), 1)).bitwiseOR(F.col("asked").cast("long"))
     dealt = rows.select("key", code.alias("code"), "prev", "base").repartition("key").sortWithinPartitions("key")
     with batch_rows(rows.sparkSession, 65536):
-        return materialize(dealt.mapInArrow(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more")))
+        return materialize(dealt.mapInArrow(run, "x long, y long, more long").distinct())
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
     """(sid): those x of written pairs (x, y) that verify. Whole sets are made, by another look at the texts, for the sets in pairs alone."""
     p, q = threshold.numerator, threshold.denominator
+    pairs = pairs.select("x", "y").distinct()
     wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
     places = sets.select("sid", F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"), F.col("first.line").alias("line")).join(wanted, "sid")
     lists = materialize(places.groupBy(*KEY).agg(F.collect_list(F.struct("line", "sid")).alias("lines")))
@@ -423,22 +424,25 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     both = _own_part(rows).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
     pairs = _candidates(both, threshold, LEADERS)
     gone = _verified(docs, pairs, sets, threshold, shingle)
-    # sets that stand although a pair that was not looked at may remove them
-    open_ = pairs.filter("more").select(F.col("x").alias("sid"))
+    # sets that stand although a pair that was not looked at, under the key that told of more, may remove them
+    open_ = pairs.filter("more is not null").select(F.col("x").alias("sid"), F.col("more").alias("key")).distinct()
     if split:
-        open_ = open_.union(rows.filter("parts > 1").select("sid"))
-    open_ = materialize(open_.distinct().join(gone, "sid", "left_anti"))
-    if split:
-        more, open_ = _settled(docs, sets, keys, open_, crowd, threshold, shingle)
+        apart = materialize(rows.filter("parts > 1").select("sid").distinct().join(gone, "sid", "left_anti"))
+        more, apart = _settled(docs, sets, keys, apart, crowd, threshold, shingle)
         gone = gone.union(more)
-    if open_.limit(1).count():
-        met = materialize(keys.rows(_small(open_, sets.join, "sid")).select("key").distinct())
-        near = _small(met, rows.join, "key").join(open_.withColumn("asked", F.lit(True)), "sid", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        one = near.filter("parts = 1").withColumn("held", F.lit(True)).select(*_ROW, "asked", "held")
-        held = _own_part(near.filter("parts > 1")).select(*_ROW, F.lit(False).alias("asked"), F.lit(True).alias("held"))
-        asked = near.filter("parts > 1 and asked").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        asked = asked.withColumn("key", _part(F.col("part"))).select(*_ROW, "asked", F.lit(False).alias("held"))
-        last = _candidates(one.union(held).union(asked) if split else one, threshold, None)
+    open_ = materialize(open_.join(gone, "sid", "left_anti"))
+    met = materialize(open_.select("key").distinct())
+    asked = open_.withColumn("asked", F.lit(True))
+    near = _small(met, rows.filter("parts = 1").join, "key").join(asked, ["sid", "key"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    near = near.withColumn("held", F.lit(True)).select(*_ROW, "asked", "held")
+    if split:
+        wanted = keys.rows(_small(apart, sets.join, "sid")).filter("parts > 1")
+        crowded = _small(materialize(wanted.select("key").distinct()), rows.filter("parts > 1").join, "key")
+        held = _own_part(crowded).select(*_ROW, F.lit(False).alias("asked"), F.lit(True).alias("held"))
+        every = wanted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        near = near.union(held).union(every.withColumn("key", _part(F.col("part"))).select(*_ROW, F.lit(True).alias("asked"), F.lit(False).alias("held")))
+    if split or met.limit(1).count():
+        last = _candidates(near, threshold, None)
         gone = gone.union(_verified(docs, last, sets, threshold, shingle)).distinct()
     kept = sets.select("sid", "first").join(gone, "sid", "left_anti")
     out = materialize(kept.groupBy(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2")).agg(F.collect_list("first.line").alias("kept")))
