@@ -244,23 +244,22 @@ class _Keys:
         self.often = materialize(some.groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > crowd))
         self.crowded, self.split = self.often.limit(1).count() > 0, False
         if self.crowded:
-            again = self._pairs(sets).groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > crowd)
-            self.again = materialize(again.select("key", F.ceil(F.col("often") / crowd).alias("many")))
-            self.split = self.again.limit(1).count() > 0
-
-    def _pairs(self, sets: DataFrame) -> DataFrame:
-        later = F.explode(F.slice("words", F.col("place") + 2, F.greatest(F.size("words") - F.col("place") - 1, F.lit(0))))
-        pairs = _small(self.often, _exploded(sets, self.threshold).join, "key").select(*_ROW, later.alias("later"))
-        return pairs.withColumn("key", F.xxhash64("key", "later")).drop("later")
-
-    def rows(self, sets: DataFrame) -> DataFrame:
-        """Rows of _ROW of these sets."""
-        rows = _exploded(sets, self.threshold)
+            later = F.explode(F.slice("words", F.col("place") + 2, F.greatest(F.size("words") - F.col("place") - 1, F.lit(0))))
+            rows = _small(self.often.select("key"), some.join, "key", "left_semi").select(*_ROW, later.alias("later"))
+            pairs = materialize(rows.withColumn("key", F.xxhash64("key", "later")).drop("later"))
+            again = pairs.groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > crowd)
+            again = materialize(again.select("key", F.ceil(F.col("often") / crowd).alias("many")))
+            self.split = again.limit(1).count() > 0
+            self.pairs = pairs
+            if self.split:
+                self.pairs = _small(again, pairs.join, "key", "left").withColumn("parts", F.coalesce("many", F.lit(1).cast("long"))).select(*_ROW)
+
+    def rows(self, sets: DataFrame, some: DataFrame | None = None) -> DataFrame:
+        """Rows of _ROW of the sets, or of those in ``some`` (sid)."""
+        rows = _exploded(sets if some is None else _small(some, sets.join, "sid", "left_semi"), self.threshold)
         if not self.crowded:
             return rows.select(*_ROW)
-        pairs = self._pairs(sets)
-        if self.split:
-            pairs = _small(self.again, pairs.join, "key", "left").withColumn("parts", F.coalesce("many", F.lit(1).cast("long")))
+        pairs = self.pairs if some is None else _small(some, self.pairs.join, "sid", "left_semi")
         return _small(self.often, rows.join, "key", "left_anti").select(*_ROW).union(pairs.select(*_ROW))
 
 
@@ -400,7 +399,7 @@ def _settled(docs: DataFrame, sets: DataFrame, keys: _Keys, open_: DataFrame, cr
     round leaves a few leaders of a family in each part, so families of any size are settled in rounds of falling size."""
     gone, before = open_.limit(0), open_.count()
     while True:
-        left = keys.rows(_small(open_, sets.join, "sid")).filter("parts > 1").drop("parts")
+        left = keys.rows(sets, open_).filter("parts > 1").drop("parts")
         sizes = left.groupBy("key").agg(F.ceil(F.count("*") / crowd).alias("parts"))
         dealt = _own_part(left.join(sizes, "key")).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
         pairs = _candidates(dealt, threshold, LEADERS)
@@ -433,11 +432,11 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     open_ = materialize(open_.join(gone, "sid", "left_anti"))
     met = materialize(open_.select("key").distinct())
     asked = open_.withColumn("asked", F.lit(True))
-    near = _small(met, rows.filter("parts = 1").join, "key").join(asked, ["sid", "key"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    near = _small(met, rows.filter("parts = 1").join, "key", "left_semi").join(asked, ["sid", "key"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     near = near.withColumn("held", F.lit(True)).select(*_ROW, "asked", "held")
     if split:
-        wanted = keys.rows(_small(apart, sets.join, "sid")).filter("parts > 1")
-        crowded = _small(materialize(wanted.select("key").distinct()), rows.filter("parts > 1").join, "key")
+        wanted = keys.rows(sets, apart).filter("parts > 1")
+        crowded = _small(materialize(wanted.select("key").distinct()), rows.filter("parts > 1").join, "key", "left_semi")
         held = _own_part(crowded).select(*_ROW, F.lit(False).alias("asked"), F.lit(True).alias("held"))
         every = wanted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         near = near.union(held).union(every.withColumn("key", _part(F.col("part"))).select(*_ROW, F.lit(True).alias("asked"), F.lit(False).alias("held")))
