@@ -30,7 +30,7 @@ CAPACITY = 2048
 SALT = 256
 #: Steps of the search for fillings around one document; of the search over whole packings, at least and for each length; and numbers that the
 #: pricing of fillings may touch. What is left when they run out is packed by best fit: these bound the driver's time, not what is packed.
-FILL_STEPS, SEARCH_STEPS, STEPS_EACH, PRICING = 300, 4000, 10, 5_000_000_000
+FILL_STEPS, SEARCH_STEPS, STEPS_EACH, PRICING = 300, 4000, 10, 4_000_000_000
 #: Pre-tokens that a worker remembers, and the longest that it does.
 REMEMBERED, LONG = 500_000, 64
 #: Words of letters that one call to the tokenizer takes.
@@ -234,7 +234,7 @@ def priced(counts: dict[int, int], capacity: int, budget: int = PRICING) -> tupl
             worths = price[first[room] :] + best[room - lengths[first[room] :]]
             k = int(worths.argmax())
             best[room], last[room] = (worths[k], first[room] + k) if worths[k] > best[room - 1] + 1e-12 else (best[room - 1], -1)
-        spent += m * capacity
+        spent += (m + 1600) * capacity  # as long as so many numbers of a pivot take
         worth = max(1.0, float(best[capacity]))
         around = price + best[capacity - lengths]
         entered = False
