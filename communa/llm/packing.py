@@ -32,7 +32,7 @@ SALT = 256
 #: pricing of fillings may touch. What is left when they run out is packed by best fit: these bound the driver's time, not what is packed.
 FILL_STEPS, SEARCH_STEPS, STEPS_EACH, PRICING = 300, 4000, 10, 4_000_000_000
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, LONG = 500_000, 64
+REMEMBERED, LONG = 1_500_000, 64
 #: Words of letters that one call to the tokenizer takes.
 _JOINED = 500
 #: Words whose letters fold alike everywhere, and such words as letters and a tail of punctuation.
