@@ -14,7 +14,10 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from communa.llm import bpe, chat, langid, media, packing, queries, secrets
+from tests.llm.test_filters import naive as naive_filters
 from tests.llm.test_lines import naive as naive_lines
+from tests.llm.test_neardup import naive as naive_links
+from tests.llm.test_phrases import naive as naive_phrases
 from tests.llm.test_repeats import naive as naive_repeats
 from tests.llm.test_secrets import naive as naive_secrets
 from tests.llm.test_simhash import brute as brute_links, naive as naive_fingerprint
@@ -40,7 +43,7 @@ def sha(x):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *queries.queries()} <= names and sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert {"pipeline", *queries.queries()} <= names and sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -198,6 +201,23 @@ def test_op10(spark):
     assert right >= 0.95 * lines > 0
 
 
+def test_op11(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = run(spark, "op11_filters")[1]
+    assert sorted(map(tuple, rows)) == naive_filters([(r.doc_id, r.text, r.lang) for r in docs.collect()], [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()])
+
+
+def test_op12(spark):
+    rows = run(spark, "op12_embeddings")[1]
+    assert sorted((tuple(r) for r in rows), key=str) == naive_links([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()])
+
+
+def test_op13(spark):
+    dtypes, rows = run(spark, "op13_phrases")
+    assert dtypes == [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), *((c, "bigint") for c in ("a", "l", "r", "n", "score"))]
+    assert sorted(map(tuple, rows)) == naive_phrases([(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], 100)
+
+
 def test_pipeline_is_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
@@ -215,11 +235,16 @@ def test_null_and_empty_tables(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(sf / "documents.parquet"))
         vectors = [] if not rows else [(None, [1.0], 1), (20, None, 1), (40, [0.0, 0.0], None), (60, [rng.random(), 1.0], 2)]
         spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(sf / "embeddings.parquet"))
+        spark.createDataFrame([] if not rows else [(1, 1, None), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
         talks = [] if not rows else [(None, None, None, None), (1, None, None, None), (1, None, None, None), (2, 0, "user", "")]
         spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(str(sf / "conversations.parquet"))
         for name, f in {**queries.queries(), "pipeline": corpus_pipeline.run}.items():
             number = f(spark, str(sf)).count()
-            if name not in ("op7_vectors", "op10_chat", "pipeline"):
+            if name == "op11_filters" and rows:
+                assert number == 600 * 3
+            elif name == "op12_embeddings":
+                assert number == len(vectors)
+            elif name not in ("op7_vectors", "op10_chat", "op11_filters", "op13_phrases", "pipeline"):
                 assert number == len(rows), name
             elif not rows:
                 assert number == 0, name
