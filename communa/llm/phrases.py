@@ -11,11 +11,12 @@ pairs are frequent. What is frequent is told by Bloom filters of bounded size: w
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,17 +126,18 @@ class Bloom:
 
     @classmethod
     def of(cls, keys: DataFrame) -> Bloom:
-        """Of a column ``key`` of longs. The bits are set and put together on Spark; the driver gets the table, 32 MB at most."""
+        """Of rows of one hash, or of two for pairs. The bits are set and put together on Spark; the driver gets the table, 32 MB at most."""
         number = keys.count()
         power = min(MOST_POWER, max(LEAST_POWER, (BITS * number - 1).bit_length()))
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key = batch.column(0).to_numpy().view(np.uint64)
+                hashes = [c.to_numpy().view(np.uint64) for c in batch.columns]
+                key = pair_keys(*hashes) if len(hashes) == 2 else hashes[0]
                 both = np.concatenate([(key * mix) >> np.uint64(64 - power) for mix in (_ODD, _SECOND)])
                 yield pa.record_batch([pa.array((both >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (both & np.uint64(63))).view(np.int64))], ["at", "bit"])
 
-        found = keys.select("key").mapInArrow(bits, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        found = keys.mapInArrow(bits, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
         out = np.zeros(1 << power - 6, np.uint64)
         out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         return cls(out)
@@ -152,8 +154,44 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * _ODD
 
 
-def shards(docs: DataFrame, count: Callable[[str, list[bytes], np.ndarray], Iterator[tuple]], schema: str, names: list[str]) -> DataFrame:
-    """Columns that ``count`` yields from (lang, words by number, numbers of the text) of each shard; a shard holds one language."""
+def cut_out(text: np.ndarray, keys: np.ndarray, frequent: Bloom, together: Bloom | None) -> np.ndarray:
+    """What is left of a text of word numbers where rare words, or words of no frequent pair, go: runs divided by 0."""
+    often = frequent.holds(keys)
+    often[0] = False
+    if together is None:
+        return np.where(often[text], text, 0)
+    at = np.flatnonzero(often[text[:-1]] & often[text[1:]])
+    at = at[together.holds(pair_keys(keys[text[at]], keys[text[at + 1]]))]
+    inside, after = np.zeros(len(text) + 1, bool), np.zeros(len(text) + 1, bool)
+    inside[at] = inside[at + 1] = after[at] = True
+    place = np.flatnonzero(inside)
+    if not len(place):
+        return np.zeros(0, text.dtype)
+    starts = np.r_[True, ~(after[place[:-1]] & (np.diff(place) == 1))]  # a pair that isn't frequent ends a run
+    return np.insert(text[place], np.flatnonzero(starts), 0)
+
+
+def counted(lang: str, words: list[bytes], text: np.ndarray, lengths: range, filters: tuple[Bloom, ...]) -> Iterator[pa.Table]:
+    """(lang, phrase, words, n) of a shard's phrases of the given lengths."""
+    names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+
+    def rows(columns: list[pa.Array], n: np.ndarray) -> pa.Table:
+        k = len(columns)
+        phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, " ")
+        return pa.table({"lang": pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32))), "phrase": phrase, "words": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n)})
+
+    if not filters:  # of single words the automaton would have the same counts
+        yield rows([names.slice(1)], np.bincount(text, minlength=len(words))[1:])
+        return
+    short = cut_out(text, word_keys(lang, words), filters[0], filters[1] if len(filters) > 1 else None)
+    for k, end, n in Automaton.of(short, lengths[-1]).phrases():
+        if k in lengths:
+            yield rows([names.take(pa.array(short[end - k + 1 + i])) for i in range(k)], n)
+
+
+def phrase_counts(docs: DataFrame, lengths: range, *filters: Bloom) -> DataFrame:
+    """(lang, phrase, words, n) of the phrases of the given lengths, all of whose words, and pairs of words, the filters hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Words] = {}
@@ -162,9 +200,9 @@ def shards(docs: DataFrame, count: Callable[[str, list[bytes], np.ndarray], Iter
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in texts.items():
-                for columns in count(lang, list(known[lang]), np.concatenate(parts)):
-                    if len(columns[0]):
-                        yield from pa.table(dict(zip(names, columns, strict=True))).to_batches(1 << 16)
+                for rows in counted(lang, list(known[lang]), np.concatenate(parts), lengths, shared.value):
+                    if len(rows):
+                        yield from rows.to_batches(1 << 16)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -179,73 +217,8 @@ def shards(docs: DataFrame, count: Callable[[str, list[bytes], np.ndarray], Iter
         release_memory()
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
-
-
-def _repeat(lang: str, n: int) -> pa.Array:
-    return pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32)))
-
-
-def _text(words: list[bytes]) -> pa.Array:
-    return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of all words."""
-
-    def count(lang: str, words: list[bytes], text: np.ndarray) -> Iterator[tuple]:
-        n = np.bincount(text, minlength=len(words))[1:]
-        yield _repeat(lang, len(n)), _text(words[1:]), n
-
-    return shards(docs, count, "lang string, phrase string, n long", ["lang", "phrase", "n"]).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def pair_counts(docs: DataFrame, frequent: Bloom) -> DataFrame:
-    """(key, n) of the pairs of frequent words."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def count(lang: str, words: list[bytes], text: np.ndarray) -> Iterator[tuple]:
-        keys = word_keys(lang, words)
-        often = shared.value.holds(keys)
-        often[0] = False
-        text = np.where(often[text], text, 0)
-        found = Automaton.of(text, 2)
-        for k, end, n in found.phrases():
-            if k == 2:
-                yield pair_keys(keys[text[end - 1]], keys[text[end]]).view(np.int64), n
-
-    return shards(docs, count, "key long, n long", ["key", "n"]).groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def phrase_counts(docs: DataFrame, frequent: Bloom, together: Bloom, depth: int) -> DataFrame:
-    """(lang, phrase, words, n) of the phrases of 2 to ``depth`` words all of whose words and pairs are frequent."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, together))
-
-    def count(lang: str, words: list[bytes], text: np.ndarray) -> Iterator[tuple]:
-        singles, pairs = shared.value
-        keys = word_keys(lang, words)
-        often = singles.holds(keys)
-        often[0] = False
-        at = np.flatnonzero(often[text[:-1]] & often[text[1:]])
-        at = at[pairs.holds(pair_keys(keys[text[at]], keys[text[at + 1]]))]
-        if not len(at):
-            return
-        inside = np.zeros(len(text) + 1, bool)  # words of a frequent pair
-        inside[at] = inside[at + 1] = True
-        after = np.zeros(len(text) + 1, bool)  # a pair that isn't ends a run
-        after[at] = True
-        place = np.flatnonzero(inside)
-        cut = np.r_[True, ~(after[place[:-1]] & (np.diff(place) == 1))]
-        short = np.insert(text[place], np.flatnonzero(cut), 0)
-        names = [w.decode("utf-8", "replace") for w in words]
-        for k, end, n in Automaton.of(short, depth).phrases():
-            if k > 1:
-                rows = np.stack([short[end - k + 1 + i] for i in range(k)], 1).tolist()
-                yield _repeat(lang, len(n)), pa.array([" ".join(map(names.__getitem__, r)) for r in rows], pa.string()), pa.array(np.full(len(n), k, np.int32)), n
-
-    counted = shards(docs, count, "lang string, phrase string, words int, n long", ["lang", "phrase", "words", "n"])
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, "lang string, phrase string, words int, n long")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def _part(first: str, length: str) -> F.Column:
@@ -281,18 +254,19 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     by slice and counted whole; rows that repeat count each. Equal scores and numbers go by the bytes of the phrase. An empty table, or one without frequent phrases,
     gives no rows. Other columns are left out."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # one pass gives the sum of all words and those that are frequent
-    every = materialize(word_counts(rows))
+    every = materialize(phrase_counts(rows, range(1, 2)))
     totals = materialize(every.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = materialize(every.filter(F.col("n") >= least))
+    often = F.col("n") >= least
+    words = materialize(every.filter(often))
     drop(every)
-    frequent = Bloom.of(words.select(F.xxhash64("lang", "phrase").alias("key")))
-    pairs = materialize(pair_counts(rows, frequent).filter(F.col("n") >= least).select("key"))
-    together = Bloom.of(pairs)
-    drop(pairs)
-    found = materialize(phrase_counts(rows, frequent, together, depth).filter(F.col("n") >= least))
+    frequent = Bloom.of(words.select(F.xxhash64("lang", "phrase")))
+    pairs = materialize(phrase_counts(rows, range(2, 3), frequent).filter(often))
+    both = F.split("phrase", " ")
+    together = Bloom.of(pairs.select(F.xxhash64("lang", both[0]), F.xxhash64("lang", both[1])))
+    longer = materialize(phrase_counts(rows, range(3, depth + 1), frequent, together).filter(often))
+    found = pairs.union(longer)
     candidates = found.withColumnRenamed("n", "a")
-    rated = materialize(scored(longest(candidates), words.select("lang", "phrase", "n").union(found.select("lang", "phrase", "n")), totals))
+    rated = materialize(scored(longest(candidates), words.union(found).select("lang", "phrase", "n"), totals))
     drop(words)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     salted = rated.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))

@@ -96,7 +96,7 @@ def test_automaton_is_one():
 
 def test_filter_holds_what_it_was_given(spark):
     keys = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 9000)
-    held = phrases.Bloom.of(spark.createDataFrame([(int(k),) for k in keys[:6000]], "key long"))
+    held = phrases.Bloom.of(spark.createDataFrame([(int(k),) for k in keys[:6000]], "key long").repartition(3))
     assert held.holds(keys[:6000].view(np.uint64)).all() and held.holds(keys[6000:].view(np.uint64)).mean() < 0.1
     words = ["é", "abcdefghijkl" * 9, "w"]
     spark_keys = [r.k for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("xxhash64('en', w) as k").collect()]
