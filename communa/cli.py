@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except EdgeFileFormatError as e:
         print(f"communa: {e}", file=sys.stderr)
         return 1
-    network = Network.from_edges(edges, a.quality == "modularity").cache()
+    network = Network.from_edges(edges, a.quality == "modularity").kept()
     totals = network.totals
     times.append(time.perf_counter())
     try:

@@ -21,6 +21,11 @@ def approximate_exponent(x: Column) -> Column:
     return F.when(x < -256, F.lit(0.0)).otherwise(F.pow(F.lit(1.0) + x / 256.0, F.lit(256.0)))
 
 
+def log_exponent(x: Column) -> Column:
+    """The logarithm of :func:`approximate_exponent`, which doesn't overflow."""
+    return F.when(x < -256, F.lit(float("-inf"))).otherwise(256.0 * F.log1p(x / 256.0))
+
+
 def well_connected(outside: Column, weight: Column, total: Column, gamma: Column | float) -> Column:
     """Whether a part of node weight ``weight`` has edges enough (``outside``) to the rest of its cluster of weight ``total``."""
     return outside >= weight * (total - weight) * gamma

@@ -13,29 +13,36 @@ def cluster_weights(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return nodes.join(rows, F.col("id") == F.col("node")).groupBy("cluster").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
-def neighbor_clusters(adj: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, cluster, weight): weight of each node's edges into each cluster that a neighbour is in; its own is there even at 0."""
-    near = adj.join(rows, adj["dst"] == rows["node"]).select(F.col("src").alias("node"), "cluster", "weight")
-    return near.union(rows.select("node", "cluster", F.lit(0.0))).groupBy("node", "cluster").agg(F.sum("weight").alias("weight"))
-
-
-def move_gains(nodes: DataFrame, adj: DataFrame, rows: DataFrame, gamma: float, empty: int | None = None) -> DataFrame:
-    """(node, cluster, gain, stay, empty): gain of each cluster a node could join, the node taken out of its own first, and of an
-    empty cluster: its number is ``empty`` (by default n + node, free for every node) and its gain 0."""
+def neighbor_clusters(adj: DataFrame, rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(node, cluster, weight): weight of each node's edges into each cluster that a neighbour is in; its own is there even at 0. With ``asked``, some of
+    the rows, for their nodes alone."""
+    own = rows if asked is None else asked
+    some = adj if asked is None else adj.join(asked.select(F.col("node").alias("src")), "src", "left_semi")
+    ends = rows.select(F.col("node").alias("dst"), "cluster")
+    near = some.join(ends, "dst").select(F.col("src").alias("node"), "cluster", "weight")
+    return near.union(own.select("node", "cluster", F.lit(0.0))).groupBy("node", "cluster").agg(F.sum("weight").alias("weight"))
+
+
+def move_gains(nodes: DataFrame, adj: DataFrame, rows: DataFrame, gamma: float, empty: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(node, cluster, gain, stay, empty, own): gain of each cluster a node could join, the node taken out of its own first, and of an
+    empty cluster: its number is ``empty`` (by default -1 - node, free for every node) and its gain 0; own is the node's weight. With ``asked``, some of the rows,
+    for their nodes alone."""
     weights = cluster_weights(nodes, rows).select("cluster", F.col("weight").alias("held"))
-    own = nodes.join(rows, F.col("id") == F.col("node")).select("node", F.col("weight").alias("own"), F.col("cluster").alias("at"))
-    near = neighbor_clusters(adj, rows).join(own, "node").join(weights, "cluster")
+    own = nodes.join(rows if asked is None else asked, F.col("id") == F.col("node")).select("node", F.col("weight").alias("own"), F.col("cluster").alias("at"))
+    near = neighbor_clusters(adj, rows, asked).join(own, "node").join(weights, "cluster")
     stay = F.col("cluster") == F.col("at")
     held = F.col("held") - F.when(stay, F.col("own")).otherwise(F.lit(0.0))
-    gains = near.select("node", "cluster", quality_increment(F.col("weight"), F.col("own"), held, F.lit(gamma)).alias("gain"), stay.alias("stay"), F.lit(False).alias("empty"))
+    gains = near.select("node", "cluster", quality_increment(F.col("weight"), F.col("own"), held, F.lit(gamma)).alias("gain"), stay.alias("stay"), F.lit(False).alias("empty"), "own")
     free = F.lit(empty).cast("long") if empty is not None else -1 - F.col("node")
-    return gains.union(rows.select("node", free.alias("cluster"), F.lit(0.0), F.lit(False), F.lit(True)))
+    return gains.union(own.select("node", free.alias("cluster"), F.lit(0.0), F.lit(False), F.lit(True), "own"))
 
 
 def best_moves(gains: DataFrame) -> DataFrame:
-    """(node, cluster, gain, stay): the best cluster of each node; ties go to staying, then the empty one, then the least number."""
+    """(node, cluster, gain, stay, empty, own, at, here): the best cluster of each node; ties go to staying, then the empty one, then the least number. at
+    and here are its own cluster and the gain of staying."""
     key = F.struct("gain", "stay", "empty", (-F.col("cluster")).alias("low"))
-    return gains.groupBy("node").agg(F.max_by(F.struct("cluster", "gain", "stay"), key).alias("b")).select("node", "b.cluster", "b.gain", "b.stay")
+    stays = [F.max(F.when(F.col("stay"), F.col(c))).alias(n) for c, n in (("cluster", "at"), ("gain", "here"))]
+    return gains.groupBy("node").agg(F.max_by(F.struct("cluster", "gain", "stay", "empty", "own"), key).alias("b"), *stays).select("node", "b.*", "at", "here")
 
 
 def requeued(adj: DataFrame, rows: DataFrame, moved: DataFrame) -> DataFrame:

@@ -111,10 +111,9 @@ class Network:
 
     def neighbor_scan(self) -> DataFrame:
         """(src, connection_id, id, edge_weight, node_weight): the adjacency in order, numbered, with the neighbour's node weight."""
-        at = Window.partitionBy("src").orderBy("dst")
-        rows = self.adj.withColumn("k", F.row_number().over(at) - 1).join(self.neighbor_ranges().select(F.col("id").alias("src"), "first"), "src")
+        rows = number_rows(self.adj.select("src", "dst", "weight"), "src", "dst", name="connection_id")
         ends = self.nodes.select(F.col("id").alias("dst"), F.col("weight").alias("node_weight"))
-        return rows.join(ends, "dst").select("src", (F.col("first") + F.col("k")).cast("long").alias("connection_id"), F.col("dst").alias("id"), F.col("weight").alias("edge_weight"), "node_weight")
+        return rows.join(ends, "dst").select("src", "connection_id", F.col("dst").alias("id"), F.col("weight").alias("edge_weight"), "node_weight")
 
     def neighbors_for(self, node: int) -> DataFrame:
         return self.adj.filter(F.col("src") == node).select(F.col("dst").alias("id"), "weight")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.errors import ClusterIndexingError, InvalidCommunityMappingError
 from communa.operators.ordering import number_rows
+from communa.storage import materialize
 
 SCHEMA = "node long, cluster long"
 #: Nodes that :meth:`Clustering.members` and :meth:`Clustering.as_map` put into one row at most.
@@ -143,5 +144,7 @@ def contiguous(rows: DataFrame) -> DataFrame:
 
 
 def dense_ranks(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """rows with ``rank`` from 0 within each group."""
-    return rows.withColumn("rank", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    """rows with ``rank`` from 0 within each group: the row's number in the whole less that of the group's first, so a large group is no task of its own."""
+    numbered = materialize(number_rows(rows, group, *order, name="_n"))
+    first = numbered.groupBy(group).agg(F.min("_n").alias("_first"))
+    return numbered.join(first, group).select(*rows.columns, (F.col("_n") - F.col("_first")).alias("rank"))

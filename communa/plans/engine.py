@@ -15,10 +15,10 @@ from communa.operators.network import Network
 from communa.operators.partition import Clustering, contiguous, sanity_split
 from communa.operators.scoring import adjusted_resolution
 from communa.plans import kernel
-from communa.plans.supersteps import polished, shrunk
+from communa.plans.supersteps import by_least_node, connected_pieces, shrunk, unrolled
 from communa.storage import materialize
 
-#: Adjacency rows of one task's graph: larger components are shrunk first, smaller ones share a task up to BIN_ROWS.
+#: Adjacency rows of one task's graph: larger components go through supersteps first, smaller ones share a task up to BIN_ROWS.
 KERNEL_ROWS, BIN_ROWS = 5_000_000, 1_500_000
 
 
@@ -92,26 +92,56 @@ def bound_parts(nodes: DataFrame, adj: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(connected_components(nodes.select("id"), links))
 
 
-def fitted(network: Network, rows: DataFrame, gamma: float, seed: int, kernel_rows: int) -> tuple[Network, DataFrame, DataFrame | None]:
-    """(network, rows, (node, part) or None): components of more than kernel_rows adjacency rows are shrunk by supersteps from the clusters in rows;
-    all others stay as they are. Parts are numbered on from the nodes."""
+def oversized(network: Network, rows: DataFrame, kernel_rows: int) -> DataFrame | None:
+    """(node, grp), written, of the components of more than kernel_rows adjacency rows, if there are any."""
     if network.adj.count() <= kernel_rows:
-        return network, rows, None
+        return None
     parts = bound_parts(network.nodes, network.adj, rows)
     sizes = network.adj.join(parts, F.col("src") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"))
-    large = materialize(parts.join(sizes.filter(F.col("n") > kernel_rows), "component", "left_semi").select("id"))
-    if not large.limit(1).count():
-        return network, rows, None
-    ends, named = large.withColumnRenamed("id", "src"), large.withColumnRenamed("id", "node")
-    big = Network(materialize(network.nodes.join(large, "id", "left_semi").select("id", "label", "weight")), materialize(network.adj.join(ends, "src", "left_semi").select("src", "dst", "weight")), None, network.use_modularity)
-    small, maps = shrunk(big, gamma, seed, kernel_rows, materialize(rows.join(named, "node", "left_semi").select("node", "cluster")))
+    large = materialize(parts.join(sizes.filter(F.col("n") > kernel_rows), "component", "left_semi").select(F.col("id").alias("node"), F.col("component").alias("grp")))
+    return large if large.limit(1).count() else None
+
+
+def within(network: Network, nodes: DataFrame, how: str = "left_semi") -> Network:
+    """The nodes in nodes (node), or with left_anti the others, and their edges, written; no edge joins the one with the other."""
+    some = nodes.select("node")
+    held = network.nodes.join(some.withColumnRenamed("node", "id"), "id", how).select("id", "label", "weight")
+    adj = network.adj.join(some.withColumnRenamed("node", "src"), "src", how).select("src", "dst", "weight")
+    return Network(materialize(held), materialize(adj), None, network.use_modularity, 0.0)
+
+
+def solve_large(
+    network: Network, owner: DataFrame, rows: DataFrame | None, gamma: float, randomness: float, iterations: int, seed: int, trials: int, kernel_rows: int, bin_rows: int, gammas: DataFrame | None = None,
+) -> DataFrame:
+    """(trial, grp, node, cluster), written, of groups, owner (node, grp), that share no edge and are too large for a task: they are shrunk side by side by
+    supersteps until each fits one, solved by the kernel, projected back and moved on level by level. A trial is a copy of the network with random numbers
+    of its own, so all of them go through the same steps. A group that no contraction makes small enough goes to no task: it stays as its nodes were moved.
+
+    With ``gammas`` (grp, gamma) the network's weights are the nodes' own times the roots of these, for a gamma of 1."""
     shift = network.nodes.agg(F.max("id") + 1).first()[0]
-    rest = network.nodes.join(large, "id", "left_anti").select("id", "label", "weight")
-    nodes = rest.union(small.nodes.select((F.col("id") + shift).alias("id"), F.col("id").cast("string"), "weight"))
-    adj = network.adj.join(ends, "src", "left_anti").select("src", "dst", "weight").union(small.adj.select(F.col("src") + shift, F.col("dst") + shift, "weight"))
-    left = rows.join(named, "node", "left_anti").select("node", "cluster").union(small.nodes.select(F.col("id") + shift, -1 - F.col("id")))
-    whole = rest.select(F.col("id").alias("node"), F.col("id").alias("part")).union(maps.select("node", F.col("part") + shift))
-    return Network(materialize(nodes), materialize(adj), None, network.use_modularity, 0.0), materialize(left), materialize(whole)
+    if trials > 1:
+        turn = network.nodes.sparkSession.range(trials).select((F.col("id") * shift).alias("_by"))
+        copied = lambda df, *ids: df.crossJoin(F.broadcast(turn)).select(*[(F.col(c) + F.col("_by")).alias(c) if c in ids else F.col(c) for c in df.columns])  # noqa: E731  trials, a parameter, times the rows
+        network = Network(materialize(copied(network.nodes, "id")), materialize(copied(network.adj, "src", "dst")), None, network.use_modularity, 0.0)
+        owner = materialize(copied(owner, "node", "grp"))
+        rows = None if rows is None else copied(rows.select("node", "cluster"), "node", "cluster")
+    levels, unfit = shrunk(network, owner, gamma, seed, kernel_rows, rows, randomness)
+    last = levels[-1]
+    fits = last.owner.join(unfit, "grp", "left_anti").select("node", "grp")
+    nodes = last.network.nodes.join(fits, F.col("id") == F.col("node")).join(last.rows, "node").select("grp", "id", "weight", "cluster")
+    nodes = nodes.withColumn("gamma", F.lit(gamma).cast("double")) if gammas is None else nodes.join(gammas, "grp").withColumn("weight", F.col("weight") / F.sqrt("gamma"))
+    adj = last.network.adj.join(fits.withColumnRenamed("node", "src"), "src")
+    sizes = adj.groupBy("grp").agg(F.count("*").alias("n"))
+    total = adj.count()
+    bins = F.when(F.coalesce("n", F.lit(0)) * 2 > bin_rows, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(max(1, -(-total // bin_rows))))).cast("long").alias("bin")
+    placed = materialize(fits.select("grp").distinct().join(sizes, "grp", "left").select("grp", bins))
+    found = solve(nodes.join(placed, "grp"), adj.join(placed, "grp"), None, randomness, iterations, network.use_modularity, seed, 1).select("node", "cluster")
+    left = last.rows.join(last.owner.join(unfit, "grp", "left_semi").select("node"), "node", "left_semi").select("node", -1 - F.col("cluster").alias("cluster"))
+    moved = unrolled(levels, materialize(by_least_node(found.union(left))), gamma, seed)
+    pieces = materialize(connected_pieces(network, moved))
+    trial = F.expr(f"node div {shift}") if trials > 1 else F.lit(0).cast("long")
+    own = lambda c: (F.col(c) - trial * shift).alias(c)
+    return materialize(pieces.join(owner, "node").select(trial.alias("trial"), own("grp"), own("node"), own("cluster")))
 
 
 def trial_scores(network: Network, rows: DataFrame, gamma: float) -> DataFrame:
@@ -131,19 +161,27 @@ def leiden_clustering(
     """(whether anything moved, partition of best quality over the trials), its clusters numbered from 0 by their least node.
 
     Without a partition to start from, every node is alone. The same network, parameters and seed give the same result, however it is
-    partitioned. Components of more than ``kernel_rows`` adjacency rows are shrunk by supersteps first, from single nodes or the clusters to start
-    from, and what comes of it is moved on at the nodes themselves."""
+    partitioned. Components of more than ``kernel_rows`` adjacency rows go through supersteps, from single nodes or the clusters to start from, until
+    a task holds what they are contracted to, and back to the nodes."""
     gamma = checked(network, resolution, randomness, trials)
     seed = random.SystemRandom().getrandbits(31) if seed is None else seed
     start = Clustering.self_clusters(network.nodes).rows if clustering is None else materialize(sanity_split(network.adj, clustering).rows)
-    level, rows, maps = fitted(network, start, gamma, seed, kernel_rows)
-    nodes, adj = binned(level.nodes, level.adj, rows, bin_rows)
-    found = materialize(solve(nodes, adj, gamma, randomness, iterations, network.use_modularity, seed, trials))
-    improved = maps is not None or bool(found.agg(F.max("moved")).first()[0])
+    owner, rest = oversized(network, start, kernel_rows), network
+    found, improved = None, False
+    if owner is not None:
+        rest, begun = within(network, owner, "left_anti"), materialize(start.join(owner, "node", "left_semi").select("node", "cluster"))
+        found = solve_large(within(network, owner), owner, None if clustering is None else begun, gamma, randomness, iterations, seed, trials, kernel_rows, bin_rows).select("trial", "node", "cluster")
+        start = start.join(owner, "node", "left_anti").select("node", "cluster")
+    if owner is None or rest.nodes.limit(1).count():
+        nodes, adj = binned(rest.nodes, rest.adj, start, bin_rows)
+        small = materialize(solve(nodes, adj, gamma, randomness, iterations, network.use_modularity, seed, trials))
+        improved = bool(small.agg(F.max("moved")).first()[0])
+        found = small.select("trial", "node", "cluster") if found is None else found.union(small.select("trial", "node", "cluster"))
     if trials > 1:
-        best = trial_scores(level, found, gamma).orderBy(F.desc("score"), "trial").first()["trial"]
+        best = trial_scores(network, found, gamma).orderBy(F.desc("score"), "trial").first()["trial"]
         found = found.filter(F.col("trial") == best)
     rows = found.select("node", "cluster")
-    if maps is not None:
-        rows = polished(network, materialize(maps.join(rows.select(F.col("node").alias("part"), "cluster"), "part").select("node", "cluster")), gamma, seed)
+    if owner is not None and not improved:
+        before, after = by_least_node(begun), by_least_node(rows).select("node", F.col("cluster").alias("now"))
+        improved = before.join(after, "node").filter("cluster <> now").limit(1).count() > 0
     return improved, Clustering(materialize(contiguous(rows)))

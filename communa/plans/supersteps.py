@@ -1,53 +1,191 @@
-"""Shrinking a network too large for one task: local moves of many nodes at once, then contraction."""
+"""Leiden on networks too large for one task: local moving, refinement and contraction as DataFrame steps, down to what a task holds and up again.
+
+Many nodes move at once. They are put in a random order, and a move counts only if it gains in that order even against the worst that the moves before it
+may do: neighbours that leave its target or join its old cluster, weight that comes to the one and goes from the other. So the quality never falls, whatever of
+them is dropped. After a step only those are looked at again whose neighbours moved away from them, and those that were turned down.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from communa.functions.gains import log_exponent, seeded_uniform, well_connected
 from communa.operators.components import connected_components
-from communa.operators.moves import best_moves, move_gains
+from communa.operators.moves import best_moves, move_gains, requeued
 from communa.operators.network import Network
 from communa.operators.partition import Clustering
-from communa.operators.transforms import clustered_edges, induced_network
+from communa.operators.transforms import clustered_edges
 from communa.storage import drop, materialize
 
-
-def accepted_moves(nodes: DataFrame, adj: DataFrame, rows: DataFrame, gamma: float, seed: int, step: int) -> DataFrame:
-    """(node, cluster, gain): moves that gain, at most one out of or into any cluster, so that their gains add up exactly. Of the moves that
-    touch a cluster the one of largest gain, then of least hash, comes first."""
-    gains = move_gains(nodes, adj, rows, gamma)
-    now = gains.filter("stay").select("node", F.col("gain").alias("here"), F.col("cluster").alias("at"))
-    moves = best_moves(gains).filter("not stay").join(now, "node").select("node", "at", "cluster", (F.col("gain") - F.col("here")).alias("gain")).filter("gain > 1e-12")
-    first = [(-F.col("gain")), F.xxhash64(F.lit(seed), F.lit(step), "node"), F.col("node")]
-    touched = moves.select("*", F.explode(F.array("at", "cluster")).alias("touched"))
-    ranked = touched.withColumn("r", F.row_number().over(Window.partitionBy("touched").orderBy(*first))).filter("r = 1")
-    return ranked.groupBy("node", "cluster", "gain").agg(F.count("*").alias("n")).filter("n = 2").select("node", "cluster", "gain")
-
-
-def moved_locally(network: Network, gamma: float, seed: int, start: DataFrame | None = None, steps: int = 20, least: float = 1e-3) -> DataFrame:
-    """(node, cluster) after supersteps from single nodes or rows (node, cluster), until a step gains less than the share ``least`` of the first."""
-    rows, first = materialize(Clustering.self_clusters(network.nodes).rows if start is None else start), None
+#: Steps of local moving on the way down and on the way up, and the share of a phase's first gain below which it ends.
+STEPS, STEPS_UP, LEAST_GAIN = 16, 8, 1e-2
+#: Rounds of refinement, and the share of parts that a round merges at least for another to follow.
+ROUNDS, LEAST_MERGED = 6, 0.05
+#: Levels at most, and the share of adjacency rows that a level loses at least.
+DEPTH, LEAST_SHRUNK = 30, 0.05
+#: Turns for each halving of the order: the weight that goes before a move is known to about a tenth.
+FINE = 8
+
+
+def _turn(order: Column) -> Column:
+    """The place of a number in (0, 1) on a logarithmic scale; the larger is the earlier."""
+    return F.least(F.floor(-F.log2(order + F.lit(2.0**-60)) * FINE), F.lit(60 * FINE)).cast("int")
+
+
+def proposed_moves(nodes: DataFrame, adj: DataFrame, rows: DataFrame, gamma: float, seed: int, step: int, active: DataFrame | None = None) -> DataFrame:
+    """(node, at, to, gain, own, order): the best move of each node in active (node), or of all, if it gains. A new cluster has a number of its own."""
+    gains = move_gains(nodes, adj, rows, gamma, asked=None if active is None else rows.join(active.select("node"), "node", "left_semi"))
+    moves = best_moves(gains).filter("not stay and gain - here > 1e-12 * (1 + abs(here))")
+    to = F.when(F.col("empty"), -1 - (F.col("node") * 4096 + step)).otherwise(F.col("cluster")).alias("to")
+    return moves.select("node", "at", to, (F.col("gain") - F.col("here")).alias("gain"), "own", seeded_uniform(seed * 4096 + step, "node").alias("order"))
+
+
+def sure_moves(adj: DataFrame, moves: DataFrame, gamma: float) -> DataFrame:
+    """(node, cluster, gain): the proposed moves that gain in their order whichever of those before them are made; gain is what they bring at least."""
+    i = moves.select(F.col("node").alias("src"), F.col("at").alias("i_at"), F.col("to").alias("i_to"), F.col("order").alias("i_order"))
+    j = moves.select(F.col("node").alias("dst"), F.col("at").alias("j_at"), F.col("to").alias("j_to"), F.col("order").alias("j_order"))
+    plus, minus = F.greatest("weight", F.lit(0.0)), F.greatest(-F.col("weight"), F.lit(0.0))
+    one = lambda test: F.when(test, 1.0).otherwise(0.0)
+    worse = plus * (one(F.col("j_at") == F.col("i_to")) + one(F.col("j_to") == F.col("i_at"))) + minus * (one(F.col("j_to") == F.col("i_to")) + one(F.col("j_at") == F.col("i_at")))
+    before = adj.join(i, "src").join(j, "dst").filter("j_order < i_order or (j_order = i_order and dst < src)")
+    loss = before.groupBy(F.col("src").alias("node")).agg(F.sum(worse).alias("loss"))
+    placed = moves.withColumn("turn", _turn(F.col("order")))
+    ends = placed.select("turn", "own", F.explode(F.array(F.struct(F.lit("at").alias("side"), F.col("at").alias("cluster")), F.struct(F.lit("to").alias("side"), F.col("to").alias("cluster")))).alias("e"))
+    sums = ends.groupBy("e.side", "e.cluster", "turn").agg(F.sum("own").alias("w"))  # a few hundred turns for each cluster at most
+    upto = F.sum("w").over(Window.partitionBy("side", "cluster").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
+    crowd = sums.withColumn("crowd", upto)
+    left, come = (crowd.filter(F.col("side") == s).select(F.col("cluster").alias(s), "turn", F.col("crowd").alias(f"{s}_crowd")) for s in ("at", "to"))
+    both = placed.join(left, ["at", "turn"]).join(come, ["to", "turn"]).join(loss, "node", "left")
+    sure = F.col("gain") - F.coalesce("loss", F.lit(0.0)) - gamma * F.col("own") * (F.col("at_crowd") + F.col("to_crowd") - 2 * F.col("own"))
+    return both.select("node", F.col("to").alias("cluster"), sure.alias("gain")).filter("gain > 0")
+
+
+def by_least_node(rows: DataFrame) -> DataFrame:
+    """(node, cluster) with clusters named by their least node."""
+    least = rows.groupBy("cluster").agg(F.min("node").alias("_least"))
+    return rows.join(least, "cluster").select("node", F.col("_least").alias("cluster"))
+
+
+@dataclass
+class Moved:
+    """rows (node, cluster), the gain in all, and for each step the nodes that were looked at."""
+
+    rows: DataFrame
+    gain: float
+    looked_at: list[int]
+
+
+def moved_locally(network: Network, gamma: float, seed: int, start: DataFrame | None = None, active: DataFrame | None = None, steps: int = STEPS, least: float = LEAST_GAIN) -> Moved:
+    """Supersteps from single nodes or rows (node, cluster), of all nodes or those in active (node), until a step gains less than the share ``least`` of
+    the first or ``steps`` are done. Nodes without an edge to an active one never move."""
+    rows = materialize(Clustering.self_clusters(network.nodes).rows if start is None else by_least_node(start))
+    first, total, looked = None, 0.0, []
     for step in range(steps):
-        moves = materialize(accepted_moves(network.nodes, network.adj, rows, gamma, seed, step))
-        gain = moves.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
-        first = first or gain
-        if gain <= 0 or (step and gain < least * first):
+        looked.append(network.nodes.count() if active is None else active.count())
+        moves = materialize(proposed_moves(network.nodes, network.adj, rows, gamma, seed, step, active))
+        sure = materialize(sure_moves(network.adj, moves, gamma))
+        gain = sure.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
+        if gain <= 0:
             drop(moves)
+            drop(sure)
             break
-        new = materialize(Clustering(rows).update(moves).rows)
-        drop(rows)
-        drop(moves)
-        rows = new
-    return rows
-
-
-def score(network: Network, rows: DataFrame, gamma: float) -> float:
-    """Quality up to a constant factor."""
-    inside = clustered_edges(network.adj, rows).filter("c1 = c2").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
-    held = network.nodes.join(rows, F.col("id") == F.col("node")).groupBy("cluster").agg(F.sum("weight").alias("w")).agg(F.sum(F.col("w") * F.col("w")).alias("squares"))
-    found = inside.crossJoin(held).first()  # of one row each
-    return found["inside"] - gamma * (found["squares"] or 0.0)
+        new = materialize(Clustering(rows).update(sure).rows)
+        turned_down = moves.select("node").join(sure.select("node"), "node", "left_anti")
+        following = materialize(requeued(network.adj, new, sure).union(turned_down).distinct())
+        for old in (rows, moves, sure, *([active] if step else [])):
+            drop(old)
+        rows, active, total = new, following, total + gain
+        first = first or gain
+        if gain < least * first:
+            break
+    return Moved(rows, total, looked)
+
+
+def refined(network: Network, rows: DataFrame, gamma: float, seed: int, randomness: float = 0.001, rounds: int = ROUNDS) -> DataFrame:
+    """(node, part), written: parts of each cluster of rows (node, cluster), merged from single nodes and named by one of theirs.
+
+    In each round parts fall in two by a coin. A node of the first half that is still alone and well connected to its cluster draws a part of the second
+    half, by chance in proportion to the exponent of the gain over ``randomness``, or itself. Of those that drew it a part takes, in a random order, all that gain
+    though the others before them come too, if it is well connected with them, or else the first alone, if it is so with that one. Cuts and weights follow what was
+    merged. So every part of two nodes or more is well connected to the rest of its cluster."""
+    inner = materialize(clustered_edges(network.adj, rows).filter("c1 = c2").select("src", "dst", "weight"))
+    held = network.nodes.join(rows, F.col("id") == F.col("node")).select("node", "cluster", "weight")
+    totals = held.groupBy("cluster").agg(F.sum("weight").alias("total"))
+    cuts = inner.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("cut"))
+    parts = materialize(rows.select("node", F.col("node").alias("part")))
+    state = held.join(totals, "cluster").join(cuts, "node", "left")
+    state = materialize(state.select(F.col("node").alias("part"), F.col("weight").alias("held"), "total", F.coalesce("cut", F.lit(0.0)).alias("cut"), F.lit(1).cast("long").alias("n")))
+    number = state.count()
+    for r in range(rounds):
+        drawn = materialize(_drawn(inner, parts, state, gamma, seed * 4096 + r, randomness))
+        taken = materialize(_taken(inner, drawn, gamma))
+        merged = taken.agg(F.sum("n")).first()[0] or 0
+        if merged:
+            all_, one = taken.filter("n > 1").select("part"), taken.filter("n = 1").select(F.col("first").alias("src"), "part")
+            joined = drawn.filter("comes").join(all_, "part", "left_semi").select("src", "part").union(one)
+            new = materialize(parts.join(joined.select(F.col("src").alias("node"), F.col("part").alias("to")), "node", "left").select("node", F.coalesce("to", "part").alias("part")))
+            left = state.join(joined.select(F.col("src").alias("part")), "part", "left_anti").join(taken.select("part", F.col("held").alias("to_held"), F.col("cut").alias("to_cut"), F.col("n").alias("more")), "part", "left")
+            grown = materialize(left.select("part", F.coalesce("to_held", "held").alias("held"), "total", F.coalesce("to_cut", "cut").alias("cut"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+            drop(parts)
+            drop(state)
+            parts, state = new, grown
+        drop(drawn)
+        drop(taken)
+        if merged < LEAST_MERGED * number:
+            break
+        number -= merged
+    drop(inner)
+    drop(state)
+    return parts
+
+
+def _drawn(inner: DataFrame, parts: DataFrame, state: DataFrame, gamma: float, seed: int, randomness: float) -> DataFrame:
+    """(src, part, own, own_cut, near, held, cut, total, order, comes): the part that each node alone draws, if it isn't itself, with the weights and cuts of both; comes
+    says that it gains though all before it in the order come too."""
+    heads = seeded_uniform(seed, "part") < 0.5
+    able = state.filter(well_connected(F.col("cut"), F.col("held"), F.col("total"), gamma))
+    alone = able.filter(heads & (F.col("n") == 1)).select(F.col("part").alias("src"), F.col("held").alias("own"), F.col("cut").alias("own_cut"))
+    takers = able.filter(~heads).select("part", "held", "cut", "total")
+    ends = parts.select(F.col("node").alias("dst"), "part")
+    near = inner.join(alone, "src").join(ends, "dst").groupBy("src", "part").agg(F.sum("weight").alias("near"), F.first("own").alias("own"), F.first("own_cut").alias("own_cut"))
+    options = near.join(takers, "part").withColumn("gain", F.col("near") - gamma * F.col("own") * F.col("held")).filter("gain >= 0")
+    luck = lambda *names: F.log(-F.log(seeded_uniform(seed, *names) + F.lit(2.0**-60)))  # noqa: E731  an exponential race, by logarithms
+    race = luck("src", "part") - log_exponent(F.col("gain") / randomness)
+    values = F.struct("part", "own", "own_cut", "near", "held", "cut", "total", "gain")
+    drawn = options.filter(race <= luck("src", "src")).groupBy("src").agg(F.min_by(values, F.struct(race, "part")).alias("d")).select("src", "d.*")
+    drawn = drawn.withColumn("order", seeded_uniform(seed + 1, "src")).withColumn("turn", _turn(F.col("order")))
+    sums = drawn.groupBy("part", "turn").agg(F.sum("own").alias("w"))  # a few hundred turns for each part at most
+    crowd = sums.withColumn("crowd", F.sum("w").over(Window.partitionBy("part").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)))
+    comes = F.col("gain") - gamma * F.col("own") * (F.col("crowd") - F.col("own")) >= 0
+    return drawn.join(crowd.select("part", "turn", "crowd"), ["part", "turn"]).withColumn("comes", comes).drop("turn", "crowd", "gain")
+
+
+def _taken(inner: DataFrame, drawn: DataFrame, gamma: float) -> DataFrame:
+    """(part, held, cut, n, first): what a part is after a round: with n nodes more, all that come or the first alone."""
+    come = drawn.filter("comes")
+    a, b = come.select("src", F.col("part").alias("p1")), come.select(F.col("src").alias("dst"), F.col("part").alias("part"))
+    among = inner.join(a, "src").join(b, "dst").filter("p1 = part").groupBy("part").agg(F.sum("weight").alias("among"))
+    came = come.groupBy("part").agg(F.sum("own").alias("more"), F.sum(F.col("own_cut") - 2 * F.col("near")).alias("change"), F.count("*").alias("n"))
+    one_cut, one_held = F.col("cut") + F.col("own_cut") - 2 * F.col("near"), F.col("held") + F.col("own")
+    lone = drawn.filter(well_connected(one_cut, one_held, F.col("total"), gamma)).groupBy("part").agg(F.min_by(F.struct("src", one_held.alias("held"), one_cut.alias("cut")), F.struct("order", "src")).alias("lone"))
+    base = drawn.groupBy("part").agg(*[F.first(c).alias(c) for c in ("held", "cut", "total")])
+    told = base.join(came, "part", "left").join(among, "part", "left").join(lone, "part", "left")
+    held, cut = F.col("held") + F.col("more"), F.col("cut") + F.col("change") - F.coalesce("among", F.lit(0.0))
+    whole = (F.col("n") > 1) & well_connected(cut, held, F.col("total"), gamma)
+    pick = lambda a, b: F.when(whole, a).otherwise(b)
+    out = told.select("part", pick(held, F.col("lone.held")).alias("held"), pick(cut, F.col("lone.cut")).alias("cut"), pick(F.col("n"), F.lit(1)).cast("long").alias("n"), F.col("lone.src").alias("first"), (whole | F.col("lone").isNotNull()).alias("some"))
+    return out.filter("some").drop("some")
+
+
+def contracted(network: Network, parts: DataFrame) -> Network:
+    """Parts (node, part) as nodes of their own numbers, written; edges between two parts are summed, those inside left out."""
+    held = network.nodes.join(parts, F.col("id") == F.col("node")).groupBy("part").agg(F.sum("weight").alias("weight"))
+    sums = clustered_edges(network.adj, parts.select("node", F.col("part").alias("cluster"))).filter("c1 <> c2").groupBy(F.col("c1").alias("src"), F.col("c2").alias("dst")).agg(F.sum("weight").alias("weight"))
+    nodes = held.select(F.col("part").alias("id"), F.col("part").cast("string").alias("label"), "weight")
+    return Network(materialize(nodes), materialize(sums), None, network.use_modularity, 0.0)
 
 
 def connected_pieces(network: Network, rows: DataFrame) -> DataFrame:
@@ -56,47 +194,55 @@ def connected_pieces(network: Network, rows: DataFrame) -> DataFrame:
     return connected_components(network.nodes.select("id"), inner).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
 
 
-def polished(network: Network, rows: DataFrame, gamma: float, seed: int, steps: int = 12, least: float = 1e-4) -> DataFrame:
-    """rows (node, cluster) after more moves of single nodes, with connected clusters and no worse a quality.
+@dataclass
+class Level:
+    """A network, the group of each of its nodes, its rows after moving, and the part of each node that is a node of the next level."""
 
-    In each step a share of the nodes that gain go to their best clusters at once; the step counts if the quality of the whole rises, else the next
-    takes a quarter of the share. It ends after ``steps``, or when a step gains less than the part ``least``, or a share of 1/256 does no good."""
-    best, share = score(network, rows, gamma), 0.5
-    for step in range(steps):
-        gains = move_gains(network.nodes, network.adj, rows, gamma)
-        now = gains.filter("stay").select("node", F.col("gain").alias("here"))
-        moves = best_moves(gains).filter("not stay").join(now, "node").filter(F.col("gain") - F.col("here") > 1e-12)
-        some = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node"), F.lit(1 << 20)) < int(share * (1 << 20))
-        new = materialize(Clustering(rows).update(moves.filter(some).select("node", "cluster")).rows)
-        found = score(network, new, gamma)
-        if found <= best:
-            drop(new)
-            share /= 4
-            if share < 1 / 256:
-                break
-            continue
-        rows, gained, best = new, found - best, found
-        if gained < least * abs(best):
-            break
-    return materialize(connected_pieces(network, rows))
+    network: Network
+    owner: DataFrame
+    rows: DataFrame
+    parts: DataFrame | None = None
 
 
-def shrunk(network: Network, gamma: float, seed: int, most_rows: int, start: DataFrame | None = None, depth: int = 30) -> tuple[Network, DataFrame]:
-    """(network of at most most_rows adjacency rows where that can be reached, (node, part) of the nodes in it), from single nodes or rows (node,
-    cluster). Parts are connected: clusters are split into their components before contraction."""
-    maps = network.nodes.select(F.col("id").alias("node"), F.col("id").alias("part"))
-    rows = network.adj.count()
-    for level in range(depth):
-        if rows <= most_rows:
-            break
-        parts = connected_pieces(network, moved_locally(network, gamma, seed + level, start if level == 0 else None))
-        parts = Clustering(materialize(Clustering(parts).compacted().rows))
-        small = induced_network(network, parts)
-        small = Network(materialize(small.nodes), materialize(small.adj), None, network.use_modularity, 0.0)
-        maps = materialize(maps.join(parts.rows.select(F.col("node").alias("part"), "cluster"), "part").select("node", F.col("cluster").alias("part")))
-        left = small.adj.count()
-        network = small
-        if left > 0.95 * rows:
+def _rows_of(network: Network, owner: DataFrame) -> DataFrame:
+    """(grp, n): adjacency rows of each group."""
+    return network.adj.join(owner.select(F.col("node").alias("src"), "grp"), "src").groupBy("grp").agg(F.count("*").alias("n"))
+
+
+def shrunk(network: Network, owner: DataFrame, gamma: float, seed: int, most_rows: int, start: DataFrame | None = None, randomness: float = 0.001, depth: int = DEPTH) -> tuple[list[Level], DataFrame]:
+    """(levels from the network down, (grp) that is still too large) of a network whose groups, owner (node, grp), share no edge.
+
+    Groups of more than ``most_rows`` adjacency rows are moved, refined and contracted, from single nodes or rows (node, cluster); those within it
+    stay as they are from then on. A group is too large at the end where contraction comes to a halt before."""
+    rows = materialize(Clustering.self_clusters(network.nodes).rows if start is None else start.select("node", "cluster"))
+    levels, before = [Level(network, owner, rows)], None
+    for k in range(depth):
+        level = levels[-1]
+        sizes = _rows_of(level.network, level.owner).filter(F.col("n") > most_rows)
+        now = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+        if not now["k"] or (before is not None and now["n"] > (1 - LEAST_SHRUNK) * before):
             break
-        rows = left
-    return network, maps
+        before = now["n"]
+        open_ = materialize(level.owner.join(sizes.select("grp"), "grp", "left_semi").select("node", "grp"))
+        level.rows = moved_locally(level.network, gamma, seed + k, level.rows, open_.select("node")).rows
+        ends = open_.select(F.col("node").alias("src"))
+        part_of = Network(level.network.nodes.join(open_.select(F.col("node").alias("id")), "id", "left_semi"), level.network.adj.join(ends, "src", "left_semi"), None, network.use_modularity)
+        fine = refined(part_of, level.rows.join(open_, "node", "left_semi"), gamma, seed + k, randomness)
+        rest = level.rows.join(fine, "node", "left_anti").select("node", F.col("node").alias("part"))
+        level.parts = materialize(fine.union(rest))
+        small = contracted(level.network, level.parts)
+        names = level.parts.filter("node = part").select("part")
+        on = lambda df: materialize(df.join(names.withColumnRenamed("part", "node"), "node", "left_semi"))
+        levels.append(Level(small, on(level.owner.select("node", "grp")), on(level.rows.select("node", "cluster"))))
+    last = levels[-1]
+    return levels, materialize(_rows_of(last.network, last.owner).filter(F.col("n") > most_rows).select("grp"))
+
+
+def unrolled(levels: list[Level], rows: DataFrame, gamma: float, seed: int) -> DataFrame:
+    """(node, cluster) of the first level from rows of the last: projected level by level, and moved on at each."""
+    for k in reversed(range(len(levels))):
+        level = levels[k]
+        if level.parts is not None:
+            rows = level.parts.join(rows.select(F.col("node").alias("part"), "cluster"), "part").select("node", "cluster")
+            rows = moved_locally(level.network, gamma, seed + DEPTH + k, rows, None, STEPS_UP).rows
+    return rows

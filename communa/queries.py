@@ -481,19 +481,19 @@ def invariants(network: Network, found: Clustering, resolution: float) -> DataFr
 
 @query(CS + _INVARIANTS)
 def leiden_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "cust_supp").cache()
+    n = net(spark, sf_dir, "cust_supp").kept()
     return invariants(n, leiden_clustering(n, seed=5)[1], 1.0)
 
 
 @query(prelude("user_type") + _INVARIANTS)
 def leiden_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "user_type", False).cache()
+    n = net(spark, sf_dir, "user_type", False).kept()
     return invariants(n, leiden_clustering(n, resolution=0.5, seed=5)[1], 0.5)
 
 
 @query(prelude("user_type") + " select true as at_least_one_trial, (select count(*) from nodes) as n_nodes")
 def leiden_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "user_type").cache()
+    n = net(spark, sf_dir, "user_type").kept()
     many, one = (scoring.quality_rows(n, leiden_clustering(n, seed=3, trials=t)[1]) for t in (6, 1))
     both = many.crossJoin(one.withColumnRenamed("quality", "one"))  # of one row each
     return both.select((F.col("quality") >= F.col("one") - 1e-12).alias("at_least_one_trial"), F.lit(n.nodes.count()).cast("long").alias("n_nodes"))
@@ -501,7 +501,7 @@ def leiden_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(REGION + " select (select count(*) from nodes) as n_nodes, true as all_covered, true as start_kept_or_better")
 def leiden_from_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "nation_trade").cache()
+    n = net(spark, sf_dir, "nation_trade").kept()
     start = partitions.starting_communities(n.nodes, regions(spark, sf_dir))
     found = leiden_clustering(n, start, seed=2)[1]
     both = scoring.quality_rows(n, found).crossJoin(scoring.quality_rows(n, start).withColumnRenamed("quality", "before"))  # of one row each
@@ -528,8 +528,8 @@ def hierarchical_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(prelude("supp_part") + " select (select count(*) from nodes) as n_nodes, true as level0_covers, true as one_final_each, true as children_inside_parents")
 def hierarchical_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = net(spark, sf_dir, "supp_part").cache()
-    rows = hierarchical_clustering(n, max_cluster_size=100, seed=6).cache()
+    n = net(spark, sf_dir, "supp_part").kept()
+    rows = materialize(hierarchical_clustering(n, max_cluster_size=100, seed=6))
     base = rows.agg(F.count(F.when(F.col("level") == 0, 1)).alias("n0"), F.sum(F.col("is_final_cluster").cast("int")).alias("finals"), F.countDistinct("node").alias("nodes"))
     above = rows.select(F.col("node").alias("n2"), F.col("cluster").alias("c2"), (F.col("level") + 1).alias("l2"))
     lost = rows.filter("level > 0").join(above, (F.col("node") == F.col("n2")) & (F.col("parent_cluster") == F.col("c2")) & (F.col("level") == F.col("l2")), "left_anti").agg(F.count("*").alias("lost"))
@@ -573,10 +573,24 @@ def bounds_checked_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "label", F.col("label").isNotNull().alias("inside"))
 
 
-@query("select cast(0 as bigint) as num_nodes, cast(0 as bigint) as next_cluster_id, cast(0 as bigint) as num_clusters")
+@query(
+    CSC + """, gone as (select * from c where cluster < 0) select count(*) as num_nodes, coalesce(max(cluster) + 1, 0) as next_cluster_id, count(distinct cluster) as num_clusters, count(*) as compacted, count(*) as composed,
+    count(*) as refined, count(*) as updated, count(*) as members, count(*) as split from gone"""
+)
 def empty_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Clustering.empty(spark)
-    return c.rows.agg(F.count("*").alias("num_nodes"), F.lit(c.next_cluster_id()).cast("long").alias("next_cluster_id"), F.lit(c.sizes().count()).cast("long").alias("num_clusters"))
+    """The nodes of no cluster of a partition, through the algebra of partitions."""
+    n = net(spark, sf_dir, "cust_supp")
+    whole = by_digit(n)
+    c = Clustering(whole.rows.filter("cluster < 0"))
+    found = {
+        "num_clusters": c.sizes(), "compacted": c.compacted().rows, "composed": c.composed(whole).rows, "refined": c.refined(whole.rows.select("node", F.col("cluster").alias("part"))).rows,
+        "updated": c.update(whole.rows).rows, "members": c.members(), "split": partitions.sanity_split(n.adj, c).rows,
+    }
+    counts = [df.agg(F.count("*").alias(name)) for name, df in found.items()]
+    out = c.rows.agg(F.count("*").alias("num_nodes"), F.lit(c.next_cluster_id()).cast("long").alias("next_cluster_id"))
+    for one in counts:
+        out = out.crossJoin(one)  # of one row each
+    return out
 
 
 @query(CSC + " select node, cluster, cast(40 as bigint) as next_cluster_id from c")
