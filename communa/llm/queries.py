@@ -41,7 +41,8 @@ _REPEATS = r"""with d as (select row_number() over () as rid, doc_id, hex(encode
 
 _NEIGHBOURS = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null and embedding is not null),
     sound as (select * from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
-    scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) as score from sound q join sound c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+    asked as (select vec_id, min(e) as e from sound where vec_id % 20 = 0 group by 1),
+    scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) as score from asked q join sound c on q.vec_id <> c.vec_id),
     ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
     select * from ranked where rank <= 20"""
 

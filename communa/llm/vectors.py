@@ -139,7 +139,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K)
     vec_id left out; ties go to the smaller vec_id. ``queries`` has the same columns; without it every row is a query.
 
     Rows with a null vec_id, and vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-    another length than most (the longer, on a tie). Rows that repeat a vec_id count once each. Fewer than k candidates are all
+    another length than most (the longer, on a tie). Candidates that repeat a vec_id count once each; of queries that do, the least vector is asked, once. Fewer than k candidates are all
     returned, equal vectors like any others; an empty table gives none. Vectors of any length are taken whole. Other columns are left out.
     """
     spark = vectors.sparkSession
@@ -153,6 +153,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K)
     sample = rows.filter(share).dropDuplicates(["vec_id"]).limit(2 * SAMPLE_ROWS).collect() or [rows.first()]
     shared = spark.sparkContext.broadcast(codebook(np.array([r["embedding"] for r in sample])))
     asked = rows if queries is None else sound(queries).filter(F.size("embedding") == d)
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a query for each id
     blocks = -(-n // BLOCK_ROWS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 import pytest
 
-from communa.llm import vectors
+from communa.llm import queries, vectors
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,3 +86,20 @@ def test_estimates_from_packed_bits(d):
     signs = np.unpackbits(bits, axis=1, count=d) * 2.0 - 1
     want = signs @ rounded * length / fit / np.sqrt(d)
     assert np.allclose(vectors.Block(np.arange(50), x, bits, length, fit).estimates(turned), want)
+
+
+def test_a_query_whose_id_repeats_is_asked_once(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(60)]
+    rows += [rows[20], rows[20], (40, rows[7][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    (tmp_path / "embeddings").mkdir()
+    found = vectors.op7_vectors(spark, str(tmp_path)).collect()
+    for q in (0, 20, 40):
+        own = sorted((r["rank"], r.vec_id) for r in found if r.query_id == q)
+        assert [k for k, _ in own] == list(range(1, 21)) and q not in {v for _, v in own}
+        assert len({v for _, v in own}) >= 18  # but for candidates that repeat
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(a, b, c) for a, b, c, _ in con.sql(queries.oracle_sql()["op7_vectors"]).fetchall()}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == want and len(found) == 60
