@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from communa.errors import InternalNetworkIndexingError
 from communa.operators.ordering import number_rows
-from communa.storage import materialize
+from communa.storage import drop, materialize
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) with each row in both directions."""
-    return edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(ways).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def ordered_edges(edges: DataFrame) -> DataFrame:
@@ -52,6 +53,8 @@ class Network:
     loops: DataFrame | None = None
     use_modularity: bool = True
     _self_links: float | None = field(default=None, repr=False)
+    #: What nodes, adj and loops were derived from: (id, label) and (src, dst, weight), each pair once.
+    _origin: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False)
 
     @classmethod
     def from_edges(cls, edges: DataFrame, use_modularity: bool = True, dedupe: str = "first") -> Network:
@@ -59,8 +62,13 @@ class Network:
         edges = ordered_edges(edges)
         labels = dictionary(edges)
         pairs = deduplicated(encoded(edges, labels), dedupe)
+        return cls._of(labels, pairs, use_modularity)
+
+    @classmethod
+    def _of(cls, labels: DataFrame, pairs: DataFrame, use_modularity: bool) -> Network:
         adj = symmetrized(pairs.filter("src <> dst"))
-        return cls(cls.weighted(labels, adj, use_modularity), adj, pairs.filter("src = dst").select("src", "weight"), use_modularity)
+        loops = pairs.filter("src = dst").select("src", "weight")
+        return cls(cls.weighted(labels, adj, use_modularity), adj, loops, use_modularity, _origin=(labels, pairs))
 
     @staticmethod
     def weighted(labels: DataFrame, adj: DataFrame, use_modularity: bool) -> DataFrame:
@@ -90,6 +98,16 @@ class Network:
 
     def kept(self) -> Network:
         """Nodes, adjacency and loops as written tables, for the many passes of an optimisation: a lost executor costs none of them."""
+        if self._origin is not None:  # the joins and the grouping behind all three are run once
+            labels, pairs = self._origin
+            self._origin = None
+            pairs = materialize(pairs)
+            fresh = Network._of(labels, pairs, self.use_modularity)
+            self.adj = materialize(fresh.adj)
+            self.nodes = materialize(self.weighted(labels, self.adj, self.use_modularity))
+            self.loops = materialize(fresh.loops)
+            drop(pairs)
+            return self
         self.adj = materialize(self.adj)
         self.nodes = materialize(self.nodes)
         self.loops = None if self.loops is None else materialize(self.loops)
