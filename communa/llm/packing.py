@@ -31,6 +31,10 @@ SALT = 256
 #: Steps of the search for fillings around one document; of the search over whole packings, at least and for each length; and numbers that the
 #: pricing of fillings may touch. What is left when they run out is packed by best fit: these bound the driver's time, not what is packed.
 FILL_STEPS, SEARCH_STEPS, STEPS_EACH, PRICING = 300, 4000, 10, 4_000_000_000
+#: Steps in which the search over whole packings neither gets deeper than before nor finds a better one, after which it ends.
+IDLE_STEPS = 1000
+#: Prices are asked for only where best fit may be over the lower bound by more than one in so many bins: what rounding loses is more than that.
+WORTH_PRICING = 1000
 #: Pre-tokens that a worker remembers, and the longest that it does.
 REMEMBERED, LONG = 1_500_000, 64
 #: Words of letters that one call to the tokenizer takes.
@@ -292,13 +296,13 @@ def rounded(fractional: list[tuple[Pattern, float]], counts: dict[int, int], cap
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Bin completion over a histogram: (lengths of a bin in falling order, number of such bins).
 
-    The incumbent is best-fit decreasing; where that misses the lower bound, fillings of the greatest price around each length, rounded, with
-    best fit for what they leave; and where that misses it too, the search for better completions goes over the whole histogram.
+    The incumbent is best-fit decreasing; where that misses the lower bound by more than one bin in WORTH_PRICING, fillings of the greatest price around each
+    length, rounded, with best fit for what they leave; and where the bound is still missed, the search for better completions goes over the whole histogram.
     """
     counts = {n: c for n, c in counts.items() if c}
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     bins = lambda packing: sum(c for _, c in packing)
-    if bins(best) > bound:
+    if (bins(best) - bound) * WORTH_PRICING > bound:
         fractional, other = priced(counts, capacity)
         bound = max(bound, other)
         best = min(best, rounded(fractional, counts, capacity), key=bins)
@@ -315,8 +319,8 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]
     """Branch and bound from the incumbent ``best``, or best-fit decreasing.
 
     The largest length left is completed by each undominated filling in turn, for as many bins as the counts allow
-    and then for one; a branch whose waste leaves no hope of fewer bins than the incumbent is cut. The search ends at the lower bound or
-    after SEARCH_STEPS and STEPS_EACH for each length.
+    and then for one; a branch whose waste leaves no hope of fewer bins than the incumbent is cut. The search ends at the lower bound,
+    after SEARCH_STEPS and STEPS_EACH for each length, or after IDLE_STEPS that lead nowhere new.
     """
     best = best_fit(counts, capacity) if best is None else best
     best_bins, bound = sum(c for _, c in best), max(bound, lower_bound(counts, capacity) if counts else 0)
@@ -341,7 +345,8 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]
             left[n] -= number
 
     stack = [choices()] if counts else []
-    while stack and best_bins > bound and steps < most:
+    deepest = reached = 0  # the longest path so far, and the step that it or a better packing came with
+    while stack and best_bins > bound and steps < most and steps - reached <= IDLE_STEPS:
         steps += 1
         step = next(stack[-1], None)
         if step is None:
@@ -359,11 +364,13 @@ def search(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]
         path.append((pattern, number))
         waste += number * lost
         items -= number * len(pattern)
+        if len(path) > deepest:
+            deepest, reached = len(path), steps
         if items:
             stack.append(choices())
             continue
         if (bins := sum(c for _, c in path)) < best_bins:
-            best, best_bins = list(path), bins
+            best, best_bins, reached = list(path), bins, steps
         path.pop()
         apply(pattern, -number)
         items += number * len(pattern)

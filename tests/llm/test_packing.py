@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -70,6 +71,23 @@ def test_plan_where_best_fit_wastes(low, high, number, most):
     assert bound <= bins <= most < plain
 
 
+def test_many_lengths_are_planned_soon():
+    """Log-normal lengths, where best fit is next to the bound: the search gains what it can in one descent and ends."""
+    counts = Counter(np.clip(np.random.default_rng(1).lognormal(6.3, 0.9, 100000).astype(int), 1, 2048).tolist())
+    begun = time.monotonic()
+    got = packing.plan(counts)
+    took = time.monotonic() - begun
+    have = Counter()
+    for p, c in got:
+        assert sum(p) <= 2048
+        for n in p:
+            have[n] += c
+    assert have == counts
+    bins, plain, bound = sum(c for _, c in got), sum(c for _, c in packing.best_fit(counts, 2048)), packing.lower_bound(counts, 2048)
+    print("bins", bins, "best fit", plain, "bound", bound, "seconds", took)
+    assert bound <= bins <= bound + 2 < plain and took < 20
+
+
 def test_priced_bound_holds():
     rng = random.Random(4)
     for _ in range(40):
