@@ -13,6 +13,7 @@ from communa.operators.network import Network
 from communa.operators.scoring import quality
 from communa.plans.engine import leiden_clustering
 from communa.sources.edges import read_edge_file, write_partition
+from communa.storage import owned
 
 
 class _Parser(argparse.ArgumentParser):
@@ -37,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+@owned
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         a = parser().parse_args(argv)

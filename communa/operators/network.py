@@ -113,11 +113,6 @@ class Network:
         self.loops = None if self.loops is None else materialize(self.loops)
         return self
 
-    def cache(self) -> Network:
-        """Keep nodes and adjacency for the many passes of an optimisation."""
-        self.nodes, self.adj = self.nodes.cache(), self.adj.cache()
-        return self
-
     def sorted_adjacency(self) -> DataFrame:
         """adj dealt by src and sorted by (src, dst) in each partition."""
         return self.adj.repartition("src").sortWithinPartitions("src", "dst")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from communa.operators.partition import Clustering
 from communa.plans.engine import leiden_clustering
 from communa.plans.hierarchy import final_flags, hierarchical_clustering
 from communa.sources import edges as sources
-from communa.storage import materialize, remove, shared_dir
+from communa.storage import materialize, owned, remove, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +28,7 @@ GAMMA = 0.0009765625
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = owned(f)
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -37,11 +36,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/communa-{uuid.uuid4().hex}"
-
-
 def net(spark: SparkSession, sf_dir: str, name: str, use_modularity: bool = True) -> Network:
     return Network.from_edges(graph(spark, sf_dir, name), use_modularity)
 
