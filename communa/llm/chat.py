@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from communa.llm.common import small_batches, table
 from communa.operators.ordering import number_rows
-from communa.storage import materialize
+from communa.storage import materialize, owned
 
 ROLES = ("system", "user", "assistant")
 #: Words that mark a speaker.
@@ -288,6 +288,7 @@ def _known(spans: DataFrame, bundle: int) -> DataFrame:
     return bundles.join(outer, ["conv_id", "bundle"]).select("conv_id", "spans", "start", "last", "blank").mapInArrow(join, _KNOWN)
 
 
+@owned
 def format_conversations(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS, bundle: int = BUNDLE) -> DataFrame:
     """(conv_id, turn, text lines of a transcript, truth states or null) -> (conv_id, chunk, part, n_lines, n_turns, n_right, roles, rendered).
 

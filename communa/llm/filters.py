@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import release_memory, small_batches, table
-from communa.storage import materialize
+from communa.storage import hold, materialize
 
 FILTERS = "ABCDE"
 #: Words that a text has at least, percents of distinct words and of capitals, and characters that fail it.
@@ -151,7 +151,7 @@ def mask_vectors(docs: DataFrame, labels: DataFrame) -> RDD:
     """(part, count vector): for each mask the documents, those that a label calls good, and those that one calls toxic."""
     text, part = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang"))
     small_batches(docs.sparkSession)
-    held = materialize(docs.select(F.col("doc_id").cast("long"), text, part).mapInArrow(_written, "key long, raw binary, doc_id long, part string, mask int, n long"))
+    held = hold(materialize(docs.select(F.col("doc_id").cast("long"), text, part).mapInArrow(_written, "key long, raw binary, doc_id long, part string, mask int, n long")))
     rows = held.rdd.map(lambda r: (r.key, (None if r.raw is None else bytes(r.raw), r.doc_id, {(r.part, r.mask): r.n})))
     parts = max(SPREAD * rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     masks = rows.partitionBy(parts, lambda key: key % parts).mapPartitions(settled).mapValues(lambda held: (False, False, held))

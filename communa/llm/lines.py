@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import batch_rows, map_batches, release_memory, small_batches, table, whole_row
-from communa.storage import drop, materialize
+from communa.storage import drop, materialize, owned
 
 THRESHOLD = Fraction(4, 5)
 #: Words of a token, where a caller names no other number.
@@ -412,6 +412,7 @@ def _settled(docs: DataFrame, sets: DataFrame, keys: _Keys, open_: DataFrame, cr
         before = now
 
 
+@owned
 def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None) -> DataFrame:
     """(rid, rid2, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
     crowd = crowd or CROWD

@@ -21,7 +21,7 @@ from communa.llm.common import small_batches, table
 from communa.llm.vectors import sound
 from communa.operators.components import component_edges
 from communa.operators.ordering import number_rows
-from communa.storage import materialize
+from communa.storage import materialize, owned
 
 THRESHOLD = 0.9
 #: Bound of the sample whose principal axes are taken; they decide on speed alone.
@@ -160,6 +160,7 @@ def links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     return pairs.groupBy("a", "z").applyInArrow(run, "cls long, links long, low long")
 
 
+@owned
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept), a row for each row: the other rows that its cosine with is ``threshold`` or
     more, the least vec_id reachable by such links, and whether that is its own.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from communa.llm.common import release_memory, small_batches, table
-from communa.storage import drop, materialize
+from communa.storage import drop, materialize, owned
 
 LEAST, DEPTH, TOP = 100, 5, 2000
 #: Words of one automaton, and bytes of a text that are split at once.
@@ -246,6 +246,7 @@ def longest(candidates: DataFrame) -> DataFrame:
     return candidates.join(inner, ["lang", "phrase"], "left").filter("most is null or 100 * most < 100 * a").drop("most")
 
 
+@owned
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP) -> DataFrame:
     """(text, lang, ...) -> (lang, rank, phrase, a, l, r, n, score): of each lang the ``top`` phrases of 2 to ``depth`` words that occur ``least`` times
     or more, by score, then number, then phrase.

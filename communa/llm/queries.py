@@ -19,10 +19,11 @@ from communa.llm.repeats import op2_repeats
 from communa.llm.secrets import op5_secrets
 from communa.llm.simhash import op1_simhash
 from communa.llm.vectors import op7_vectors
+from communa.storage import owned
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op7_vectors, op8_media, op9_lines, op10_chat, op11_filters, op12_embeddings, op13_phrases)}
+    return {f.__name__: owned(f) for f in (op1_simhash, op2_repeats, op3_langid, op4_bpe, op5_secrets, op6_packing, op7_vectors, op8_media, op9_lines, op10_chat, op11_filters, op12_embeddings, op13_phrases)}
 
 
 #: Windows of 400 bytes as hexadecimal digits; of the characters that a cut goes through, what stays of them is taken off each piece.

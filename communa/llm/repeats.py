@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from communa.llm.common import map_batches, release_memory, small_batches, table
-from communa.storage import drop, materialize
+from communa.storage import drop, materialize, owned
 
 LENGTH = 400
 ANCHOR = 128
@@ -336,6 +336,7 @@ def kept(text: bytes, ranges: list[dict], length: int) -> tuple[list[bytes], lis
     return left, cut
 
 
+@owned
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, kept binary, n_bytes, n_removed, n_spans, text string, spans array<(start, end)>), a row per input row; spans are
     the maximal removed runs, in bytes of the old text, end exclusive. text is what is left, without the characters that a cut goes through.

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from communa.llm.common import BATCH_ROWS, batch_rows, map_batches, table, whole_row
 from communa.operators.components import component_edges
-from communa.storage import drop, materialize
+from communa.storage import drop, materialize, owned
 
 SEED = 42
 MAX_BITS = 3
@@ -150,6 +150,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket
     return out
 
 
+@owned
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, fp long, component_id long), a row per input row.
 
@@ -166,6 +167,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX
     return fps.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+@owned
 def one_of_each(docs: DataFrame, shingle_words: int = 5, max_bits: int = MAX_BITS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that have the least doc_id of their group of near-duplicates; of rows that repeat doc_id
     and text one stays, and so does one of each text without doc_id in a group that has none."""
