@@ -122,15 +122,20 @@ def sanity_split(adj: DataFrame, clustering: Clustering) -> Clustering:
     return clustering.update(moved)
 
 
-def starting_communities(nodes: DataFrame, communities: DataFrame) -> Clustering:
-    """nodes(id, label) and communities(node label, cluster) -> partition: nodes without a community are alone, labels that the network
-    doesn't have are ignored, and clusters are renumbered from 0 in their order. Rows that repeat count once; a label in two clusters, a
-    null cluster and one below 0 raise InvalidCommunityMappingError."""
+def checked_communities(communities: DataFrame) -> DataFrame:
+    """(node label, cluster, ...), each label once; raises InvalidCommunityMappingError as :func:`starting_communities` says."""
     number = F.col("cluster").cast("long")
     once = communities.groupBy("node").agg(F.min(number).alias("cluster"), F.max(number).alias("most"), F.count(F.when(number.isNull(), 1)).alias("nulls"))
     if wrong := once.filter("cluster <> most or cluster < 0 or nulls > 0").first():
         raise InvalidCommunityMappingError(f"{wrong['node']!r} is in cluster {wrong['cluster']}, and in {wrong['most']}" if wrong["cluster"] != wrong["most"] else f"{wrong['node']!r} is in cluster {wrong['cluster']}")
-    communities = once
+    return once
+
+
+def starting_communities(nodes: DataFrame, communities: DataFrame) -> Clustering:
+    """nodes(id, label) and communities(node label, cluster) -> partition: nodes without a community are alone, labels that the network
+    doesn't have are ignored, and clusters are renumbered from 0 in their order. Rows that repeat count once; a label in two clusters, a
+    null cluster and one below 0 raise InvalidCommunityMappingError."""
+    communities = checked_communities(communities)
     given = communities.select(F.col("node").alias("label"), F.col("cluster").cast("long").alias("_given"))
     top = communities.agg(F.coalesce(F.max("cluster") + 1, F.lit(0)).cast("long").alias("_top"))
     rows = nodes.select("id", "label").join(given, "label", "left").crossJoin(F.broadcast(top))  # of one row

@@ -13,7 +13,7 @@ from communa.operators.transforms import clustered_edges
 DEFAULT_RESOLUTION = 1.0
 
 
-def _nan_divide(a: Column, b: Column) -> Column:
+def nan_divide(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.when(a == 0, F.lit(float("nan"))).otherwise(a * float("inf")))
 
 
@@ -21,7 +21,7 @@ def adjusted_resolution_rows(network: Network, resolution: float | None = None)
     """One row (adjusted_resolution): resolution over twice the weight of edges and self-links, or resolution itself for CPM."""
     gamma = DEFAULT_RESOLUTION if resolution is None else float(resolution)
     total = 2 * (F.col("total_edge_weight") + F.col("total_self_links_edge_weight"))
-    value = _nan_divide(F.lit(gamma), total) if network.use_modularity else F.lit(gamma)
+    value = nan_divide(F.lit(gamma), total) if network.use_modularity else F.lit(gamma)
     return network.summary().select(value.cast("double").alias("adjusted_resolution"))
 
 
@@ -39,7 +39,7 @@ def quality_rows(network: Network, clustering: Clustering, resolution: float | N
     gamma = adjusted_resolution_rows(network, resolution)
     whole = network.summary().select((2 * F.col("total_edge_weight") + F.col("total_self_links_edge_weight")).alias("whole"))
     one = inside.crossJoin(weights).crossJoin(gamma).crossJoin(whole)  # of one row each
-    return one.select(_nan_divide(F.col("inside") - F.col("adjusted_resolution") * F.col("squares"), F.col("whole")).alias("quality"))
+    return one.select(nan_divide(F.col("inside") - F.col("adjusted_resolution") * F.col("squares"), F.col("whole")).alias("quality"))
 
 
 def quality(network: Network, clustering: Clustering, resolution: float | None = None) -> float:

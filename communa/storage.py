@@ -77,7 +77,7 @@ def drop(df: DataFrame) -> None:
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Take a written table out of the scope that is open: what reads it is an RDD, which no plan of a result shows."""
+    """Take a written table out of the scope that is open: what reads it is an RDD or a stream, which no plan of a result shows."""
     path = getattr(df, "_communa_path", None)
     if path and (mine := _SCOPE.get()) is not None:
         mine.pop(path[-_NAME:], None)
