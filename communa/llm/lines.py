@@ -389,6 +389,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, threshold: Fra
     return found
 
 
+def _known(docs: DataFrame, told: DataFrame, sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
+    """(sid), written: sets of told documents that verify against that of the earlier one they are told with."""
+    x, y = sets.select(F.col("sid").alias("x"), F.col("first.doc").alias("doc")), sets.select(F.col("sid").alias("y"), F.col("first.doc").alias("earlier"))
+    pairs = materialize(told.filter("earlier < doc").select("doc", "earlier").distinct().join(x, "doc").join(y, "earlier").select("x", "y"))
+    found = _verified(docs, pairs, sets, threshold, shingle)
+    drop(pairs)
+    return found
+
+
 def _small(side: DataFrame, join: Callable, on: str, how: str = "inner") -> DataFrame:
     """Join with a written table of few columns, broadcast if its counted rows are few."""
     return join(F.broadcast(side) if side.count() <= _FEW else side, on, how)
@@ -413,8 +422,11 @@ def _settled(docs: DataFrame, sets: DataFrame, keys: _Keys, open_: DataFrame, cr
 
 
 @owned
-def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None) -> DataFrame:
-    """(rid, rid2, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one."""
+def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int = SHINGLE, least: int = LEAST_WORDS, buckets: int | None = None, crowd: int | None = None, told: DataFrame | None = None) -> DataFrame:
+    """(rid, rid2, kept array<int>): numbers of the lines that are the earliest of their set and match no earlier one.
+
+    ``told`` (doc, earlier) names documents that another method takes for alike, for documents of one line each: their sets are verified first, and
+    those that match are not asked for in the join, which finds the others."""
     crowd = crowd or CROWD
     found = line_sets(docs, rarity(docs, buckets, shingle, least), threshold, shingle, least, crowd)
     numbered = found.withColumn("sid", F.monotonically_increasing_id())  # numbers hold once they are written
@@ -422,8 +434,12 @@ def kept_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, shingle: int =
     keys = _Keys(sets, threshold, crowd)
     rows, split = keys.rows(sets), keys.split
     both = _own_part(rows).withColumn("asked", F.lit(True)).withColumn("held", F.lit(True))
-    pairs = _candidates(both, threshold, LEADERS)
+    known = None if told is None else _known(docs, told, sets, threshold, shingle)
+    if known is not None:
+        both = _small(known.withColumn("asked", F.lit(False)), both.drop("asked").join, "sid", "left").withColumn("asked", F.coalesce("asked", F.lit(True)))
+    pairs = _candidates(both.select(*_ROW, "asked", "held"), threshold, LEADERS)
     gone = _verified(docs, pairs, sets, threshold, shingle)
+    gone = gone if known is None else gone.union(known).distinct()
     # sets that stand although a pair that was not looked at, under the key that told of more, may remove them
     open_ = pairs.filter("more is not null").select(F.col("x").alias("sid"), F.col("more").alias("key")).distinct()
     if split:

@@ -77,3 +77,19 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
     assert corpus_pipeline.dedup_documents(spark, no_docs, "").collect() == []
     got = corpus_pipeline.dedup_documents(spark, odd_docs, "").collect()
     assert sorted(r.doc_id for r in got) == [0, 3, 6, 7, 9, 12, 13, 14]
+
+
+def test_simhash_links_are_checked_and_settle_first(spark, monkeypatch):
+    """Documents that SimHash links and an exact check confirms are not asked for in the join; linked ones that don't match stay."""
+    from communa.llm import lines
+
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(400)}" for _ in range(400))
+    rows = [(1, text), (2, text.replace(" ", "  ") + " end"), (3, " ".join(f"w{rng.randrange(400)}" for _ in range(400)))]
+    asked, known = [], []
+    candidates, settled = lines._candidates, lines._known
+    monkeypatch.setattr(lines, "_candidates", lambda rows, *a: (asked.append(rows.filter("asked").select("sid").distinct().count()), candidates(rows, *a))[1])
+    monkeypatch.setattr(lines, "_known", lambda docs, told, *a: (known.append({tuple(r) for r in told.collect()}), settled(docs, told.union(spark.createDataFrame([(3, 1)], "doc long, earlier long")), *a))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, "").collect()) == [1, 3]
+    assert known == [{(2, 1)}] and asked[0] == 2
