@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from communa.llm.common import small_batches, table
+from communa.llm.common import release_memory, small_batches, table
 from communa.storage import materialize
 
 CAPACITY = 2048
@@ -36,7 +36,7 @@ IDLE_STEPS = 1000
 #: Prices are asked for only where best fit may be over the lower bound by more than one in so many bins: what rounding loses is more than that.
 WORTH_PRICING = 1000
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, LONG = 1_500_000, 64
+REMEMBERED, LONG = 700_000, 64
 #: Words of letters that one call to the tokenizer takes.
 _JOINED = 500
 #: Words whose letters fold alike everywhere, and such words as letters and a tail of punctuation.
@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[3]) for r in rows], pa.int64()),
             ]
             yield pa.record_batch(columns + [pa.array([r[3] for r in rows], pa.binary())] * with_ids, [x.split()[0] for x in fields.split(", ")])
+        release_memory()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, fields)
