@@ -35,8 +35,10 @@ LEAST_WORDS = 3
 #: The same for op9_lines and the pipeline: every line with a word takes part.
 ANY_WORDS = 1
 #: Hashed counters of the rarity table, least and most: as many as there are documents, in powers of two. A byte each on the driver and on each
-#: worker, a row each that a task sends where it is used.
+#: worker, eight bytes that a task sends where it is used.
 BUCKETS = 1 << 17, 1 << 20
+#: Counters that a task sends in one row.
+_BLOCK = 1 << 12
 #: Earlier sets that each set is first checked against.
 LEADERS = 2
 #: Sets under one key that one task scans: more are met under two tokens each, and what is still crowded is dealt into parts of about so many.
@@ -138,18 +140,25 @@ def rarity(docs: DataFrame, buckets: int | None = None, shingle: int = SHINGLE,
         for batch in batches:
             for _, _, size, words in maker.lines(batch.column(0).to_pylist()):
                 total += np.bincount((maker.hashes(size, words)[1] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.record_batch([pa.array(part), pa.array(total[part])], ["b", "n"])
+        for at in range(0, buckets, _BLOCK):
+            if total[at : at + _BLOCK].any():
+                yield pa.record_batch([pa.array([at]), pa.array([total[at : at + _BLOCK].tobytes()], pa.binary())], ["at", "counts"])
         release_memory()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts, np.int64)
+        for at, n in sums.items():
+            code = np.where(n > 0, np.minimum(255, 1 + (6 * np.log2(np.maximum(n, 1))).astype(np.int64)), 0).astype(np.uint8)
+            yield pa.record_batch([pa.array([at]), pa.array([code.tobytes()], pa.binary())], ["at", "codes"])
+
     small_batches(docs.sparkSession)
-    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    code = F.least(F.lit(255), F.lit(1) + F.floor(6 * F.log2("n"))).cast("int")
+    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "at long, counts binary").repartition("at").mapInArrow(add, "at long, codes binary")
     codes = np.zeros(buckets, np.uint8)
-    for r in counts.select("b", code.alias("c")).groupBy("c").agg(F.collect_list(F.col("b").cast("int")).alias("b")).collect():  # at most ``buckets`` numbers
-        codes[r["b"]] = r["c"]
+    for r in counts.collect():  # a byte each of ``buckets``
+        codes[r["at"] : r["at"] + _BLOCK] = np.frombuffer(r["codes"], np.uint8)
     return codes
 
 
@@ -284,6 +293,18 @@ def _longs(packed: pa.Array) -> np.ndarray:
     return np.frombuffer(data, ">i8", 5 * len(packed), first).reshape(-1, 5)
 
 
+def _in_order(group: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The order of rows of :func:`_longs` by group, doc, line and parities. One number for each row tells it, where it fits one and no two are alike."""
+    doc, line = base[:, 1], base[:, 2] >> 32
+    if len(group) and group[-1] < 1 << 17 and doc.min() >= 0 and doc.max() < 1 << 31 and line.max() < 1 << 15:
+        key = group << 46 | doc << 15 | line
+        order = np.argsort(key)
+        one = key[order]
+        if not (one[1:] == one[:-1]).any():
+            return order
+    return np.lexsort((base[:, 4], base[:, 3], line, doc, group))
+
+
 def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> DataFrame:
     """(key, base, place, prev, asked, held) -> written (x, y, more): pairs that pass the filters under a key; x is asked for, y held,
     and y comes before x by (doc, line, parities).
@@ -299,8 +320,9 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         group = np.repeat(np.arange(len(cut)), size)[several]
         own = np.flatnonzero(several)
         base = base[own].astype(np.int64)
-        order = np.lexsort((base[:, 4], base[:, 3], base[:, 2] >> 32, base[:, 1], group))
-        sid, n, even, odd = base[order, 0], base[order, 2] & 0xFFFFFFFF, base[order, 3].view(np.uint64), base[order, 4].view(np.uint64)
+        order = _in_order(group, base)
+        sid, n, even, odd = (np.ascontiguousarray(base[order, c]) for c in (0, 2, 3, 4))
+        n, even, odd = n & 0xFFFFFFFF, even.view(np.uint64), odd.view(np.uint64)
         key, code, prev = (c[own[order]] for c in (key, code, prev))
         size = size[size > 1]
         start = np.repeat(np.cumsum(size) - size, size)
@@ -310,10 +332,13 @@ def _candidates(rows: DataFrame, threshold: Fraction, leaders: int | None) -> Da
         most = leaders or len(start)
         while len(i):
             j = start[i] + k
-            total = n[i] + n[j]
-            ok = held[j] & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * total)
-            apart = np.bitwise_count(even[i] ^ even[j]).astype(np.int64) + np.bitwise_count(odd[i] ^ odd[j])
-            hit = np.flatnonzero(ok & ((total - apart) * (p + q) >= 2 * p * total) & (sid[i] != sid[j]))
+            ni, nj = n[i], n[j]
+            near = np.flatnonzero((np.minimum(ni, nj) * q >= np.maximum(ni, nj) * p) & held[j])  # each test is asked of what passed those before it
+            a, b, total = i[near], j[near], (ni + nj)[near]
+            apart = np.bitwise_count(even[a] ^ even[b]).astype(np.int64) + np.bitwise_count(odd[a] ^ odd[b])
+            left = np.flatnonzero((total - apart) * (p + q) >= 2 * p * total)
+            a, b = a[left], b[left]
+            hit = near[left][(np.minimum(n[a] - place[a], n[b] - place[b]) * (p + q) >= p * total[left]) & (sid[a] != sid[b])]
             if len(hit):
                 found[i[hit]] += 1
                 more = found[i[hit]] > most

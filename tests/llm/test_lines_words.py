@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,3 +58,24 @@ def test_crowded_shingles(spark, copies, crowd, buckets):  # noqa: F811
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = lines.dedup_lines(df, shingle=1, least=1, buckets=buckets, crowd=crowd).collect()
     assert {r.doc_id: r.kept_text for r in got} == {d: t for d, t in naive(rows, least=1, width=1)}
+
+
+def test_order_of_a_group_is_by_document_line_and_parities():
+    """One number for each row where it fits one, and a sort by every column where rows are alike or numbers are large: the same order."""
+    rng = np.random.default_rng(3)
+    for docs, lines_ in ((1000, 50), (3, 2), (1 << 40, 50), (1000, 1 << 20)):
+        group = np.sort(rng.integers(0, 40, 600))
+        base = np.stack([rng.permutation(600), rng.integers(0, docs, 600), rng.integers(0, lines_, 600) << 32 | 7, rng.integers(-9, 9, 600), rng.integers(-9, 9, 600)], axis=1)
+        want = sorted(range(600), key=lambda i: (group[i], base[i, 1], base[i, 2] >> 32, base[i, 3], base[i, 4]))
+        assert lines._in_order(group, base)[:600].tolist() == want
+
+
+def test_counts_of_a_task_come_in_blocks(spark):
+    """A task sends its counters in rows of a block, not a row for each counter, and the codes are those of the counts."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 50 + 1))) for i in range(400)], "doc_id long, text string").repartition(4)
+    codes = lines.rarity(docs, 1 << 14, 1, 1)
+    total = np.zeros(1 << 14, np.int64)
+    for r in docs.collect():
+        for _, _, size, words in lines.Shingles(1, 1).lines([r["text"].encode()]):
+            np.add.at(total, (lines.Shingles(1, 1).hashes(size, words)[1] & np.uint64((1 << 14) - 1)).astype(np.int64), 1)
+    assert codes.tolist() == [lines._code(n) if n else 0 for n in total.tolist()]
