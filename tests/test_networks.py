@@ -163,6 +163,30 @@ def test_sure_moves_gain_what_they_say(spark, use_modularity):
         assert first.count() == 0  # the first in the order is never turned down
 
 
+def test_dealt_moves_gain_what_they_say(spark):
+    """Nodes moved in tasks bring exactly the gain that is told; clusters that no task holds make sure moves; and fewer steps end higher than sure moves alone."""
+    n = Network.from_edges(graph(spark, "/root/testdata/sf0.001", "part_copurchase")).kept()
+    gamma, total = scoring.adjusted_resolution(n, 1.0), n.adj.count()
+    score = lambda rows: scoring.quality(n, Clustering(rows), 1.0)
+    rows = Clustering.self_clusters(n.nodes).rows
+    moved, _, left = supersteps.dealt_moves(n.nodes, n.adj, rows, gamma, 3, 0, total // 10, total)
+    new = Clustering(rows).update(moved.select("node", "cluster")).rows
+    told = 2 * moved.agg(F.sum("gain")).first()[0] / total_weight(n)
+    assert not left and told > 0 and score(new) - score(rows) == pytest.approx(told, abs=1e-9)
+    one = n.nodes.select(F.col("id").alias("node"), (F.col("id") % 2).alias("cluster"))
+    moved, out, left = supersteps.dealt_moves(n.nodes, n.adj, one, gamma, 3, 0, total // 10, total)
+    assert left and out.count() == n.nodes.count() and moved.count() == 0
+    apart = supersteps.moved_locally(n, gamma, 3, one, None, 1, most_rows=total // 10)
+    assert apart.gain > 0 and score(apart.rows) - score(one) >= 2 * apart.gain / total_weight(n) - 1e-12
+    dealt, sure = supersteps.moved_locally(n, gamma, 3, most_rows=total // 4), supersteps.moved_locally(n, gamma, 3)
+    print("dealt", score(dealt.rows), len(dealt.looked_at), "sure", score(sure.rows), len(sure.looked_at))
+    assert score(dealt.rows) > score(sure.rows) and len(dealt.looked_at) < len(sure.looked_at)
+
+
+def total_weight(n):
+    return 2 * n.totals["total_edge_weight"]
+
+
 @pytest.mark.parametrize("name", ["cust_supp", "part_copurchase"])
 def test_supersteps_match_the_kernel(spark, name, monkeypatch):
     """With a tenth of the rows as limit: 0.98 of the kernel's quality at least, no group over the limit in a task, fewer nodes looked at from step to step."""
