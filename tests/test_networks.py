@@ -183,6 +183,15 @@ def test_dealt_moves_gain_what_they_say(spark):
     assert score(dealt.rows) > score(sure.rows) and len(dealt.looked_at) < len(sure.looked_at)
 
 
+def test_a_quiet_look_counts_as_a_step(spark):
+    """After a look that gained as little as a quiet step, one more quiet step ends local moving, not two."""
+    n = Network.from_edges(graph(spark, "/root/testdata/sf0.001", "cust_supp")).kept()
+    gamma, rows = scoring.adjusted_resolution(n, 1.0), leiden_clustering(n, None, 1.0, seed=2)[1].rows
+    limit = n.adj.count() // 4
+    looks = [len(supersteps.moved_locally(n, gamma, 3, rows, None, 8, most_rows=limit, first=1e9, quiet=q).looked_at) for q in (0, 1)]
+    assert looks == [2, 1]
+
+
 def total_weight(n):
     return 2 * n.totals["total_edge_weight"]
 

@@ -47,3 +47,21 @@ def test_stars_take_no_round(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i // 10 * 10) for i in range(100) if i % 10], "u long, v long")
     assert sorted(map(tuple, components.component_edges(edges).collect())) == [(i, i // 10 * 10) for i in range(100) if i % 10]
     assert len(written) == 1
+
+
+def test_components_contract_their_pairs(spark, monkeypatch):
+    """Pairs are put between roots: of the pairs of one component of 400 nodes, five for each, no tenth comes to the last round."""
+    pairs, plain = [], components.materialize
+
+    def counted(df):
+        out = plain(df)
+        if set(out.columns) == {"u", "v"}:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    drawn = np.random.default_rng(1).integers(0, 200, (2000, 2))
+    edges = spark.createDataFrame([(int(a), 200 + int(b)) for a, b in drawn] + [(900, 901), (901, 902), (902, 903)], "u long, v long")
+    found = dict(map(tuple, components.component_edges(edges).collect()))
+    assert found == {x: 0 for x in range(1, 400)} | {901: 900, 902: 900, 903: 900}
+    assert pairs[-1] < pairs[0] / 10
