@@ -12,10 +12,10 @@ NODES = 20_000
 
 @pytest.fixture
 def threshold(spark):
-    """A broadcast of 600 kB: more than the files of a table of NODES rows, less than it takes in memory."""
+    """A broadcast of 60 kB: more than the files of a table of NODES rows, less than it takes in memory."""
     name = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(name)
-    spark.conf.set(name, "600k")
+    spark.conf.set(name, "60k")
     yield
     spark.conf.set(name, before)
 
